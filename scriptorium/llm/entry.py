@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import components
+from scriptorium.llm import components, vectors
 from scriptorium.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of usable vectors of which one is among the 5 most similar of the other."""
+    return vectors.neighbour_pairs(vectors.nearest_vectors(table(spark, d, "passage_vectors")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of author keys that must share a split."""
     return components.authors_that_share(components.tied_groups(table(spark, d, "corpus_docs"), table(spark, d, "passages"))[1])
@@ -25,7 +30,7 @@ def p4_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_split)}
+    return {f.__name__: f for f in (p2_found, p4_found, p4_split)}
 
 
 def oracle_sql() -> dict[str, str]:
