@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import components, vectors
+from scriptorium.llm import components, pieces, vectors
 from scriptorium.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,12 +29,22 @@ def p4_split(spark: SparkSession, d: str) -> DataFrame:
     return components.assign_splits(by_doc, table(spark, d, "split_targets")).select("document_id", "split")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of more than 700 words or 5,000 code points."""
+    return pieces.oversized_passages(table(spark, d, "passages"), table(spark, d, "corpus_docs"))
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of these passages."""
+    return pieces.passage_pieces(table(spark, d, "passages"), table(spark, d, "corpus_docs"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p4_found, p4_split)}
+    return {f.__name__: f for f in (p2_found, p4_found, p4_split, p5_found, p5_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND}
+    return {"p4_found": P4_FOUND, "p5_found": P5_FOUND}
 
 
 P4_FOUND = """
@@ -49,3 +59,11 @@ e AS (SELECT DISTINCT x.k AS u, y.k AS v FROM ties x JOIN ties y USING (document
 reach(src, k) AS (SELECT DISTINCT k, k FROM ties WHERE k LIKE 'a%' UNION SELECT reach.src, e.v FROM reach JOIN e ON reach.k = e.u)
 SELECT substr(src, 2) AS author_a, substr(k, 2) AS author_b FROM reach WHERE k LIKE 'a%' AND src < k
 """
+
+P5_FOUND = r"""
+WITH t AS (
+  SELECT document_id, passage_id, text FROM passages WHERE text IS NOT NULL
+  UNION SELECT p.document_id, p.passage_id, substring(d.clean_text, p.start_char + 1, p.end_char - p.start_char)
+  FROM passages p JOIN (SELECT document_id, max_by(clean_text, loaded_at) AS clean_text FROM corpus_docs WHERE clean_text IS NOT NULL GROUP BY 1) d USING (document_id) WHERE p.text IS NULL)
+SELECT DISTINCT document_id, passage_id FROM t WHERE length(text) > 5000 OR len(regexp_extract_all(text, '[\pL\pN_]+(?:[''’][\pL\pN_]+)*')) > 700
+"""
