@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import components, pieces, vectors
+from scriptorium.llm import components, overlap, pieces, vectors
 from scriptorium.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Prose of train and of another split that is the same or almost the same."""
+    return overlap.document_pairs(*overlap.overlaps(overlap.split_sides(table(spark, d, "corpus_docs")), 0.6)).select("doc_a", "doc_b")
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """How much evaluation prose occurs in train, per split and source type, at the usual similarity."""
+    docs = table(spark, d, "corpus_docs")
+    return overlap.overlap_report(docs, *overlap.overlaps(overlap.split_sides(docs), 0.8))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of usable vectors of which one is among the 5 most similar of the other."""
     return vectors.neighbour_pairs(vectors.nearest_vectors(table(spark, d, "passage_vectors")))
@@ -40,7 +51,7 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p4_found, p4_split, p5_found, p5_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p4_found, p4_split, p5_found, p5_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
