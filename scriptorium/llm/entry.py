@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import components, overlap, pieces, vectors
+from scriptorium.llm import chunks, components, overlap, pieces, vectors
 from scriptorium.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return vectors.neighbour_pairs(vectors.nearest_vectors(table(spark, d, "passage_vectors")))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    prose = overlap.prose(table(spark, d, "corpus_docs")).select(F.col("document_id").alias("record"), F.col("clean_text").alias("text"))
+    return prose.union(table(spark, d, "manifest_rows").select("sample_id", "excerpt"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records that share at least 200 consecutive code points."""
+    return chunks.record_pairs(*chunks.shared_spans(_texts(spark, d)))
+
+
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How many code points of each record occur elsewhere."""
+    texts = _texts(spark, d)
+    return chunks.coverage(*chunks.shared_spans(texts), texts)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of author keys that must share a split."""
     return components.authors_that_share(components.tied_groups(table(spark, d, "corpus_docs"), table(spark, d, "passages"))[1])
@@ -51,7 +67,7 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p4_found, p4_split, p5_found, p5_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_coverage, p4_found, p4_split, p5_found, p5_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
