@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +41,22 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     reader = spark.read
     return (reader if partition_by else reader.schema(df.schema)).parquet(path)
+
+
+#: Bits of a membership sketch; its table has BITS / 64 rows at most, whatever it stands for.
+BITS = 1 << 22
+
+
+def sift(df: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split `df` by its bigint column `id`: rows that may be in `ids(id)`, and rows that surely are not. Nothing of `df` is shuffled.
+
+    The sketch is a bitmap of hashed ids of at most BITS / 64 rows, so it may be broadcast whatever the size of `ids`. A join after it moves
+    little more than the rows it keeps.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    word, mask = F.floor(bit / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(64)).cast("int"))
+    sketch = ids.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    marked = df.withColumn("_word", word).withColumn("_mask", mask).join(F.broadcast(sketch), "_word", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) != 0, F.lit(False))
+    drop = ("_word", "_mask", "_bits")
+    return marked.where(hit).drop(*drop), marked.where(~hit).drop(*drop)
