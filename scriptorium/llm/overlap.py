@@ -24,12 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import materialize
+from scriptorium.session import materialize, sift
 
 WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 RUN = 5
 #: Runs kept as frequent, at most; rows per counting block and the count from which a block reports a run.
-HOT, COUNT_BLOCK, REPORT = 1 << 17, 1 << 21, 8
+HOT, COUNT_BLOCK, REPORT = 1 << 19, 1 << 21, 4
+#: Runs that a pair must share among the first ones of each; the first ones are as many more.
+AGREE = 6
 SHARD_WORDS = 400_000
 
 
@@ -89,8 +91,8 @@ def tokenised(docs: DataFrame) -> DataFrame:
     return docs.withColumn("id", F.monotonically_increasing_id()).select("id", "document_id", "side", "text").mapInArrow(run, "id bigint, document_id string, side int, n int, digest binary, words binary")
 
 
-def frequent_runs(tokens: DataFrame) -> np.ndarray:
-    """The most frequent runs, sorted; at most HOT of them. Counts cover all records; a block reports what it holds REPORT times or more."""
+def frequent_runs(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent runs, sorted, and their counts; at most HOT of them. Counts cover all records; a block reports what it holds REPORT times or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -111,16 +113,22 @@ def frequent_runs(tokens: DataFrame) -> np.ndarray:
             yield counted()
 
     total = tokens.select("words").mapInArrow(run, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
-    found = total.orderBy(F.desc("n"), "run").limit(HOT).select("run").toPandas()["run"].to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+    found = total.orderBy(F.desc("n"), "run").limit(HOT).toArrow()
+    run_, n = found.column("run").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(run_)
+    return run_[order], np.minimum(n[order], (1 << 31) - 1).astype(np.int32)
 
 
-def prefixes(tokens: DataFrame, hot: np.ndarray, similarity: float) -> DataFrame:
-    """(run, id, side, n): the runs of each record of which a partner must share one."""
+def prefixes(tokens: DataFrame, hot: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """(run, id, side, n): the first runs of each record in the common order (count, then hash).
+
+    With n runs and a least overlap a = ceil(similarity * n), two records of the similarity share at least k runs among the first n - a + k of each; k is
+    AGREE, or a where that is less.
+    """
     shared = tokens.sparkSession.sparkContext.broadcast(hot)  # at most HOT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
+        hot, count = shared.value
         for b in batches:
             cols: list[list[np.ndarray]] = [[], [], [], []]
             for i, side, raw in zip(b.column("id").to_pylist(), b.column("side").to_pylist(), b.column("words").to_pylist()):
@@ -128,10 +136,11 @@ def prefixes(tokens: DataFrame, hot: np.ndarray, similarity: float) -> DataFrame
                 n = len(own)
                 if not n:
                     continue
-                take = n - int(np.ceil(similarity * n - 1e-9)) + 1
+                least = int(np.ceil(similarity * n - 1e-9))
+                take = n - least + min(AGREE, least)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
-                    own = own[np.argsort(hot[at] == own, kind="stable")]
+                    own = own[np.argsort(np.where(hot[at] == own, count[at], 0), kind="stable")]
                 own = own[:take]
                 for c, v in zip(cols, (own.view(np.int64), np.full(len(own), i, np.int64), np.full(len(own), side, np.int32), np.full(len(own), n, np.int32))):
                     c.append(v)
@@ -234,10 +243,14 @@ def overlaps(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataF
     narrow = tokens.select("id", "document_id", "side", "digest", "n").where("n > 0")
     reps = narrow.groupBy("digest", "side").agg(F.min("id").alias("rep"))
     members = materialize(narrow.join(reps, ["digest", "side"]).select(F.col("rep").alias("id"), "document_id", "side").distinct())
-    own = tokens.join(members.select("id").distinct(), "id", "left_semi")
+    # copies that don't stand for their class leave; all but them and a few others pass without a shuffle
+    copies = narrow.join(reps, ["digest", "side"]).where("id <> rep").select("id")
+    doubtful, sure = sift(tokens.where("n > 0").select("id", "side", "words"), copies)
+    own = sure.union(doubtful.join(copies, "id", "left_anti"))
     keys = materialize(prefixes(own, frequent_runs(tokens), similarity))
     a, b = keys.where("side = 0").select("run", "id", "n"), keys.where("side = 1").select("run", F.col("id").alias("other"), F.col("n").alias("m"))
-    pairs = materialize(a.join(b, "run").where(F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9).groupBy("id", "other").agg(F.first("n").alias("n"), F.first("m").alias("m")))
+    enough = F.col("agree") >= F.least(F.lit(AGREE), F.ceil(F.least("n", "m") * similarity - 1e-9))
+    pairs = materialize(a.join(b, "run").where(F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9).groupBy("id", "other").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count(F.lit(1)).alias("agree")).where(enough))
     total = pairs.groupBy("other").agg(F.first("m").alias("m")).agg(F.sum("m")).first()[0] or 0
     shards = max(1, int(total // SHARD_WORDS) + 1)
     placed = pairs.withColumn("shard", F.pmod(F.xxhash64("other"), F.lit(shards)).cast("int"))
@@ -245,7 +258,8 @@ def overlaps(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataF
     placed = materialize(placed.join(load, "shard").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")))
     ask = placed.groupBy("shard", "block", "id").agg(F.collect_list("other").alias("partners"))
     held = placed.select("shard", "block", F.col("other").alias("id")).distinct().withColumn("partners", F.lit(None).cast("array<bigint>"))
-    tasks = ask.select("shard", "block", "id", "partners").unionByName(held).join(tokens.select("id", "words"), "id")
+    needed = sift(tokens.select("id", "words"), pairs.select(F.explode(F.array("id", "other")).alias("id")))[0]
+    tasks = ask.select("shard", "block", "id", "partners").unionByName(held).join(needed, "id")
     found = tasks.groupBy("shard", "block").applyInArrow(lambda t: _verify(t, similarity), "id bigint, other bigint, shared bigint, either bigint, spans int, longest int")
     return materialize(found), members
 
