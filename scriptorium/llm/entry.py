@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import chunks, components, mail, overlap, pieces, vectors
+from scriptorium.llm import chunks, components, mail, overlap, pieces, sentences, vectors
 from scriptorium.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,13 +66,19 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.passage_pieces(table(spark, d, "passages"), table(spark, d, "corpus_docs"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of prose."""
+    docs = overlap.prose(table(spark, d, "corpus_docs")).select("document_id", F.col("clean_text").alias("text"))
+    return sentences.sentences(docs).distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines of e-mails that the sender newly wrote."""
     return mail.new_lines(table(spark, d, "corpus_docs")).select("document_id", "line_no").distinct()
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_coverage, p4_found, p4_split, p5_found, p5_pieces, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_coverage, p4_found, p4_split, p5_found, p5_pieces, p6_found, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
