@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import chunks, components, mail, overlap, pieces, sentences, vectors
+from scriptorium.llm import chunks, components, mail, overlap, pieces, sentences, subjects, vectors
 from scriptorium.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,8 +77,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return mail.new_lines(table(spark, d, "corpus_docs")).select("document_id", "line_no").distinct()
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects of every document."""
+    return _subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject."""
+    return subjects.composition(_subjects(spark, d), table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_coverage, p4_found, p4_split, p5_found, p5_pieces, p6_found, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_coverage, p4_found, p4_split, p5_found, p5_pieces, p6_found, p7_found, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
