@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import chunks, components, mail, overlap, pieces, sentences, subjects, vectors
-from scriptorium.session import table
+from scriptorium.llm import chunks, components, mail, mixing, overlap, packing, pieces, sentences, subjects, tokens, vectors
+from scriptorium.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,31 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return mail.new_lines(table(spark, d, "corpus_docs")).select("document_id", "line_no").distinct()
 
 
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    """All texts in containers of each capacity."""
+    return packing.pack_texts(materialize(tokens.sized(table(spark, d, "documents")).select("doc_id", "tokens")), table(spark, d, "pack_sizes"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(materialize(p8_pack(spark, d)), table(spark, d, "pack_sizes"))
+
+
+def _mixes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sizes = materialize(mixing.one_per_text(tokens.sized(table(spark, d, "documents"))))
+    return mixing.mix_sources(sizes, table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of every mix and how often each is used."""
+    return _mixes(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached."""
+    return _mixes(spark, d)[1]
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
 
@@ -92,7 +117,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_coverage, p4_found, p4_split, p5_found, p5_pieces, p6_found, p7_found, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_coverage, p4_found, p4_split, p5_found, p5_pieces, p6_found, p7_found, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
