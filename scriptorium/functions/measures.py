@@ -1,7 +1,17 @@
-"""The 95 stylometric measures, as one projection: no shuffle, no Python, no second pass over the table."""
+"""The 95 stylometric measures, in one pass over the rows and without a shuffle.
+
+`measured` counts in Arrow batches: one tokenisation feeds all measures, where column expressions scan a text once for every list and mark. (Over 10,000 documents: 13 s of
+eight cores with expressions.) `measured_columns` is the same as column expressions, for plans in which no Python may run.
+"""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from math import sqrt
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +61,7 @@ def _median(a: Column) -> Column:
     return (F.get(a, ((F.size(a) - 1) / 2).cast("int")) + F.get(a, (F.size(a) / 2).cast("int"))) / 2.0
 
 
-def measured(df: DataFrame, text: str = "text", structure: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def measured_columns(df: DataFrame, text: str = "text", structure: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """`keep` columns and the 95 measures of `text`; `structure` holds the marked-up source where headings, lists and quotes are counted.
 
     Null texts count as empty. Empty arrays count as a single 0, so every measure is defined for every row.
@@ -108,6 +118,85 @@ def measured(df: DataFrame, text: str = "text", structure: str | None = None, ke
     return step.select(*keep, *(m[name].cast("double").alias(name) for name in NAMES))
 
 
+_S = r"[\t\n\f\r ]"  # white space as both SQL engines see it
+_WORD, _RUN, _HAS = re.compile(r"\w+(?:['’]\w+)*"), re.compile(r"\w+"), re.compile(r"\w")
+_PROTECT = re.compile(r"(^|\W)(" + "|".join(T.ABBREVIATIONS) + r")\.")
+_END = re.compile(rf"""([.!?]+["'’”)]*)({_S}|\Z)""")
+_BLANK, _NONBLANK = re.compile(rf"\n{_S}*\n"), re.compile(r"[^\t\n\f\r ]")
+_QUESTION, _CONJUNCTION, _PAREN = re.compile(r"\?[\"')”’]*\Z"), re.compile(r"(?:and|but|so|or)(?:\W|\Z)", re.I), re.compile(r"\([^)]*\)")
+_PASSIVE = re.compile(rf"(?<!\w)(?:is|are|was|were|been|be){_S}+\w+ed(?!\w)")
+_CAPITAL, _UPPER = re.compile(r"[A-Z][a-z]+"), re.compile(r"[A-Z][A-Z]+")
+_HEADING, _LIST, _QUOTE = re.compile(rf"(?m)^{_S}{{0,3}}#{{1,6}}{_S}+"), re.compile(rf"(?m)^{_S}*(?:[-*+]|[0-9]+[.)]){_S}+"), re.compile(rf"(?m)^{_S}*>")
+_GROUPS = [(name, frozenset(ws)) for name, ws in (PRONOUNS | DISCOURSE).items()]
+_TRIM = "\t\n\f\r \x0b"
+
+
+def _sentences(text: str) -> list[str]:
+    t = _BLANK.sub("\x01", _END.sub("\\1\x01\\2", _PROTECT.sub("\\1\\2\x02", text)))
+    return [s.replace("\x02", ".").strip(_TRIM) for s in t.split("\x01") if _HAS.search(s)]
+
+
+def _spread(a: list[float]) -> tuple[float, float, float, float]:
+    """Mean, median, population deviation and skew (with a divisor of one deviation, at least 1); an empty list counts as a single 0."""
+    a = sorted(a) or [0.0]
+    n = len(a)
+    mean = sum(a) / n
+    std = sqrt(sum((x - mean) ** 2 for x in a) / n)
+    return mean, (a[(n - 1) // 2] + a[n // 2]) / 2, std, sum((x - mean) ** 3 for x in a) / n / max(std, 1.0) ** 3
+
+
+def measures_of(text: str | None, structure: str | None = None) -> list[float]:
+    """The measures of one text, in the order of NAMES."""
+    t = text or ""
+    src = t if structure is None else structure
+    words = _WORD.findall(t.lower())
+    counts = Counter(words)
+    k = len(words)
+    n = float(max(k, 1))
+    sentences = _sentences(t)
+    paragraphs = [p for p in _BLANK.split(t) if _NONBLANK.search(p)]
+    lengths = Counter(map(len, words)) or Counter({0: 1})
+    total = sum(lengths.values())
+    mean_length = sum(a * c for a, c in lengths.items()) / total
+    runs = _RUN.findall(t)
+    s, p = _spread([float(len(_WORD.findall(x))) for x in sentences]), _spread([float(len(_WORD.findall(x))) for x in paragraphs])
+    share = lambda lo, hi: sum(c for a, c in lengths.items() if lo <= a <= hi) / total
+    rate = lambda x: 1000.0 * x / n
+    out = {
+        "sentence_length_mean": s[0], "sentence_length_median": s[1], "sentence_length_std": s[2], "sentence_length_skew": s[3], "sentences_per_paragraph": len(sentences) / max(len(paragraphs), 1),
+        "paragraph_length_mean": p[0], "paragraph_length_median": p[1], "paragraph_length_std": p[2],
+        "one_sentence_paragraph_rate": (1 if len(sentences) == 1 else 0) if len(paragraphs) == 1 else sum(len(_sentences(x)) == 1 for x in paragraphs) / max(len(paragraphs), 1),
+        "word_length_mean": mean_length, "word_length_std": sqrt(sum(c * (a - mean_length) ** 2 for a, c in lengths.items()) / total), "type_token_ratio": len(counts) / n, "root_type_token_ratio": len(counts) / sqrt(n),
+        "hapax_rate": sum(c == 1 for c in counts.values()) / n, "short_word_rate": share(0, 3), "long_word_rate": share(8, 1 << 40), "lexical_density_proxy": 1.0 - sum(counts[w] for w in FUNCTION_WORDS) / n,
+        "contraction_rate": rate(sum(c for w, c in counts.items() if "'" in w or "’" in w)), "parenthetical_rate": rate(len(_PAREN.findall(t))),
+        "question_sentence_rate": sum(_QUESTION.search(x) is not None for x in sentences) / max(len(sentences), 1), "sentence_initial_conjunction_rate": sum(_CONJUNCTION.match(x) is not None for x in sentences) / max(len(sentences), 1),
+        "passive_voice_proxy": rate(len(_PASSIVE.findall(t.lower()))), "capitalized_word_rate": rate(sum(_CAPITAL.fullmatch(x) is not None for x in runs)), "uppercase_word_rate": rate(sum(_UPPER.fullmatch(x) is not None for x in runs)),
+        "heading_rate": rate(len(_HEADING.findall(src))), "list_rate": rate(len(_LIST.findall(src))), "quote_paragraph_rate": rate(len(_QUOTE.findall(src))),
+    }
+    out |= {name: rate(sum(counts[w] for w in ws)) for name, ws in _GROUPS}
+    out |= {f"function_{w}_rate": rate(counts[w]) for w in FUNCTION_WORDS}
+    out |= {f"{name}_rate": rate(t.count(ch)) for name, ch in PUNCTUATION.items()}
+    out |= {f"word_length_{a}_{b}_fraction": share(a, b) for a, b in LENGTH_BINS}
+    return [float(out[name]) for name in NAMES]
+
+
+def measured(df: DataFrame, text: str = "text", structure: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`keep` columns and the 95 measures of `text`; `structure` holds the marked-up source where headings, lists and quotes are counted. Null texts count as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("_t").to_pylist()
+            sources = b.column("_src").to_pylist() if structure else [None] * len(texts)
+            rows = [measures_of(t, s) for t, s in zip(texts, sources)]
+            cols = list(zip(*rows)) if rows else [[]] * len(NAMES)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, pa.float64()) for c in cols)], names=[*keep, *NAMES])
+
+    kinds = dict(df.dtypes)
+    own = df.select(*keep, F.col(text).alias("_t"), *([F.coalesce(F.col(structure), F.col(text), F.lit("")).alias("_src")] if structure else []))
+    return own.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{n} double" for n in NAMES)]))
+
+
 def long_form(df: DataFrame, keep: tuple[str, ...], names: list[str] | None = None) -> DataFrame:
     """(keep, feature, value): one row per measure."""
-    return df.unpivot(list(keep), names or NAMES, "feature", "value")
+    pairs = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in names or NAMES))
+    return df.select(*keep, F.explode(pairs).alias("m")).select(*keep, "m.feature", "m.value")

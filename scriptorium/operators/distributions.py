@@ -28,21 +28,10 @@ def deviations(long: DataFrame, dist: DataFrame) -> DataFrame:
     return joined.withColumn("position", F.when(F.abs("robust_z") < 1, "within").when(F.col("value") > F.col("median"), "higher").otherwise("lower"))
 
 
-def _table(dist: DataFrame) -> DataFrame:
-    """The distribution as one row of a map: 95 entries."""
-    return dist.select(F.struct("feature", F.struct("median", "scale").alias("v")).alias("e")).agg(F.map_from_entries(F.collect_list("e")).alias("dist"))
-
-
-def z_of(name: str) -> Column:
-    """Robust z of a wide measure column beside the `dist` map."""
-    return (F.col(name) - F.col("dist")[name]["median"]) / F.col("dist")[name]["scale"]
-
-
 def stylometry_similarity(wide: DataFrame, dist: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """keep and exp(-mean(min(|z|, 8)) / 2) over all measures: row by row beside one broadcast row, so candidates are never shuffled."""
-    both = wide.crossJoin(F.broadcast(_table(dist)))
-    total = sum((F.least(F.abs(z_of(n)), F.lit(8.0)) for n in M.NAMES[1:]), F.least(F.abs(z_of(M.NAMES[0])), F.lit(8.0)))
-    return both.select(*keep, F.exp(-total / len(M.NAMES) / 2).alias("similarity"))
+    """keep and exp(-mean(min(|z|, 8)) / 2) over all measures. The distribution has a row per measure and is broadcast; a document's measures come from one row, so they combine before the shuffle."""
+    long = deviations(M.long_form(wide, keep), dist)
+    return long.groupBy(*keep).agg(F.exp(-F.avg(F.least(F.abs("robust_z"), F.lit(8.0))) / 2).alias("similarity"))
 
 
 def percentiles(candidates: DataFrame, history: DataFrame) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from scriptorium.functions import measures as M
 from scriptorium.functions import text as T
 from scriptorium.operators import distributions as D
-from scriptorium.session import table
+from scriptorium.session import spread, table
 
 REFERENCE = "weblog_north"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", F.lower(F.trim("source")).alias("source"))
+    return spread(table(spark, d, "documents").select("doc_id", "text", F.lower(F.trim("source")).alias("source")))
 
 
 def _family(name: str):  # noqa: ANN202
