@@ -1,0 +1,92 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from scriptorium.operators import distributions as D
+from scriptorium.operators import groups as G
+from scriptorium.operators import metrics as M
+from scriptorium.operators import similarity as S
+
+
+def test_maxsim_of_the_unit_square(spark):
+    a = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0])], "c bigint, i bigint, v array<double>")
+    b = spark.createDataFrame([(2, 0, [1.0, 0.0])], "r bigint, j bigint, v array<double>")
+    assert S.maxsim(a, b).first().maxsim == pytest.approx(0.75)
+
+
+def test_cosines_rank_ties_by_id_and_skip_self(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [3.0, 0.0]), (4, [0.0, 1.0])], "r bigint, v array<double>")
+    out = S.cosines(v.where("r = 2").select(F.col("r").alias("q"), "v"), v, 2).orderBy("rank").collect()
+    assert [r.r for r in out] == [1, 3]
+    bad = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, None]), (5, [])], "id bigint, embedding array<float>")
+    assert S.vectors_of(bad, ["id"]).count() == 0
+
+
+def test_tfidf_of_a_text_with_itself_is_one(spark):
+    docs = spark.createDataFrame([("a", "some words here"), ("b", "some words here"), ("c", None), ("d", "")], "id string, text string")
+    counts = S.gram_counts(docs, "id")
+    w = S.tfidf(counts, S.vocabulary(counts, "id"), "id")
+    assert S.sparse_cosines(w, w, "id").where("q = 'a'").first().cosine == pytest.approx(1.0)
+
+
+def test_distribution_and_normalisation(spark):
+    long = spark.createDataFrame([("f", float(x)) for x in (1, 2, 3, 4, 100)] + [("g", None)], "feature string, value double")
+    d = D.distribution(long).collect()
+    assert len(d) == 1 and d[0].median == 3 and d[0].mad == pytest.approx(1.4826) and d[0].scale == pytest.approx(0.25 * d[0]["std"])
+    one = spark.range(1).select(D.normalise(F.lit(0.6), F.lit(0.6), F.lit(0.1), F.lit(0.1), F.lit(5)).alias("x"), D.normalise(F.lit(1.7), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(0)).alias("y")).first()
+    assert one.x == 0.5 and one.y == 1.0
+    levels = spark.createDataFrame([(149, 0.5, 0.5), (150, 0.5, 0.5), (500, 0.5, 0.5), (500, 0.1, 0.8)], "w int, a double, b double")
+    assert [r.e for r in levels.select(D.evidence_strength(F.col("w"), F.col("a"), F.col("b")).alias("e")).collect()] == ["LOW", "MEDIUM", "HIGH", "MEDIUM"]
+    cand = spark.createDataFrame([(1, 2.0), (2, 5.0), (3, None)], "doc_id int, v double")
+    p = {r.doc_id: r.percentile for r in D.percentiles(cand, spark.createDataFrame([(1.0,), (2.0,), (2.0,), (9.5,)], "v double")).collect()}
+    assert p == {1: 50.0, 2: 75.0}
+
+
+def scored(spark, rows):
+    return spark.createDataFrame(rows, "g string, label int, score double")
+
+
+def test_ranking_metrics(spark):
+    r = scored(spark, [("x", 1, 90.0), ("x", 1, 50.0), ("x", 0, 50.0), ("x", 0, 10.0), ("x", 0, float("nan")), ("y", 1, 5.0), ("x", None, 3.0)])
+    run = M.running(r, "g")
+    assert {a.g: a.auroc for a in M.auroc(run, "g").collect()} == {"x": 0.875, "y": None}
+    assert M.average_precision(run, "g").where("g = 'x'").first().average_precision == pytest.approx(0.5 + 0.5 * 2 / 3)
+    assert M.roc(run, "g").count() == 3
+    assert M.running(scored(spark, []), "g").count() == 0
+
+
+def test_thresholds_and_decisions(spark):
+    grid = [("s", 1, 60.0 + i) for i in range(20)] + [("s", 0, 20.0 + i) for i in range(20)]
+    t = M.thresholds(M.running(scored(spark, grid), "g"), "g").first()
+    assert t.target_met and t.match == 39.0 and t.mismatch == 38.0  # one of twenty negatives may pass
+    flat = [("s", 1, 50.0)] * 20 + [("s", 0, 50.0)] * 3 + [("s", 0, 10.0)] * 17
+    t = M.thresholds(M.running(scored(spark, flat), "g"), "g").first()
+    assert not t.target_met and t.match == 50.0
+    d = spark.createDataFrame([(80.0, 70.0, 30.0), (50.0, 70.0, 30.0), (10.0, 70.0, 30.0), (10.0, 70.0, None)], "s double, m double, x double")
+    assert [r.d for r in d.select(M.decision(F.col("s"), F.col("m"), F.col("x")).alias("d")).collect()] == ["MATCH", "INCONCLUSIVE", "MISMATCH", "INCONCLUSIVE_OR_MISMATCH"]
+
+
+def test_weights(spark):
+    rows = [("p1", None, 1), ("p2", None, 1), ("p2", None, 1), ("a1", "a", 0), ("a2", "a", 0), ("a2", "a", 0), ("b1", "b", 0)]
+    w = M.balanced(M.root_weights(spark.createDataFrame(rows, "root string, author string, label int"))).collect()
+    by = {}
+    for r in w:
+        by[r.label] = by.get(r.label, 0) + r.balanced_weight
+    assert sum(by.values()) == pytest.approx(5) and by[0] == pytest.approx(by[1])
+    m = M.margins(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 100.0), ("b", float("nan"))], "root string, m double"), "root", "m").collect()
+    assert len(m) == 1 and m[0].median == 2.0 and m[0].views == 3
+
+
+def test_groups_and_holdout(spark):
+    keys = spark.createDataFrame([("c", "1"), ("b", "1"), ("b", "2"), ("a", "2"), ("z", None), ("y", "9"), ("c", "1")], "document_id string, key string")
+    assert {r.document_id: r.group_id for r in G.smallest_connected(keys).collect()} == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "z"}
+    chain = spark.createDataFrame([(f"{i:03d}", str(j)) for i in range(60) for j in (i, i + 1)], "document_id string, key string")
+    assert {r.group_id for r in G.smallest_connected(chain).collect()} == {"000"}
+    docs = [(f"d{i}", f"g{i // 2}", "blog" if i < 20 else "negative") for i in range(60)]
+    held = G.holdout(spark.createDataFrame(docs, "document_id string, group_id string, stratum string")).collect()
+    assert sum(r.held for r in held if r.stratum == "blog") == 10 and sum(r.held for r in held if r.stratum != "blog") == 8
+    assert all(len({r.held for r in held if r.group_id == g}) == 1 for g in {r.group_id for r in held})
+    folds = G.folds(spark.createDataFrame(docs, "document_id string, group_id string, stratum string")).collect()
+    assert all(len({r.fold for r in folds if r.group_id == g}) == 1 for g in {r.group_id for r in folds})
+    assert math.isfinite(sum(r.fold for r in folds))
