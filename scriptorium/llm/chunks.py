@@ -264,7 +264,7 @@ def record_pairs(found: DataFrame, members: DataFrame) -> DataFrame:
 
 def coverage(found: DataFrame, members: DataFrame, records: DataFrame, span: int = 200) -> DataFrame:
     """(record, chars, shared_chars): for each record of at least `span` code points how many of them lie in stretches that another record has too."""
-    ends = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) / 2 - 1), lambda i: F.struct(F.get(c, (2 * i).cast("int")).alias("s"), F.get(c, (2 * i + 1).cast("int")).alias("e")))
+    ends = lambda c: F.transform(F.sequence(F.lit(0), (F.size(c) / 2 - 1).cast("int")), lambda i: F.struct(F.get(c, 2 * i).alias("s"), F.get(c, 2 * i + 1).alias("e")))
     spans = found.select("id", F.explode(ends(F.col("here"))).alias("p")).union(found.select("other", F.explode(ends(F.col("there"))).alias("p"))).select("id", "p.s", "p.e").distinct()
     order = W.partitionBy("id").orderBy("s", "e")
     reached = F.coalesce(F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
