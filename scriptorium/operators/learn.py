@@ -84,9 +84,9 @@ def calibrated(margin: Column, a: float, b: float) -> Column:
 
 def choose_verifier(plain: dict[str, float], boosted: dict[str, float]) -> str:
     """Boosting only for an AUROC gain of 0.02 or more without loss at 5 % false positives."""
-    return "boosted" if boosted["auroc"] - plain["auroc"] >= 0.02 and boosted["tpr_at_5"] >= plain["tpr_at_5"] else "logistic"
+    return "boosted" if round(boosted["auroc"] - plain["auroc"], 9) >= 0.02 and boosted["tpr_at_5"] >= plain["tpr_at_5"] else "logistic"
 
 
 def better_configuration(new: dict[str, float], old: dict[str, float]) -> bool:
     """A configuration replaces the one ahead of it if it is strictly better at 5 % false positives and no worse elsewhere by more than the tolerances."""
-    return new["tpr_at_5"] > old["tpr_at_5"] and new["auroc"] >= old["auroc"] - 0.01 and new["tpr"] >= old["tpr"] - 0.03 and new["brier"] <= old["brier"]
+    return new["tpr_at_5"] > old["tpr_at_5"] and round(old["auroc"] - new["auroc"], 9) <= 0.01 and round(old["tpr"] - new["tpr"], 9) <= 0.03 and new["brier"] <= old["brier"]
