@@ -15,7 +15,7 @@ def test_words_and_sentences(spark):
     assert one(spark, "don't stop_it 3 ’x", T.words) == ["don't", "stop_it", "3", "x"]
     assert one(spark, TEXT, T.sentences) == ["Dr. Lund likes version 3.14.", "I agree!", "Do you?", "And so it was used (often).", "But who's there?"]
     spans = one(spark, TEXT, T.sentence_spans)
-    assert all(TEXT[s.start_char : s.end_char] == s.text for s in spans) and [s.index for s in spans] == list(range(5))
+    assert all(TEXT[s.start_char : s.end_char] == s.text for s in spans) and [s["index"] for s in spans] == list(range(5))
     assert one(spark, "", T.sentences) == [] and one(spark, None, T.words) is None
 
 
