@@ -16,8 +16,9 @@ def smallest_connected(keys: DataFrame, node: str = "document_id", key: str = "k
     Labels go from nodes to keys and back, each way one aggregation that combines before it shuffles, so a key of a third of all rows is one row per task. Every round also jumps
     from a label to that label's own label, which halves long chains. Labels only fall; the rounds end when none does. Null keys tie nothing.
     """
-    ties = materialize(keys.where(F.col(node).isNotNull() & F.col(key).isNotNull()).select(F.col(node).alias("n"), F.col(key).alias("k")).distinct())
-    label = keys.where(F.col(node).isNotNull()).select(F.col(node).alias("n")).distinct().withColumn("l", F.col("n"))
+    every = materialize(keys.where(F.col(node).isNotNull()).select(F.col(node).alias("n"), F.col(key).alias("k")).distinct())
+    ties = every.where("k is not null")
+    label = every.select("n").distinct().withColumn("l", F.col("n"))
     while True:
         label = materialize(label)
         by_key = ties.join(label, "n").groupBy("k").agg(F.min("l").alias("l"))

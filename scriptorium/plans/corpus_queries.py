@@ -10,7 +10,7 @@ from scriptorium.operators import groups as G
 from scriptorium.operators import segments
 from scriptorium.operators import similarity as S
 from scriptorium.plans.measure_queries import W, _sents
-from scriptorium.session import table
+from scriptorium.session import materialize, spread, table
 
 
 def _is_mail() -> Column:
@@ -27,7 +27,7 @@ def _prose(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "manifest_rows").where("sample_id is not null and excerpt is not null").select("sample_id", F.col("excerpt").alias("text")).distinct()
+    return spread(table(spark, d, "manifest_rows").where("sample_id is not null and excerpt is not null").select("sample_id", F.col("excerpt").alias("text")).distinct())
 
 
 def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -168,13 +168,13 @@ def char_ngram_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, d: str) -> DataFrame:
-    counts = S.gram_counts(_samples(spark, d), "sample_id")
-    return S.tfidf(counts, S.vocabulary(counts, "sample_id"), "sample_id")
+    counts = materialize(S.gram_counts(_samples(spark, d), "sample_id"))
+    return S.tfidf(counts, materialize(S.vocabulary(counts, "sample_id")), "sample_id")
 
 
 def char_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Character tf-idf cosines of every fiftieth sample with all others."""
-    w = _weights(spark, d)
+    w = materialize(_weights(spark, d))
     asked = w.where(F.regexp_extract("sample_id", r"(\d+)$", 1).cast("bigint") % 50 == 0)
     return S.sparse_cosines(asked, w, "sample_id").select("q", "r", F.round("cosine", 6).alias("cosine"))
 
