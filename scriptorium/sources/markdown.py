@@ -29,7 +29,7 @@ def scan(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFrame
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.where(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
     root = path.rstrip("/").removeprefix("file:").lstrip("/")
-    return files.select(F.regexp_replace("path", rf"^[a-z0-9]+:/+\Q{root}\E/", "").alias("document_id"), F.col("path").alias("source_file"), F.decode("content", F.lit("UTF-8")).alias("raw"), F.sha2("content", 256).alias("file_hash"))
+    return files.select(F.regexp_replace("path", rf"^[a-z0-9]+:/+\Q{root}\E/", "").alias("document_id"), F.col("path").alias("source_file"), F.decode("content", "UTF-8").alias("raw"), F.sha2("content", 256).alias("file_hash"))
 
 
 def _checked(docs: DataFrame, least: int) -> DataFrame:
