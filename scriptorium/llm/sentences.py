@@ -28,9 +28,11 @@ CLOSERS = "\"'”’»)\\]』」）》〉】“"
 BLOCK = re.compile(r"(?:[^\S\n]*\r?\n){2,}|[^\S\n]*\r?\n(?=- )|(?<=\n)(?=- )")
 SPACED = re.compile(rf"(?:[.!?…‽؟।॥۔;;]+)(?:[{CLOSERS}]|[   ](?=»)|[  ])*(?=\s|$)|[。！？｡]+[{CLOSERS}]*")
 BARE = re.compile(r"(?<=[฀-໿က-႟ក-៿])(?=[ \t]+[฀-໿က-႟ក-៿])")
+BARE_LETTER = re.compile(r"[฀-໿က-႟ក-៿]")
 LEFT = re.compile(r"\S+$")
 RIGHT = re.compile(r"\s*([\"'“”„«»‘’‚(\[「『（《—–¿¡-]*)\s*([^\W_]+)?(?:[^\S\n]|\n)*(\S+)?")
 HAN = re.compile(r"[぀-ヿ㐀-鿿]")
+UNSPACED = re.compile(f"{HAN.pattern}|{BARE_LETTER.pattern}")
 OPEN_QUOTES = "\"“„«‘‚「『"
 
 
@@ -54,10 +56,10 @@ def _left(token: str) -> tuple[str, str]:
     """The token ahead of the place, normalised, and its class."""
     core = token.rstrip("\"'”’»)]』」）》“   ")
     closed = len(core) < len(token)
-    word = core.rstrip(".!?…‽؟।॥۔;;。！？｡")
+    word = core.rstrip(".!?…‽؟।॥۔;;。！？｡៕។။")
     mark = core[len(word) :]
     word = word.lstrip("\"'“„«‘‚([「『（《—–")
-    kind = "e" if "…" in mark or mark.startswith("..") else "q" if set(mark) & set("?!‽؟？！;;") else "d" if set(mark) & set("।॥۔。｡") else "p" if mark else "n"
+    kind = "e" if "…" in mark or mark.startswith("..") else "q" if set(mark) & set("?!‽؟？！;;") else "d" if set(mark) & set("।॥۔。｡៕។။") else "p" if mark else "n"
     if not word:
         shape = "0"
     elif word[-1].isdigit():
@@ -103,7 +105,7 @@ def script(token: str) -> str:
     for ch in token:
         if ch.isalpha():
             c = ord(ch)
-            return "L" if c < 0x370 else "G" if c < 0x400 else "C" if c < 0x530 else "A" if 0x590 <= c < 0x780 else "D" if 0x900 <= c < 0xE00 else "H" if 0x3040 <= c < 0xA000 else "?"
+            return "L" if c < 0x370 else "G" if c < 0x400 else "C" if c < 0x530 else "A" if 0x590 <= c < 0x780 else "D" if 0x900 <= c < 0xE00 else "S" if BARE_LETTER.match(ch) else "H" if 0x3040 <= c < 0xA000 else "?"
     return "L"
 
 
@@ -125,7 +127,7 @@ def places(text: str, lo: int, hi: int, cased: bool = True) -> list[tuple[int, s
     if BARE.search(text, lo, hi):
         for m in BARE.finditer(text, lo, hi):
             token = LEFT.search(text, max(lo, m.start() - 40), m.start())
-            out.append((m.start(), token[0] if token else "", "n", *_right(text, m.start(), hi)))
+            out.append((m.start(), *_left(token[0] if token else ""), *_right(text, m.start(), hi)))
         out.sort()
     if not cased:
         out = [(at, left, kind, r, "v" + shape[1:] if shape[0] == "l" else shape, more) for at, left, kind, r, shape, more in out]
@@ -159,6 +161,8 @@ def _logit(p: float) -> float:
 
 def _evidence(n: float, k: float, rate: float) -> float:
     """How much k paragraph edges among n places speak for a token that stands at sentence edges (which then is at `rate` n paragraph edges) against one that doesn't."""
+    if not rate:
+        return 0.0
     stray = rate / 40
     return max(-8.0, min(3.0, k * math.log(rate / stray) - (rate - stray) * n))
 
@@ -221,7 +225,7 @@ class EventModel:
         """Chances of a boundary at the places of one block: forward and backward over the chain of events."""
         odds = [self.odds(s) for s in sites]
         n = len(odds)
-        near = [i > 0 and text.count(" ", sites[i - 1][0], sites[i][0]) <= 1 and sites[i][0] - sites[i - 1][0] < 20 and not HAN.search(text, sites[i - 1][0], sites[i][0]) for i in range(n)]
+        near = [i > 0 and text.count(" ", sites[i - 1][0], sites[i][0]) <= 1 and sites[i][0] - sites[i - 1][0] < 20 and not UNSPACED.search(text, sites[i - 1][0], sites[i][0]) for i in range(n)]
         p = np.array([1 / (1 + math.exp(-max(-30.0, min(30.0, o)))) for o in odds])
         i = 0
         while i < n:
@@ -262,7 +266,7 @@ class EventModel:
                 token = LEFT.search(t[lo:hi].rstrip()[-40:])
                 last = _left(token[0])[0] if token else ""
                 ends[last] += 1
-                if cased or script(last) in "ADH":
+                if cased or script(last) in "ADHS":
                     begun.append((script(last), *_right(t, lo, hi)))
                 if sites:
                     chains.append((t, sites))

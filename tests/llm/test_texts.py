@@ -38,6 +38,22 @@ def test_sentences(spark):
     assert sentences.sentences(df.where("document_id = 'zz'")).count() == 0
 
 
+
+def test_sentences_in_scripts_without_marks(spark):
+    thai = "วันนี้ฝนตกหนัก เขาไปตลาดแต่เช้า รถไฟมาถึงช้า เด็กเล่นในสวน แม่ทำอาหารเย็น เราดูเรือที่ท่า".split()
+    khmer = "ថ្ងៃនេះមានភ្លៀង។ គាត់ទៅផ្សារពីព្រឹក។ រថភ្លើងមកយឺត។ ក្មេងលេងក្នុងសួន។".split()
+    rng = random.Random(1)
+    for words in (thai, khmer):
+        docs = ["\n\n".join(" ".join(rng.sample(words, 4)) for _ in range(3)) for _ in range(40)]
+        assert all(len(s[2]) >= 2 for s in sentences.places(docs[0], 0, len(docs[0])))
+        own, other = sentences.EventModel.fit(docs), sentences.EventModel.fit(corpus()[:20])
+        assert [docs[0][a:b] for a, b in sentences.spans(docs[0], own)] == docs[0].split()
+        assert " ".join(docs[0][a:b] for a, b in sentences.spans(docs[0], other)).split() == docs[0].split()
+    rows = [("th", " ".join(thai)), ("km", " ".join(khmer)), ("en", PROSE)]
+    got = Counter(r.document_id for r in sentences.sentences(spark.createDataFrame(rows, "document_id string, text string")).collect())
+    assert got["th"] >= 1 and got["km"] == 4 and got["en"] >= 4
+
+
 MAIL = """---
 author: Ann Moe
 ---
