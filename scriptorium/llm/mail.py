@@ -108,6 +108,12 @@ def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(text.split())) - (1 << 63)
 
 
+def _own_body(lines: list[str], kinds: list[int]) -> int:
+    """Digest of a message's own text without white space and without a greeting, that is a first line that ends in a comma."""
+    own = [x for line, k in zip(lines, kinds) if k == mailtext.NEW and (x := "".join(line.split()))]
+    return _digest("".join(own[1:] if len(own) > 1 and own[0][-1] in ",，،" and len(own[0]) <= 60 else own))
+
+
 def mails(docs: DataFrame) -> DataFrame:
     """(id, document_id, sender, thread, at, author, author_id, raw): distinct e-mails; rows without id or raw_markdown are left out."""
     own = docs.where(is_email(F.col("source_type"), F.col("genre")) & F.col("document_id").isNotNull() & F.col("raw_markdown").isNotNull())
@@ -165,20 +171,26 @@ def inherited_lines(mail: DataFrame) -> DataFrame:
 
 
 def recurring_endings(mail: DataFrame) -> DataFrame:
-    """(id, endings): digests of the paragraphs near a message's end that end RECURS or more messages of its sender."""
+    """(id, endings): digests of the paragraphs near a message's end that end RECURS or more messages of its sender that say different things.
+
+    Messages of equal own text count once, whatever they quote and whom they greet in a first line: copies of one message show nothing about its ending.
+    """
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, senders, digests = [], [], []
+            ids, senders, digests, bodies = [], [], [], []
             for i, s, raw, author, aid in zip(*(b.column(c).to_pylist() for c in ("id", "sender", "raw", "author", "author_id"))):
-                for d in {_digest(p) for p in mailtext.mark(raw, author, aid)[2]}:
+                lines, kinds, last = mailtext.mark(raw, author, aid)
+                body = _own_body(lines, kinds)
+                for d in {_digest(p) for p in last}:
                     ids.append(i)
                     senders.append(s)
                     digests.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(senders, pa.string()), pa.array(digests, pa.int64())], names=["id", "sender", "digest"])
+                    bodies.append(body)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(senders, pa.string()), pa.array(digests, pa.int64()), pa.array(bodies, pa.int64())], names=["id", "sender", "digest", "body"])
 
-    near = materialize(mail.where("sender is not null").select("id", "sender", "raw", "author", "author_id").mapInArrow(ends, "id bigint, sender string, digest bigint"))
-    often = near.groupBy("sender", "digest").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {RECURS}").select("sender", "digest")
+    near = materialize(mail.where("sender is not null").select("id", "sender", "raw", "author", "author_id").mapInArrow(ends, "id bigint, sender string, digest bigint, body bigint"))
+    often = near.groupBy("sender", "digest").agg(F.countDistinct("body").alias("n")).where(f"n >= {RECURS}").select("sender", "digest")
     return near.join(often, ["sender", "digest"]).groupBy("id").agg(F.collect_set("digest").alias("endings"))
 
 

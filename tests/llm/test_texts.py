@@ -104,6 +104,19 @@ def test_mail_lines(spark):
     assert mail.new_lines(df.where("document_id = 'none'")).count() == 0
 
 
+def test_copies_of_a_mail_keep_their_paragraphs(spark):
+    body = ["The quay was closed on Monday because of the storm.", "We moved the boats into the inner harbour by hand.", "Nobody was hurt and nothing was lost in the end.", "The crane will be repaired before the summer starts.", "Bring your own ropes when you come next week."]
+    copies = [(f"c{i}", "\n\n".join(body)) for i in range(4)] + [(f"g{i}", "\n\n".join([f"Hi {n},", *body])) for i, n in enumerate(("Bo", "Cy", "Di", "Ed"))]
+    ended = [(f"e{i}", f"Letter {i} is about lamp number {i}.\n\nkeep calm and read on") for i in range(3)]
+    rows = [(d, raw, None, 1, 1, "Ann", "ann", "work_email", None) for d, raw in copies + ended]
+    df = spark.createDataFrame(rows, "document_id string, raw_markdown string, root_document_id string, written_at int, loaded_at int, author string, author_id string, genre string, source_type string")
+    got = defaultdict(list)
+    for r in mail.new_lines(df).orderBy("document_id", "line_no").collect():
+        got[r.document_id].append(r.line)
+    assert all(got[f"c{i}"] == body and got[f"g{i}"][1:] == body for i in range(4))
+    assert all(len(got[f"e{i}"]) == 1 for i in range(3))  # what ends different letters still goes
+
+
 def test_automaton_against_brute_force():
     import random
 
