@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,11 +52,54 @@ def percentiles(candidates: DataFrame, history: DataFrame) -> DataFrame:
     return candidates.join(ranks, "v")
 
 
+def _of_rest(a: np.ndarray) -> list[float]:
+    """pivot, and the median of the other values for a value below, at and above it."""
+    n = len(a)
+    m = n // 2
+    a = np.partition(a, [m - 1, m, min(m + 1, n - 1)])
+    if n % 2 == 0:
+        return [a[m - 1], a[m], a[m], a[m - 1]]
+    return [a[m], (a[m] + a[m + 1]) / 2, (a[m - 1] + a[m + 1]) / 2, (a[m - 1] + a[m]) / 2]
+
+
+def leave_one_out(long: DataFrame) -> DataFrame:
+    """(feature, n, mean, ss, median, below, at, above) of `long(feature, value)`: all that the distribution of a feature's other values depends on, for every value.
+
+    Without one value a median can only be one of three, by the side of the middle that the value was on. `median` holds the pivot and these three,
+    `below`, `at` and `above` the same for the absolute deviations from each. Features of a single value have no rest and are left out. One task sorts a feature's values.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        x = t.column("value").to_numpy()
+        if len(x) < 2:
+            return pa.Table.from_pylist([], schema)
+        rest = _of_rest(x)
+        row = {"feature": t.column("feature")[0].as_py(), "n": len(x), "mean": x.mean(), "ss": ((x - x.mean()) ** 2).sum(), "median": rest}
+        return pa.Table.from_pylist([row | {k: _of_rest(np.abs(x - c)) for k, c in zip(("below", "at", "above"), rest[1:])}], schema)
+
+    quads = [(k, pa.list_(pa.float64())) for k in ("median", "below", "at", "above")]
+    schema = pa.schema([("feature", pa.string()), ("n", pa.int64()), ("mean", pa.float64()), ("ss", pa.float64()), *quads])
+    kinds = "feature string, n bigint, mean double, ss double, median array<double>, below array<double>, at array<double>, above array<double>"
+    return long.where("value is not null").select("feature", "value").groupBy("feature").applyInArrow(run, kinds)
+
+
+def similarity_to_rest(wide: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """keep and `similarity` as in stylometry_similarity, of every row to the distribution of all other rows."""
+    long = M.long_form(wide, keep).join(F.broadcast(leave_one_out(M.long_form(wide, ()))), "feature")
+    side = lambda v, q: F.when(v < q[0], q[1]).when(v == q[0], q[2]).otherwise(q[3])
+    v, n, pivot = F.col("value"), F.col("n"), F.col("median")[0]
+    long = long.withColumn("centre", side(v, F.col("median"))).withColumn("own", F.when(v < pivot, F.col("below")).when(v == pivot, F.col("at")).otherwise(F.col("above")))
+    mad = 1.4826 * side(F.abs(v - F.col("centre")), F.col("own"))
+    std = F.sqrt(F.greatest(F.lit(0.0), (F.col("ss") - (v - F.col("mean")) ** 2 * n / (n - 1)) / (n - 1)))
+    z = (v - F.col("centre")) / F.greatest(mad, 0.25 * std, 0.1 * F.abs("centre"), F.lit(0.01))
+    return long.groupBy(*keep).agg(F.exp(-F.avg(F.least(F.abs(z), F.lit(8.0))) / 2).alias("similarity"))
+
+
 def spread_of_history(wide: DataFrame) -> DataFrame:
-    """(length_class, documents, mean_similarity, spread) of a bank's documents to the bank's own distribution."""
-    dist = distribution(M.long_form(wide, ("doc_id",)))
-    sim = stylometry_similarity(wide, dist, ("doc_id", "word_length_mean"))
-    return sim.groupBy(F.floor("word_length_mean").cast("int").alias("length_class")).agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("similarity"), 6).alias("mean_similarity"), F.round(F.stddev_pop("similarity"), 6).alias("spread"))
+    """(length_class, documents, mean_similarity, spread) of a bank's documents to the distribution of the bank's other documents; length_class is 0 under 150 `words`, 1 under 500, else 2. A bank of one document has no rest and gives no row."""
+    sim = similarity_to_rest(wide, ("doc_id", "words"))
+    level = F.when(F.col("words") < 150, 0).when(F.col("words") < 500, 1).otherwise(2)
+    return sim.groupBy(level.alias("length_class")).agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("similarity"), 6).alias("mean_similarity"), F.round(F.stddev_pop("similarity"), 6).alias("spread"))
 
 
 def normalise(value: Column, median: Column, mad: Column, std: Column, n: Column) -> Column:

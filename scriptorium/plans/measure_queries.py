@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import measures as M
 from scriptorium.functions import text as T
 from scriptorium.operators import distributions as D
-from scriptorium.session import spread, table
+from scriptorium.session import materialize, spread, table
 
 REFERENCE = "weblog_north"
 
@@ -73,8 +73,8 @@ def stylometry_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 def stylometry_leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     """The reference source's own documents against each other: mean and spread of their similarity to the rest, by length class."""
-    wide = M.measured(_docs(spark, d).where(F.col("source") == REFERENCE), keep=("doc_id",))
-    return D.spread_of_history(wide)
+    own = _docs(spark, d).where(F.col("source") == REFERENCE).withColumn("words", F.coalesce(T.word_count(F.col("text")), F.lit(0)))
+    return D.spread_of_history(materialize(M.measured(own, keep=("doc_id", "words"))))
 
 
 def historical_percentile(spark: SparkSession, d: str) -> DataFrame:

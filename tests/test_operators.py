@@ -1,8 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions.measures import NAMES
 from scriptorium.operators import distributions as D
 from scriptorium.operators import groups as G
 from scriptorium.operators import metrics as M
@@ -90,3 +92,18 @@ def test_groups_and_holdout(spark):
     folds = G.folds(spark.createDataFrame(docs, "document_id string, group_id string, stratum string")).collect()
     assert all(len({r.fold for r in folds if r.group_id == g}) == 1 for g in {r.group_id for r in folds})
     assert math.isfinite(sum(r.fold for r in folds))
+
+
+def test_leave_one_out_equals_each_documents_rest(spark):
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 8, 9):
+        x = np.round(rng.normal(5, 2, (n, len(NAMES))), rng.integers(0, 3))  # with ties
+        wide = spark.createDataFrame([(i, 100 + 100 * i, *map(float, r)) for i, r in enumerate(x)], ", ".join(["doc_id int", "words int", *(f"{m} double" for m in NAMES)]))
+        got = {r.doc_id: r.similarity for r in D.similarity_to_rest(wide, ("doc_id",)).collect()}
+        for i in range(n):
+            rest = np.delete(x, i, 0)
+            centre = np.median(rest, 0)
+            scale = np.maximum.reduce([1.4826 * np.median(np.abs(rest - centre), 0), 0.25 * rest.std(0), 0.1 * np.abs(centre), np.full(len(centre), 0.01)])
+            assert abs(got[i] - np.exp(-np.minimum(np.abs(x[i] - centre) / scale, 8).mean() / 2)) < 1e-9
+        assert {r.length_class: r.documents for r in D.spread_of_history(wide).collect()} == {k: c for k, c in ((0, 1), (1, min(n, 4) - 1), (2, max(0, n - 4))) if c}
+    assert D.spread_of_history(wide.where("doc_id = 0")).count() == 0
