@@ -75,7 +75,7 @@ def embed(passages: DataFrame, encoder: Encoder, settings: Settings, cache: Data
 
 
 class Engine:
-    """A bank: passages with vectors, measures of its documents, and what its own documents score against the rest."""
+    """A bank: passages with vectors and measures of its documents. Signals are not normalised by what its own documents score against the rest."""
 
     def __init__(self, spark: SparkSession, settings: Settings, encoder: Encoder, passages: DataFrame, measures: DataFrame):
         self.spark, self.settings, self.encoder, self.passages, self.measures = spark, settings, encoder, passages, measures
