@@ -109,6 +109,25 @@ class Engine:
     def _numbered(self, passages: DataFrame, doc: str, number: str) -> DataFrame:
         return passages.select(F.xxhash64("document_id").alias(doc), F.xxhash64("document_id", "passage_id").alias(number), F.col("embedding").cast("array<double>").alias("v"))
 
+    def _character(self, asked: DataFrame) -> DataFrame:
+        """(document_id, character): the median over all bank documents of the mean best cosine of passages, both ways; passages that share no gram have 0.
+
+        Weights are fitted on the bank's passages.
+        """
+        named = lambda p, side: p.select(F.concat_ws("\x1f", F.lit(side), "document_id", F.col("passage_id").cast("string")).alias("passage"), "document_id", "text")
+        a, b = named(asked, "c"), named(self.passages, "r")
+        counts = S.gram_counts(b, "passage")
+        vocab = S.vocabulary(counts, "passage")
+        cos = S.sparse_cosines(S.tfidf(S.gram_counts(a, "passage"), vocab, "passage"), S.tfidf(counts, vocab, "passage"), "passage")
+        cos = cos.withColumns({"c": F.split("q", "\x1f")[1], "d": F.split("r", "\x1f")[1]})
+        best = lambda side: cos.groupBy("c", "d", side).agg(F.max("cosine").alias("m")).groupBy("c", "d").agg(F.sum("m").alias(f"of_{side}"))
+        size = lambda p, doc, n: p.groupBy(F.col("document_id").alias(doc)).agg(F.count(F.lit(1)).alias(n))
+        both = best("q").join(best("r"), ["c", "d"]).join(size(a, "c", "nq"), "c").join(size(b, "d", "nr"), "d")
+        found = both.groupBy("c").agg(F.sort_array(F.collect_list((F.col("of_q") / F.col("nq") + F.col("of_r") / F.col("nr")) / 2)).alias("s"))
+        found = found.crossJoin(F.broadcast(b.agg(F.countDistinct("document_id").alias("n"))))  # one row
+        at = lambda k: F.coalesce(F.get("s", (k - F.col("n") + F.size("s")).cast("int")), F.lit(0.0))  # noqa: E731  (documents that share no gram stand first)
+        return found.select(F.col("c").alias("document_id"), ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("character"))
+
     def signals(self, candidates: DataFrame) -> DataFrame:
         """(candidate_id, words, authorship, stylometry, character) of `candidates(candidate_id, text)`, the raw signals. Texts of fewer than three words are left out."""
         own = candidates.where(T.word_count(F.col("text")) >= 3).select(F.col("candidate_id").cast("string").alias("document_id"), "text")
@@ -118,11 +137,7 @@ class Engine:
         wide = M.measured(own, keep=("document_id",))
         dist = D.distribution(M.long_form(self.measures, ("document_id",)))
         style = D.stylometry_similarity(wide, dist, ("document_id",)).withColumnRenamed("similarity", "stylometry")
-        texts = self.passages.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("passage_id", "text"))), lambda p: p["text"]), "\n\n").alias("text"))
-        bank = S.gram_counts(texts, "document_id")
-        vocab = S.vocabulary(bank, "document_id")
-        chars = S.sparse_cosines(S.tfidf(S.gram_counts(own, "document_id"), vocab, "document_id").withColumn("document_id", F.concat(F.lit("c:"), F.col("document_id"))), S.tfidf(bank, vocab, "document_id"), "document_id")
-        chars = chars.groupBy(F.substring("q", 3, 1 << 20).alias("document_id")).agg(F.median("cosine").alias("character"))
+        chars = self._character(cp)
         out = own.select("document_id", F.xxhash64("document_id").alias("c"), T.word_count(F.col("text")).alias("words")).join(authorship, "c", "left").join(style, "document_id").join(chars, "document_id", "left")
         return out.select(F.col("document_id").alias("candidate_id"), "words", "authorship", "stylometry", F.coalesce("character", F.lit(0.0)).alias("character"))
 

@@ -1,10 +1,15 @@
 import json
+import math
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import learn
 from scriptorium.operators import metrics as M
+from scriptorium.operators import segments
 from scriptorium.plans.engine import Engine, Settings, embed, hashing_encoder, highlight_ranges, write_report
 from scriptorium.streaming import scoring
 
@@ -38,6 +43,31 @@ def test_bank_round_trip_and_scores(spark, tmp_path):
     assert [r.candidate_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["draft.txt"]
 
 
+def test_character_signal_by_passages_counts_missing_pairs(spark):
+    greek = "Πηγαίνω στο λιμάνι και βλέπω τις βάρκες κάθε πρωί. "
+    docs = [("a", OWN * 3), ("b", OTHER * 30), ("g", greek * 8), ("h", greek * 5)]
+    engine = Engine.build(spark.createDataFrame(docs, "document_id string, text string"))
+    texts = [("same", OWN * 3), ("long", OWN * 14 + "\n\n" + OTHER * 30)]
+    got = {r.candidate_id: r.character for r in engine.signals(spark.createDataFrame(texts, "candidate_id string, text string")).collect()}
+    bank = [(r.document_id, r.text) for r in engine.passages.collect()]
+    own = [(r.document_id, r.text) for r in segments.passages(spark.createDataFrame(texts, "document_id string, text string")).collect()]
+    assert len([1 for d, _ in own if d == "long"]) > 1
+    grams = lambda t: Counter(t[i : i + n] for t in [re.sub(r"\s\s+", " ", t.lower())] for n in (3, 4, 5) for i in range(len(t) - n + 1))
+    df = Counter(g for _, t in bank for g in set(grams(t)))
+
+    def vector(t):
+        w = {g: (1 + math.log(c)) * (math.log((1 + len(bank)) / (1 + df[g])) + 1) for g, c in grams(t).items() if g in df}
+        norm = math.sqrt(sum(x * x for x in w.values())) or 1
+        return {g: x / norm for g, x in w.items()}
+
+    for name, _ in texts:
+        each = []
+        for d, _ in docs:
+            s = np.array([[sum(x * v.get(g, 0) for g, x in u.items()) for v in (vector(t) for k, t in bank if k == d)] for u in (vector(t) for k, t in own if k == name)])
+            each.append((s.max(1).mean() + s.max(0).mean()) / 2)
+        assert got[name] == pytest.approx(np.median(each), abs=1e-9)
+
+
 def test_ranges_do_not_overlap(spark):
     s = spark.createDataFrame([("c", 0, 10, 6.0), ("c", 5, 15, 3.0), ("c", 20, 30, 2.0), ("c", 40, 50, 0.5)], "candidate_id string, start_char int, end_char int, effect double")
     assert [(r.start_char, r.severity) for r in highlight_ranges(s).orderBy("start_char").collect()] == [(0, "high"), (20, "medium"), (40, "low")]
