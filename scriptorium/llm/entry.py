@@ -19,9 +19,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    """How much evaluation prose occurs in train, per split and source type, at the usual similarity."""
+    """How much evaluation prose occurs in train, per split and source type, with spans and counts."""
     docs = table(spark, d, "corpus_docs")
-    return overlap.overlap_report(docs, *overlap.overlaps(overlap.split_sides(docs), 0.8))
+    return overlap.overlap_report(docs, *overlap.overlaps(overlap.split_sides(docs), 0.6))
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every prose document with its class of equal texts and how many documents of the other side overlap it."""
+    return overlap.document_links(*overlap.overlaps(overlap.split_sides(table(spark, d, "corpus_docs")), 0.6))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +122,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_coverage, p4_found, p4_split, p5_found, p5_pieces, p6_found, p7_found, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_links, p2_found, p3_found, p3_coverage, p4_found, p4_split, p5_found, p5_pieces, p6_found, p7_found, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,14 +2,16 @@
 
 Every text becomes a sequence of word hashes. Records of equal sequence are one class from then on.
 
-* Routing: a pair whose sets of five-word runs reach the similarity shares a run among the first few of each in any fixed order of runs
-  (prefix filtering), so only those runs are joined. The order puts runs that are frequent in the corpus last. It decides what is cheap, never what is found.
-* Index: evaluation records with a partner are put into shards. Each shard is written as one word sequence and turned into a full-text index
-  (Burrows-Wheeler transform with symbol ranks). Training records routed to the shard stream through it by backward search, all positions at once, which
-  yields the index interval of every five-word match; intervals name the runs, so shared runs and their union are exact integers.
-* Runs next to each other are merged into spans and counted per pair.
-
-A record of many partners is met by splitting its shard's training side into blocks.
+* Shards: evaluation records are put into small buckets by the least hash of their five-word runs, so that near copies lie together, and buckets into shards. Each
+  shard is one word sequence, kept as a run-length compressed Burrows-Wheeler transform: repeated stretches of near copies cost next to nothing.
+* Routing: a pair whose sets of runs reach the similarity shares some of the first runs of each in any fixed order of runs (prefix filtering). So a
+  training record only visits the shards of buckets with which it shares those. The order puts runs that are frequent in the corpus last, and frequent
+  ones are salted. Routing decides what is cheap, never what is found: it names no partner.
+* Search: training records stream through the shard by backward search, all places at once. The interval of a run lists the records that hold it; records that hold one of the
+  rarest runs found become candidates, and shared runs and their union are counted exactly.
+* Spans: for every pair found, backward search of variable length gives the maximal matches of the two records; these are merged into spans and counted.
+
+A shard that outgrows its size is cut into parts, and its training records into blocks.
 """
 
 from __future__ import annotations
@@ -32,7 +34,10 @@ RUN = 5
 HOT, COUNT_BLOCK, REPORT = 1 << 19, 1 << 21, 4
 #: Runs that a pair must share among the first ones of each; the first ones are as many more.
 AGREE = 6
-SHARD_WORDS = 400_000
+#: Words in an index; evaluation records in a bucket, on average; rows of one run in one salt.
+SHARD_WORDS, PER_BUCKET, SALT_ROWS = 400_000, 16, 20_000
+#: Words that stream through an index at once, and pairs looked up at once.
+STREAM, LOOKUPS = 200_000, 2_000_000
 
 
 def is_email(source_type: Column, genre: Column) -> Column:
@@ -72,23 +77,25 @@ def runs(words: np.ndarray, n: int = RUN) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """(id, document_id, side, n, digest, words) for `docs(document_id, side, text)`: n distinct runs, the sequence and its digest."""
+    """(id, document_id, side, n, least, digest, words) for `docs(document_id, side, text)`: n distinct runs, the least of their hashes, the sequence and its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for b in batches:
             if len(known) > 1_000_000:
                 known = {}
-            ns, digests, seqs = [], [], []
+            ns, leasts, digests, seqs = [], [], [], []
             for t in b.column("text").to_pylist():
                 w = word_hashes(t, known)
                 raw = w.tobytes()
-                ns.append(len(np.unique(runs(w))))
+                own = np.unique(runs(w))
+                ns.append(len(own))
+                leasts.append(int(own[0].view(np.int64)) if len(own) else 0)
                 seqs.append(raw)
                 digests.append(xxhash.xxh3_128_digest(raw))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("document_id"), b.column("side"), pa.array(ns, pa.int32()), pa.array(digests, pa.binary()), pa.array(seqs, pa.binary())], names=["id", "document_id", "side", "n", "digest", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("document_id"), b.column("side"), pa.array(ns, pa.int32()), pa.array(leasts, pa.int64()), pa.array(digests, pa.binary()), pa.array(seqs, pa.binary())], names=["id", "document_id", "side", "n", "least", "digest", "words"])
 
-    return docs.withColumn("id", F.monotonically_increasing_id()).select("id", "document_id", "side", "text").mapInArrow(run, "id bigint, document_id string, side int, n int, digest binary, words binary")
+    return docs.withColumn("id", F.monotonically_increasing_id()).select("id", "document_id", "side", "text").mapInArrow(run, "id bigint, document_id string, side int, n int, least bigint, digest binary, words binary")
 
 
 def frequent_runs(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -119,39 +126,55 @@ def frequent_runs(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return run_[order], np.minimum(n[order], (1 << 31) - 1).astype(np.int32)
 
 
-def prefixes(tokens: DataFrame, hot: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
-    """(run, id, side, n): the first runs of each record in the common order (count, then hash).
+def needed(n: int, similarity: float) -> int:
+    """How many first runs a record of n runs shares with any partner: AGREE, or fewer if a partner may be so short."""
+    return min(AGREE, max(1, int(np.ceil(similarity * np.ceil(similarity * n - 1e-9) - 1e-9))))
+
+
+def prefixes(tokens: DataFrame, hot: tuple[np.ndarray, np.ndarray], similarity: float, side: int) -> DataFrame:
+    """(run, who) of the records of one side, by the first runs of each in the common order (count, then hash). `who` is the bucket, or for training records (side 0) id * 8 + `needed`.
 
     With n runs and a least overlap a = ceil(similarity * n), two records of the similarity share at least k runs among the first n - a + k of each; k is
-    AGREE, or a where that is less.
+    AGREE, or a where that is less. A run is named by 32 bits: two of one name can only add a visit. A frequent run has several names: a training record takes one of them, a bucket all.
     """
     shared = tokens.sparkSession.sparkContext.broadcast(hot)  # at most HOT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, count = shared.value
         for b in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            for i, side, raw in zip(b.column("id").to_pylist(), b.column("side").to_pylist(), b.column("words").to_pylist()):
+            names, owners = [], []
+            for i, who, raw in zip(b.column("id").to_pylist(), b.column("who").to_pylist(), b.column("words").to_pylist()):
                 own = np.unique(runs(np.frombuffer(raw, np.uint64)))
                 n = len(own)
                 if not n:
                     continue
                 least = int(np.ceil(similarity * n - 1e-9))
-                take = n - least + min(AGREE, least)
+                often = np.zeros(n, np.int64)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
-                    own = own[np.argsort(np.where(hot[at] == own, count[at], 0), kind="stable")]
-                own = own[:take]
-                for c, v in zip(cols, (own.view(np.int64), np.full(len(own), i, np.int64), np.full(len(own), side, np.int32), np.full(len(own), n, np.int32))):
-                    c.append(v)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["run", "id", "side", "n"])
-
-    return tokens.select("id", "side", "words").mapInArrow(run, "run bigint, id bigint, side int, n int")
+                    often = np.where(hot[at] == own, count[at], 0)
+                first = np.argsort(often, kind="stable")[: n - least + min(AGREE, least)]
+                own, salts = own[first], often[first] // SALT_ROWS + 1
+                if side:
+                    turn = np.arange(salts.sum()) - np.repeat(np.cumsum(salts) - salts, salts)
+                    own = np.repeat(own, salts)
+                else:
+                    turn, who = np.uint64(i * 0x9E3779B1 % (1 << 31)) % salts.astype(np.uint64), i * 8 + needed(n, similarity)
+                own = (own + turn.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0xBF58476D1CE4E5B9)
+                names.append((own >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                owners.append(np.full(len(own), who, np.int64))
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(owners))], names=["run", "who"])
+
+    return tokens.select("id", "who", "words").mapInArrow(run, "run int, who bigint")
 
 
 class RunIndex:
-    """Full-text index of several word sequences."""
+    """Full-text index of several word sequences.
+
+    The Burrows-Wheeler transform is kept as its runs of equal symbols, sorted by symbol and row: one number for where a run starts and one for how many rows precede it.
+    A step of backward search is one binary search among the runs. Every five-word interval also lists the sequences that hold it.
+    """
 
     def __init__(self, sequences: list[np.ndarray]):
         every = np.concatenate([np.concatenate([s, np.zeros(1, np.uint64)]) for s in sequences])
@@ -166,7 +189,7 @@ class RunIndex:
         while True:
             ahead = np.full(n, -1, np.int64)
             ahead[: n - width] = rank[width:] if width < n else 0
-            key = rank * (n + 2) + ahead + 1 if rank.max() < (1 << 62) // (n + 2) else None
+            key = rank * (n + 2) + ahead + 1
             order = np.argsort(key, kind="stable")
             new = np.empty(n, np.int64)
             sorted_key = key[order]
@@ -175,69 +198,182 @@ class RunIndex:
             rank, width = new, width * 2
             if done or width >= n:
                 break
-        suffixes = np.argsort(rank, kind="stable")
-        bwt = text[suffixes - 1]
-        # rank of a symbol before a row, plus the number of smaller symbols, is one binary search in (symbol, row)
-        self.steps = np.sort(bwt * n + np.arange(n))
-        self.offsets = np.concatenate([[0], ends[:-1] + 1])
+        self.suffixes = np.argsort(rank, kind="stable").astype(np.int32)
+        bwt = text[self.suffixes - 1]
+        heads = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
+        lengths = np.diff(np.append(heads, n))
+        keys = bwt[heads] * n + heads
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.before = np.concatenate([[0], np.cumsum(lengths[order])])
+        # rows whose suffixes start with the same five words are one group; a group lists its sequences
+        padded = np.concatenate([text, np.zeros(RUN, np.int64)])
+        fresh, inside = np.zeros(n, bool), np.ones(n, bool)
+        fresh[0] = True
+        for k in range(RUN):
+            word = padded[self.suffixes.astype(np.int64) + k]
+            fresh[1:] |= word[1:] != word[:-1]
+            inside &= word > 0
+        self.group = (np.cumsum(fresh) - 1).astype(np.int32)
+        owner = np.searchsorted(ends, self.suffixes)
+        count = len(sequences)
+        held = np.unique(self.group[inside].astype(np.int64) * count + owner[inside])
+        self.listed = (held % count).astype(np.int32)
+        self.lists = np.searchsorted(held // count, np.arange(int(self.group[-1]) + 2))
+        self.pairs = np.sort((held % count) * (int(self.group[-1]) + 1) + held // count)
+        self.groups = int(self.group[-1]) + 1
+        self.distinct = np.bincount(self.listed, minlength=count)
+        self.ends = ends
+
+    def symbols(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of words; -1 for those that no sequence holds."""
+        at = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == words, at + 1, -1)
+
+    def back(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Rows of smaller symbols plus how often the symbol stands ahead of the row: one end of the interval after a step."""
+        ask = symbol * self.size + row
+        j = np.searchsorted(self.keys, ask) - 1
+        at = np.maximum(j, 0)
+        return np.where(j >= 0, self.before[at] + np.minimum(ask - self.keys[at], self.before[at + 1] - self.before[at]), 0)
+
+    def intervals(self, symbol: np.ndarray, last: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the n words that end at each place of `last`; empty where they don't occur."""
+        lo, hi = np.zeros(len(last), np.int64), np.full(len(last), self.size, np.int64)
+        live = np.flatnonzero(last >= n - 1)
+        hi[last < n - 1] = 0
+        for k in range(n):
+            s = symbol[last[live] - k]
+            ok = s > 0
+            hi[live[~ok]] = lo[live[~ok]] = 0
+            live, s = live[ok], s[ok]
+            lo[live], hi[live] = self.back(s, lo[live]), self.back(s, hi[live])
+            live = live[lo[live] < hi[live]]
+        empty = lo >= hi
+        lo[empty] = hi[empty] = 0
+        return lo, hi
 
     def matches(self, words: np.ndarray, n: int = RUN) -> np.ndarray:
-        """For every run of n words its row in the index, or -1: backward search from all ends at once."""
+        """For every run of five words its group in the index, or -1: backward search from all ends at once."""
         if len(words) < n:
             return np.zeros(0, np.int64)
-        at = np.searchsorted(self.alphabet, words)
-        at = np.minimum(at, len(self.alphabet) - 1)
-        symbol = np.where(self.alphabet[at] == words, at + 1, -1)
-        live = np.arange(len(words) - n + 1)
-        lo, hi = np.zeros(len(live), np.int64), np.full(len(live), self.size, np.int64)
-        for back in range(n - 1, -1, -1):
-            s = symbol[live + back]
-            lo, hi = np.searchsorted(self.steps, s * self.size + lo), np.searchsorted(self.steps, s * self.size + hi)
-            keep = (s > 0) & (lo < hi)
-            live, lo, hi = live[keep], lo[keep], hi[keep]
-        out = np.full(len(words) - n + 1, -1, np.int64)
-        out[live] = lo
-        return out
-
-
-def _verify(t: pa.Table, similarity: float) -> pa.Table:
-    """Pairs of one shard and block. Rows: evaluation records (partners null) and training records with their partners' ids."""
-    ids, words, partners = t.column("id").to_pylist(), t.column("words").to_pylist(), t.column("partners").to_pylist()
-    kept = [i for i, p in enumerate(partners) if p is None]
+        lo, hi = self.intervals(self.symbols(words), np.arange(n - 1, len(words)), n)
+        return np.where(lo < hi, self.group[lo], -1).astype(np.int64)
+
+    def maximal(self, words: np.ndarray, sequence: int, n: int = RUN) -> np.ndarray:
+        """(start, end) of the maximal matches, of n words or more, of `words` with one sequence: no word can be added at either side of any of them.
+
+        A match may end only where some occurrence of the last n words is not followed by the next word; from these ends backward search runs as far as it gets.
+        """
+        if len(words) < n:
+            return np.zeros((0, 2), np.int64)
+        first = self.ends[sequence - 1] + 1 if sequence else 0
+        rows = np.flatnonzero((self.suffixes >= first) & (self.suffixes < self.ends[sequence]))
+        inside = lambda lo, hi: np.searchsorted(rows, hi) - np.searchsorted(rows, lo)
+        symbol = np.append(self.symbols(words), -1)
+        last = np.arange(n - 1, len(words))
+        lo, hi = self.intervals(symbol, last, n)
+        here, further = inside(lo, hi), inside(*self.intervals(symbol, last + 1, n + 1))
+        stop = (here > 0) & (further < here)
+        end, lo, hi = last[stop], lo[stop], hi[stop]
+        start = end - n + 1
+        live = np.flatnonzero(start > 0)
+        while len(live):
+            s = symbol[start[live] - 1]
+            live, s = live[s > 0], s[s > 0]
+            a, b = self.back(s, lo[live]), self.back(s, hi[live])
+            ok = inside(a, b) > 0
+            live = live[ok]
+            lo[live], hi[live] = a[ok], b[ok]
+            start[live] -= 1
+            live = live[start[live] > 0]
+        whole = start < np.append(np.minimum.accumulate(start[::-1])[::-1][1:], len(words))  # else a match that ends later holds it
+        return np.stack([start[whole], end[whole] + 1], 1)
+
+
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Union of (start, end), sorted by end, as disjoint spans."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans.tolist()):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _expand(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of given starts and sizes the number of the range of every element, and the elements."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return which, np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+
+
+def _partners(index: RunIndex, asked: list[np.ndarray], sizes: np.ndarray, similarity: float) -> Iterator[tuple[int, int, int]]:
+    """(asked, sequence, shared runs) of all pairs of the similarity. `sizes` are the asked ones' numbers of distinct runs."""
+    length = np.array([len(w) for w in asked])
+    owner = np.repeat(np.arange(len(asked)), length)
+    found = index.matches(np.concatenate(asked))
+    place = np.arange(len(found))
+    held = (found >= 0) & (owner[place] == owner[place + RUN - 1])
+    own = np.unique(owner[place[held]] * index.groups + found[held])
+    doc, group = own // index.groups, own % index.groups
+    hits = np.bincount(doc, minlength=len(asked))
+    least = np.ceil(similarity * sizes - 1e-9).astype(np.int64)
+    # a partner holds one of the rarest runs, those that no sequence holds being the rarest of all
+    often = index.lists[group + 1] - index.lists[group]
+    order = np.lexsort((often, doc))
+    first = np.concatenate([[0], np.cumsum(hits)[:-1]])
+    rarest = order[np.arange(len(order)) - first[doc[order]] < (hits - least + 1)[doc[order]]]
+    which, at = _expand(index.lists[group[rarest]], often[rarest])
+    count = len(index.ends)
+    pairs = np.unique(doc[rarest[which]] * count + index.listed[at])
+    a, e = pairs // count, pairs % count
+    near = np.minimum(sizes[a], index.distinct[e]) >= similarity * np.maximum(sizes[a], index.distinct[e]) - 1e-9
+    a, e = a[near], e[near]
+    step = max(1, LOOKUPS // max(1, int(hits.max(initial=1))))
+    for i in range(0, len(a), step):
+        which, at = _expand(first[a[i : i + step]], hits[a[i : i + step]])
+        key = e[i : i + step][which] * index.groups + group[at]
+        there = np.minimum(np.searchsorted(index.pairs, key), len(index.pairs) - 1)
+        shared = np.bincount(which[index.pairs[there] == key], minlength=len(a[i : i + step]))
+        for x, y, n in zip(a[i : i + step].tolist(), e[i : i + step].tolist(), shared.tolist()):
+            if n and n >= similarity * (sizes[x] + index.distinct[y] - n) - 1e-9:
+                yield x, y, n
+
+
+def _search(t: pa.Table, similarity: float) -> pa.Table:
+    """Pairs of one part of a shard and one block of training records."""
+    ids, sides, words = t.column("id").to_pylist(), t.column("side").to_pylist(), t.column("words").to_pylist()
+    held, asked = ([(i, np.frombuffer(w, np.uint64)) for i, s, w in sorted(zip(ids, sides, words)) if s == side] for side in (1, 0))
     rows = []
-    if kept and len(kept) < len(ids):
-        seqs = [np.frombuffer(words[i], np.uint64) for i in kept]
-        index = RunIndex(seqs)
-        sets = {ids[i]: np.unique(index.matches(s)) for i, s in zip(kept, seqs)}
-        for i, p in enumerate(partners):
-            if p is None:
-                continue
-            own = np.frombuffer(words[i], np.uint64)
-            found = index.matches(own)
-            size = len(np.unique(runs(own)))
-            mine = np.unique(found[found >= 0])
-            for e in p:
-                other = sets.get(e)
-                if other is None:
-                    continue
-                shared = len(np.intersect1d(mine, other, assume_unique=True))
-                if shared and shared >= similarity * (size + len(other) - shared) - 1e-9:
-                    hit = np.isin(found, other)
-                    starts = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1]]))
-                    lengths = np.flatnonzero(hit & ~np.concatenate([hit[1:], [False]])) - starts + RUN
-                    rows.append((ids[i], e, shared, size + len(other) - shared, len(starts), int(lengths.max())))
-    cols = list(zip(*rows)) if rows else [[]] * 6
+    if held and asked:
+        index = RunIndex([w for _, w in held])
+        at = 0
+        while at < len(asked):
+            to, size = at, 0
+            while to < len(asked) and (to == at or size + len(asked[to][1]) <= STREAM):
+                size += len(asked[to][1])
+                to += 1
+            some = asked[at:to]
+            sizes = np.array([len(np.unique(runs(w))) for _, w in some])
+            for a, e, shared in _partners(index, [w for _, w in some], sizes, similarity):
+                spans = merged(index.maximal(some[a][1], e))
+                lengths = spans[:, 1] - spans[:, 0]
+                rows.append((some[a][0], held[e][0], shared, int(sizes[a] + index.distinct[e] - shared), len(spans), int(lengths.sum()), int(lengths.max())))
+            at = to
+    cols = list(zip(*rows)) if rows else [[]] * 7
     return pa.table([pa.array(c, ty) for c, ty in zip(cols, FOUND.types)], schema=FOUND)
 
 
-FOUND = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("shared", pa.int64()), ("either", pa.int64()), ("spans", pa.int32()), ("longest", pa.int32())])
+FOUND = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("shared", pa.int64()), ("either", pa.int64()), ("spans", pa.int32()), ("matched", pa.int64()), ("longest", pa.int32())])
 
 
-def overlaps(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def overlaps(docs: DataFrame, similarity: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """Classes of side 0 (training) and side 1 (evaluation) that are the same or almost the same.
 
-    `docs(document_id, side, text)`; texts are not null. Returns (id, other, shared, either, spans, longest) between the representatives of training and
-    evaluation classes, and the members (id, document_id, side) of all classes. Texts of fewer than five words have no run and no partner. Repeated rows count once.
+    `docs(document_id, side, text)`; texts are not null. Returns (id, other, shared, either, spans, matched, longest) between the representatives of training and
+    evaluation classes: shared runs, runs of either, merged maximal matches, their words in the training text, and the longest; and the members (id, document_id, side) of
+    all classes. Texts of fewer than five words have no run and no partner. Repeated rows count once.
     """
     tokens = materialize(tokenised(docs))
     narrow = tokens.select("id", "document_id", "side", "digest", "n").where("n > 0")
@@ -245,22 +381,28 @@ def overlaps(docs: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataF
     members = materialize(narrow.join(reps, ["digest", "side"]).select(F.col("rep").alias("id"), "document_id", "side").distinct())
     # copies that don't stand for their class leave; all but them and a few others pass without a shuffle
     copies = narrow.join(reps, ["digest", "side"]).where("id <> rep").select("id")
-    doubtful, sure = sift(tokens.where("n > 0").select("id", "side", "words"), copies)
+    size = tokens.where("n > 0").agg(F.count_if(F.col("side") == 1).alias("held"), F.sum(F.when(F.col("side") == 1, F.octet_length("words"))).alias("bytes")).first()
+    buckets = max(1, size.held // PER_BUCKET)
+    shards = max(1, min(buckets, (size.bytes or 0) // 8 // SHARD_WORDS + 1))
+    bucket = F.pmod(F.xxhash64("least"), F.lit(buckets))
+    doubtful, sure = sift(tokens.where("n > 0").select("id", "side", "n", bucket.alias("who"), "words"), copies)
     own = sure.union(doubtful.join(copies, "id", "left_anti"))
-    keys = materialize(prefixes(own, frequent_runs(tokens), similarity))
-    a, b = keys.where("side = 0").select("run", "id", "n"), keys.where("side = 1").select("run", F.col("id").alias("other"), F.col("n").alias("m"))
-    enough = F.col("agree") >= F.least(F.lit(AGREE), F.ceil(F.least("n", "m") * similarity - 1e-9))
-    pairs = materialize(a.join(b, "run").where(F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9).groupBy("id", "other").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count(F.lit(1)).alias("agree")).where(enough))
-    total = pairs.groupBy("other").agg(F.first("m").alias("m")).agg(F.sum("m")).first()[0] or 0
-    shards = max(1, int(total // SHARD_WORDS) + 1)
-    placed = pairs.withColumn("shard", F.pmod(F.xxhash64("other"), F.lit(shards)).cast("int"))
-    load = placed.groupBy("shard").agg((F.floor(F.sum("n") / (4 * SHARD_WORDS)) + 1).cast("int").alias("blocks"))
-    placed = materialize(placed.join(load, "shard").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")))
-    ask = placed.groupBy("shard", "block", "id").agg(F.collect_list("other").alias("partners"))
-    held = placed.select("shard", "block", F.col("other").alias("id")).distinct().withColumn("partners", F.lit(None).cast("array<bigint>"))
-    needed = sift(tokens.select("id", "words"), pairs.select(F.explode(F.array("id", "other")).alias("id")))[0]
-    tasks = ask.select("shard", "block", "id", "partners").unionByName(held).join(needed, "id")
-    found = tasks.groupBy("shard", "block").applyInArrow(lambda t: _verify(t, similarity), "id bigint, other bigint, shared bigint, either bigint, spans int, longest int")
+    hot = frequent_runs(tokens)
+    there = prefixes(own.where("side = 1"), hot, similarity, 1).distinct().select("run", F.col("who").alias("bucket"))
+    visits = prefixes(own.where("side = 0"), hot, similarity, 0).join(there, "run").groupBy("who", "bucket").agg(F.count(F.lit(1)).alias("agree")).where("agree >= who & 7")
+    visits = materialize(visits.select(F.shiftright("who", 3).alias("id"), "bucket"))
+    shard = F.pmod("bucket", F.lit(shards)).cast("int").alias("shard")
+    asked = own.where("side = 0").select("id", F.octet_length("words").alias("bytes")).join(visits.select("id", shard).distinct(), "id")
+    held = own.where("side = 1").select("id", F.octet_length("words").alias("bytes"), F.col("who").alias("bucket")).join(visits.select("bucket").distinct(), "bucket", "left_semi").select("id", shard, "bytes")
+    load = lambda df, name, words: df.groupBy("shard").agg(F.ceil(F.sum("bytes") / 8 / words).cast("int").alias(name))
+    loads = load(held, "parts", SHARD_WORDS).join(load(asked, "blocks", 4 * SHARD_WORDS), "shard")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    tasks = held.join(loads, "shard").select("id", F.lit(1).alias("side"), "shard", one("parts").alias("part"), every("blocks").alias("block"))
+    tasks = tasks.union(asked.join(loads, "shard").select("id", F.lit(0), "shard", every("parts").alias("part"), one("blocks").alias("block")))
+    tasks = materialize(tasks)
+    needed_ = sift(tokens.select("id", "words"), tasks.select("id"))[0]
+    found = tasks.join(needed_, "id").groupBy("shard", "part", "block").applyInArrow(lambda t: _search(t, similarity), "id bigint, other bigint, shared bigint, either bigint, spans int, matched bigint, longest int")
     return materialize(found), members
 
 
@@ -270,17 +412,33 @@ def split_sides(docs: DataFrame) -> DataFrame:
 
 
 def document_pairs(found: DataFrame, members: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, shared, either, spans, longest) with doc_a < doc_b, every member of the one class with every member of the other."""
+    """(doc_a, doc_b, shared, either, spans, matched, longest) with doc_a < doc_b, every member of the one class with every member of the other."""
     a = members.where("side = 0").select("id", F.col("document_id").alias("x"))
     b = members.where("side = 1").select(F.col("id").alias("other"), F.col("document_id").alias("y"))
     both = found.join(a, "id").join(b, "other").where("x <> y")
-    return both.groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(*(F.max(c).alias(c) for c in ("shared", "either", "spans", "longest")))
+    return both.groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(*(F.max(c).alias(c) for c in ("shared", "either", "spans", "matched", "longest")))
+
+
+def document_links(found: DataFrame, members: DataFrame) -> DataFrame:
+    """(document_id, side, class_id, links): every document of a side with its class and the number of documents of the other side that overlap it; copies are not paired with each other.
+
+    A document delivered with different texts has a row for each; the own document is counted too where it stands on both sides.
+    """
+    copies = members.groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+    way = lambda own, other: found.select(F.col(own).alias("own"), F.col(other).alias("id")).join(copies, "id").groupBy("own").agg(F.sum("copies").alias("links"))
+    links = way("id", "other").union(way("other", "id")).withColumnRenamed("own", "id")
+    return members.join(links, "id", "left").select("document_id", "side", F.col("id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def overlap_report(docs: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
-    """(split, source_type, documents, overlapping, largest_share): evaluation prose per split and source type, and how much of it occurs in train."""
-    hit = found.groupBy(F.col("other").alias("id")).agg(F.max(F.col("shared") / F.col("either")).alias("share"))
-    by_doc = members.where("side = 1").join(hit, "id").groupBy("document_id").agg(F.max("share").alias("share"))
+    """(split, source_type, documents, overlapping, largest_share, spans, matched_words, longest_span): evaluation prose per split and source type, how much of it occurs in
+    train, and of each document's closest partner the merged spans, their words and the longest."""
+    best = F.max(F.struct((F.col("shared") / F.col("either")).alias("share"), "matched", "spans", "longest"))
+    hit = found.groupBy(F.col("other").alias("id")).agg(best.alias("x"))
+    by_doc = members.where("side = 1").join(hit, "id").groupBy("document_id").agg(F.max("x").alias("x"))
     kind = F.coalesce(F.lower(F.trim("source_type")), F.lit("none")).alias("source_type")
     own = prose(docs).where("split <> 'train'").select("document_id", "split", kind).distinct()
-    return own.join(by_doc, "document_id", "left").groupBy("split", "source_type").agg(F.countDistinct("document_id").alias("documents"), F.count("share").alias("overlapping"), F.round(F.max("share"), 6).alias("largest_share"))
+    return own.join(by_doc, "document_id", "left").groupBy("split", "source_type").agg(
+        F.countDistinct("document_id").alias("documents"), F.count("x").alias("overlapping"), F.round(F.max("x.share"), 6).alias("largest_share"),
+        F.coalesce(F.sum("x.spans"), F.lit(0)).alias("spans"), F.coalesce(F.sum("x.matched"), F.lit(0)).alias("matched_words"), F.max("x.longest").alias("longest_span"),
+    )

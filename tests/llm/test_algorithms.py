@@ -36,8 +36,15 @@ def test_overlaps_against_brute_force(spark):
     sets = {d: (s, runs_of(t)) for d, s, t in docs}
     want = {(min(a, b), max(a, b)) for a, (s, x) in sets.items() for b, (u, y) in sets.items() if s == 0 and u == 1 and x and len(x & y) >= 0.6 * len(x | y)}
     assert found == want and len(want) > 200
+    found = overlap.overlaps(df.drop("id"), 0.6)
+    links = {(r.document_id, r.side): r.links for r in overlap.document_links(*found).collect()}
+    count = defaultdict(int)
+    for a, s, x in [(d, s, runs_of(t)) for d, s, t in docs]:
+        count[a, s] += len({b for b, u, t in docs if u != s and x and len(x & runs_of(t)) >= 0.6 * len(x | runs_of(t))})
+    assert all(links.get(k, 0) == n for k, n in count.items() if k[0] != "e0")  # e0 has two texts
+    assert len({r.class_id for r in overlap.document_links(*found).where("document_id like 'h%' and side = 0").collect()}) == 1
     none = spark.createDataFrame([], "document_id string, side int, text string")
-    assert overlap.document_pairs(*overlap.overlaps(none)).count() == 0
+    assert overlap.document_pairs(*overlap.overlaps(none)).count() == 0 and overlap.document_links(*overlap.overlaps(none)).count() == 0
 
 
 def test_run_index_finds_every_run():
@@ -55,6 +62,22 @@ def test_run_index_finds_every_run():
     assert all(len(v) == 1 for v in names.values())
 
 
+def test_maximal_matches_and_compression():
+    rng = np.random.default_rng(1)
+    seqs = [rng.integers(1, 4, n).astype(np.uint64) for n in (60, 9, 4, 80)]
+    index = overlap.RunIndex(seqs)
+    for e, s in enumerate(seqs):
+        ask = np.concatenate([rng.integers(1, 5, 30).astype(np.uint64), s[3:40], rng.integers(1, 5, 20).astype(np.uint64), s[:25]])
+        have = {tuple(s[i:j]) for i in range(len(s)) for j in range(i + 5, len(s) + 1)}
+        inside = {(i, j) for i in range(len(ask)) for j in range(i + 5, len(ask) + 1) if tuple(ask[i:j]) in have}
+        want = {(i, j) for i, j in inside if (i - 1, j) not in inside and (i, j + 1) not in inside}
+        assert {tuple(x) for x in index.maximal(ask, e).tolist()} == want and bool(want) == (e != 2)
+    copy = rng.integers(1, 1 << 60, 400).astype(np.uint64)
+    near = [np.concatenate([copy[:i], rng.integers(1, 1 << 60, 1).astype(np.uint64), copy[i:]]) for i in range(0, 400, 20)]
+    assert len(overlap.RunIndex(near).keys) < 0.2 * overlap.RunIndex(near).size  # near copies cost little
+    assert overlap.merged(np.array([[0, 5], [3, 9], [9, 10], [12, 20]])).tolist() == [[0, 10], [12, 20]]
+
+
 def test_shared_spans_against_brute_force(spark):
     rng = random.Random(2)
     alphabet = "abcdefghij klmnop漢字é"
