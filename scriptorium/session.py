@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,16 +20,19 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`. Unset (as in tests), a folder of this machine is taken, in local mode only."""
+    """The folder of `spark.checkpoint.dir`, which all executors share. It has no default: a folder of one machine would be lost with it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return path.rstrip("/")
 
 
+def release(spark: SparkSession, path: str) -> None:
+    """Files below `path` go when the session ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write `df` as a table into the shared folder and return a scan of it.
 
@@ -42,9 +44,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    release(spark, path)
     reader = spark.read
     return (reader if partition_by else reader.schema(df.schema)).parquet(path)
 
@@ -66,3 +66,28 @@ def sift(df: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) != 0, F.lit(False))
     drop = ("_word", "_mask", "_bits")
     return marked.where(hit).drop(*drop), marked.where(~hit).drop(*drop)
+
+
+#: A value is hot if it holds more than 1/HOT_SHARE of the rows and more than HOT_ROWS of them, so fewer than HOT_SHARE values are; its rows are spread over SALTS.
+HOT_SHARE, HOT_ROWS, SALTS = 256, 50_000, 64
+
+
+def hot_values(df: DataFrame, key: str) -> list:
+    """The hot values of a column: fewer than HOT_SHARE by definition. Counts combine before they shuffle."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    often = counts.where(F.col("_n") > HOT_ROWS)
+    if often.isEmpty():
+        return []
+    total = df.count()
+    return [r[0] for r in often.where(F.col("_n") * HOT_SHARE > total).select(key).collect()]
+
+
+def skew_join(df: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`df` joined (inner or left) with `table`, which has a row or a few per value of `key`, where one value may hold a third of `df`: rows of hot values are spread over salts, the table's rows repeated for them."""
+    hot = hot_values(df, key)
+    if not hot:
+        return df.join(table, key, how)
+    is_hot = F.col(key).isin(hot)
+    salted = df.withColumn("_salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
