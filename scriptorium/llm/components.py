@@ -15,9 +15,10 @@ No link, label or component ever reaches the driver, only counts.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.session import materialize
+from scriptorium.session import materialize, skew_join
 
 PLACEHOLDERS = ("", "unknown", "n/a", "-")
 SALTS = 32
@@ -92,21 +93,38 @@ def tie_keys(docs: DataFrame, passages: DataFrame) -> DataFrame:
     return own.union(roots.join(known, "document_id", "left_semi")).distinct()
 
 
+def named_nodes(ties: DataFrame) -> DataFrame:
+    """`ties(document_id, kind, key)` with `node`, a hash of kind and key: no join, so a key of a third of all rows moves nowhere. Two keys of one hash would lead to another seed."""
+    for seed in range(8):
+        named = materialize(ties.withColumn("node", F.xxhash64("kind", "key", F.lit(seed))))
+        # exact copies of a key combine ahead of the shuffle
+        if named.groupBy("node").agg(F.min(F.struct("kind", "key")).alias("a"), F.max(F.struct("kind", "key")).alias("b")).where("a <> b").isEmpty():
+            return named
+    raise RuntimeError("no seed gave every key a number of its own")
+
+
 def tied_groups(docs: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents tied by author, root or the roots of their passages.
 
     Returns (document_id, component) and (author_key, component). Nodes are keys, not documents: a document only links its keys,
     one being the anchor, so a copied row or an author of a third of all rows adds no work beyond its distinct links.
     """
-    ties = materialize(tie_keys(docs, passages))
-    nodes = materialize(ties.select("kind", "key").distinct().withColumn("node", F.monotonically_increasing_id()))
-    ties = materialize(ties.join(nodes, ["kind", "key"]).select("document_id", "node"))
-    anchor = ties.groupBy("document_id").agg(F.min("node").alias("anchor"))
-    links = ties.join(anchor, "document_id").select(F.col("anchor").alias("a"), F.col("node").alias("b")).distinct()
+    ties = named_nodes(tie_keys(docs, passages))
+    # a document's keys meet in one row; its anchor is its smallest node
+    by_doc = ties.groupBy("document_id").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    by_doc = materialize(by_doc.select("document_id", F.col("nodes")[0].alias("anchor"), "nodes"))
+    links = by_doc.select(F.col("anchor").alias("a"), F.explode("nodes").alias("b")).distinct()
     comp = materialize(connected_components(links))
-    by_doc = anchor.join(comp.withColumnRenamed("id", "anchor"), "anchor").select("document_id", "component")
-    by_author = nodes.where("kind = 'a'").join(comp.withColumnRenamed("id", "node"), "node").select(F.col("key").alias("author_key"), "component")
-    return by_doc, by_author
+    placed = skew_join(by_doc.select("document_id", "anchor"), comp.withColumnRenamed("id", "anchor"), "anchor").select("document_id", "component")
+    authors = ties.where("kind = 'a'").select("key", "node").distinct()
+    by_author = authors.join(comp.withColumnRenamed("id", "node"), "node").select(F.col("key").alias("author_key"), "component")
+    return placed, by_author
+
+
+def component_classes(by_author: DataFrame) -> DataFrame:
+    """(author_key, component, others): every author key with its component and how many others are in it; nothing is paired."""
+    size = by_author.groupBy("component").agg((F.count(F.lit(1)) - 1).alias("others"))
+    return skew_join(by_author, size, "component").select("author_key", "component", "others")
 
 
 def authors_that_share(by_author: DataFrame) -> DataFrame:
@@ -125,8 +143,6 @@ def assign_splits(by_doc: DataFrame, targets: DataFrame, buckets: int = 1024) ->
     """
     size = by_doc.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("x", F.xxhash64("component")).withColumn("bucket", F.pmod(F.shiftrightunsigned("x", 40), F.lit(buckets)))
     size = materialize(size)
-    from pyspark.sql import Window as W
-
     per = size.groupBy("bucket").agg(F.sum("n").alias("bn"))
     before = per.select("bucket", (F.sum("bn").over(W.orderBy("bucket")) - F.col("bn")).alias("before"), F.sum("bn").over(W.partitionBy()).alias("total"))  # at most `buckets` rows
     within = W.partitionBy("bucket").orderBy("x", "component")
@@ -137,4 +153,4 @@ def assign_splits(by_doc: DataFrame, targets: DataFrame, buckets: int = 1024) ->
     pick = F.get(F.filter("bounds", lambda b: b["hi"] > F.col("at")), F.lit(0))["split"]
     last = F.element_at("bounds", -1)["split"]
     chosen = placed.crossJoin(F.broadcast(bounds)).select("component", F.coalesce(pick, last).alias("split"))
-    return by_doc.join(chosen, "component").select("document_id", "component", "split")
+    return skew_join(by_doc, chosen, "component").select("document_id", "component", "split")

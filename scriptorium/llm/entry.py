@@ -55,6 +55,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return components.authors_that_share(components.tied_groups(table(spark, d, "corpus_docs"), table(spark, d, "passages"))[1])
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every author key with the component it is in and the number of other keys there."""
+    return components.component_classes(components.tied_groups(table(spark, d, "corpus_docs"), table(spark, d, "passages"))[1]).select("author_key", "others")
+
+
 def p4_split(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its split."""
     by_doc, _ = components.tied_groups(table(spark, d, "corpus_docs"), table(spark, d, "passages"))
@@ -62,10 +67,15 @@ def p4_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Passages of more than 700 words or 5,000 code points."""
+    """Passages of more than 700 words or 5,000 code points: those that the cutter cuts."""
     return pieces.oversized_passages(table(spark, d, "passages"), table(spark, d, "corpus_docs"))
 
 
+def p5_file_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All prose as a few giant files in the shared folder, cut by byte ranges; one row per piece."""
+    return pieces.split_files(spark, pieces.text_files(overlap.prose(table(spark, d, "corpus_docs")).select(F.col("clean_text").alias("text")))).drop("path")
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of these passages."""
     return pieces.passage_pieces(table(spark, d, "passages"), table(spark, d, "corpus_docs"))
@@ -122,14 +132,14 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_links, p2_found, p3_found, p3_coverage, p4_found, p4_split, p5_found, p5_pieces, p6_found, p7_found, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_links, p2_found, p3_found, p3_coverage, p4_found, p4_groups, p4_split, p5_found, p5_pieces, p5_file_pieces, p6_found, p7_found, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND, "p5_found": P5_FOUND}
+    return {"p4_found": P4_FOUND, "p4_groups": P4_GROUPS, "p5_found": P5_FOUND}
 
 
-P4_FOUND = """
+_REACH = """
 WITH RECURSIVE d AS (
   SELECT DISTINCT document_id, CASE WHEN lower(trim(author_id)) NOT IN ('', 'unknown', 'n/a', '-') THEN lower(trim(author_id)) END AS a,
          coalesce(root_document_id, document_id) AS r FROM corpus_docs),
@@ -139,8 +149,9 @@ ties AS (
   UNION SELECT p.document_id, 'r' || p.root_document_id FROM passages p WHERE p.root_document_id IS NOT NULL AND p.document_id IN (SELECT document_id FROM d)),
 e AS (SELECT DISTINCT x.k AS u, y.k AS v FROM ties x JOIN ties y USING (document_id) WHERE x.k <> y.k),
 reach(src, k) AS (SELECT DISTINCT k, k FROM ties WHERE k LIKE 'a%' UNION SELECT reach.src, e.v FROM reach JOIN e ON reach.k = e.u)
-SELECT substr(src, 2) AS author_a, substr(k, 2) AS author_b FROM reach WHERE k LIKE 'a%' AND src < k
 """
+P4_FOUND = f"{_REACH} SELECT substr(src, 2) AS author_a, substr(k, 2) AS author_b FROM reach WHERE k LIKE 'a%' AND src < k"
+P4_GROUPS = f"{_REACH} SELECT substr(src, 2) AS author_key, count(*) - 1 AS others FROM reach WHERE k LIKE 'a%' GROUP BY src"
 
 P5_FOUND = r"""
 WITH t AS (

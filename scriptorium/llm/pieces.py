@@ -13,6 +13,7 @@ An item is worked on in ranges, never as a whole: a row's text is cut into range
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.session import materialize
+from scriptorium.session import materialize, release, shared_dir
 
 WORD = re.compile(r"\w+(?:['’]\w+)*")
 #: Boundaries from strong to weak; a match's end is a place to cut.
@@ -190,36 +191,35 @@ def passage_items(passages: DataFrame, docs: DataFrame) -> DataFrame:
     return here.unionByName(found.select("document_id", "passage_id", "start_char", "text")).withColumn("item", F.monotonically_increasing_id())
 
 
-def oversized_passages(passages: DataFrame, docs: DataFrame, lim: Limits = Limits(), size: int = 1 << 16) -> DataFrame:
-    """(document_id, passage_id) of passages over a limit; repeated rows count once."""
-    items = passage_items(passages, docs)
-    # an item's ranges come from one row, so the sums combine before anything is shuffled
-    keyed = items.select("item", "document_id", "passage_id", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("item", "document_id", "passage_id", "text")]
-            rows = [(i, d, p, n, *measure(part, at, lim)) for i, d, p, t in zip(*cols) for n, part, at in _ranges(t, size, 300)]
-            done = list(zip(*rows)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(done, KEYED.types)], schema=KEYED)
-
-    ranges = keyed.where("text is not null").mapInArrow(run, "item bigint, document_id string, passage_id bigint, range int, words bigint, chars bigint, load double")
-    total = ranges.groupBy("document_id", "passage_id", "item").agg(F.sum("words").alias("words"), F.sum("chars").alias("chars"))
-    return total.where((F.col("words") > lim.words) | (F.col("chars") > lim.chars)).select("document_id", "passage_id").distinct()
+def _candidates(passages: DataFrame, docs: DataFrame, lim: Limits) -> DataFrame:
+    """(item, document_id, passage_id, at, text): distinct passages that may be over a limit. A word and what parts it from the next take two code points at least, so shorter texts are within both limits."""
+    items = passage_items(passages, docs).where(F.length("text") > F.lit(min(2 * lim.words, lim.chars)))
+    items = items.groupBy("document_id", "passage_id", "text").agg(F.min("start_char").alias("at"))
+    return materialize(items.withColumn("item", F.monotonically_increasing_id()))
 
 
-KEYED = pa.schema([("item", pa.int64()), ("document_id", pa.string()), ("passage_id", pa.int64()), *list(MEASURED)[1:]])
+def oversized_passages(passages: DataFrame, docs: DataFrame, lim: Limits = Limits(), size: int = 1 << 12) -> DataFrame:
+    """(document_id, passage_id) of the passages that are cut, that is those over a limit: every piece's owner. Repeated rows count once."""
+    return passage_pieces(passages, docs, lim, size).select("document_id", "passage_id").distinct()
 
 
-def passage_pieces(passages: DataFrame, docs: DataFrame, lim: Limits = Limits(), size: int = 1 << 16) -> DataFrame:
+def passage_pieces(passages: DataFrame, docs: DataFrame, lim: Limits = Limits(), size: int = 1 << 12) -> DataFrame:
     """(document_id, passage_id, piece, start_char, end_char, word_count) of passages over a limit; places count in the document where the passage has a start, else in the passage."""
-    items = passage_items(passages, docs).groupBy("document_id", "passage_id", "text").agg(F.min("start_char").alias("at"))
-    items = materialize(items.where(F.length("text") > F.lit(lim.words)).withColumn("item", F.monotonically_increasing_id()))
+    items = _candidates(passages, docs, lim)
     done = split_items(items.select("item", "text"), lim, size)
     at = F.coalesce("at", F.lit(0))
     return items.select("item", "document_id", "passage_id", "at").join(done, "item").select("document_id", "passage_id", "piece", (at + F.col("start_char")).alias("start_char"), (at + F.col("end_char")).alias("end_char"), "word_count")
 
 
+def text_files(texts: DataFrame) -> list[str]:
+    """Writes `texts(text)`, parted by blank lines, as text files into the shared folder and gives their URIs, one per task. Null texts are left out."""
+    spark = texts.sparkSession
+    path = f"{shared_dir(spark)}/scriptorium-{uuid.uuid4().hex}"
+    texts.where("text is not null").select("text").write.option("lineSep", "\n\n").text(path)
+    release(spark, path)
+    return [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]  # as many as tasks
+
+
 def split_files(spark: SparkSession, paths: list[str], lim: Limits = Limits(), size: int = 1 << 22) -> DataFrame:
     """(path, piece, start_char, end_char, word_count) of UTF-8 files over a limit, which no worker ever reads as a whole.
 
@@ -249,11 +249,16 @@ def split_files(spark: SparkSession, paths: list[str], lim: Limits = Limits(), s
         left = raw[a:b].decode("utf-8", "replace")[-halo:] if halo else ""
         return left + raw[b:c].decode("utf-8", "replace"), len(left)
 
-    sizes = []
-    for i, p in enumerate(paths):
-        with opened(p) as f:
-            sizes.append((i, p, f.size()))
-    files = spark.createDataFrame(sizes, "item bigint, path string, bytes bigint")
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths = []
+            for p in b.column("path").to_pylist():
+                with opened(p) as f:
+                    lengths.append(f.size())
+            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("path"), pa.array(lengths, pa.int64())], names=["item", "path", "bytes"])
+
+    named = spark.createDataFrame(list(enumerate(paths)), "item bigint, path string")
+    files = materialize(named.repartition(max(1, min(len(paths), 64))).mapInArrow(sized, "item bigint, path string, bytes bigint"))
     tasks = files.select("item", "path", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("bytes") - 1) / size)).cast("int"))).alias("range")).repartition("item", "range")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
