@@ -6,6 +6,8 @@ all rows, whatever the group's size.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,10 +17,16 @@ def finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
 
-def running(rows: DataFrame, by: str, score: str = "score", label: str = "label", width: float = 1.0) -> DataFrame:
+def ranges(df: DataFrame, col: str, n: int = 256) -> Column:
+    """The number of the range that a row's value lies in, of at most `n` ranges of about equally many rows, as an expression; so windows within a range stay small whatever the values are."""
+    cuts = sorted(set(df.approxQuantile(col, [i / n for i in range(1, n)], 1 / (4 * n))))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(col))) if cuts else F.lit(0)
+
+
+def running(rows: DataFrame, by: str, score: str = "score", label: str = "label") -> DataFrame:
     """(by, score, pos, neg, tp, fp, all_pos, all_neg): counts at each distinct score and from it upward. Rows without a finite score or label are left out."""
     at = rows.where(finite(score) & F.col(label).isNotNull()).groupBy(by, F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("bigint")).alias("pos"), F.sum((F.col(label) != 1).cast("bigint")).alias("neg"))
-    at = at.withColumn("b", F.floor(F.col("score") / width))
+    at = at.withColumn("b", ranges(at, "score"))
     per = at.groupBy(by, "b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     down, whole = W.partitionBy(by).orderBy(F.desc("b")), W.partitionBy(by)
     per = per.select(by, "b", (F.sum("bp").over(down) - F.col("bp")).alias("hp"), (F.sum("bn").over(down) - F.col("bn")).alias("hn"), F.sum("bp").over(whole).alias("all_pos"), F.sum("bn").over(whole).alias("all_neg"))
@@ -64,15 +72,39 @@ def calibration_error(rows: DataFrame, by: str, score: str = "score", label: str
     return per.groupBy(by).agg((F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n")).alias("ece"))
 
 
-def thresholds(r: DataFrame, by: str, target_fpr: float = 0.05, target_fnr: float = 0.05, least: int = 20) -> DataFrame:
-    """(by, match, target_met, mismatch): the lowest score of the best true-positive rate within the false-positive target (else of the least false-positive rate), and the highest
-    score below it under which no more than the target of positives fall; without `least` rows of either class there is no mismatch threshold."""
-    p = r.where("all_pos > 0 and all_neg > 0").withColumn("tpr", F.col("tp") / F.col("all_pos")).withColumn("fpr", F.col("fp") / F.col("all_neg")).withColumn("fnr", (F.col("all_pos") - F.col("tp")) / F.col("all_pos"))
-    fits = F.col("fpr") <= target_fpr
-    best = p.groupBy(by).agg(F.bool_or(fits).alias("target_met"), F.min_by("score", F.when(fits, F.struct(-F.col("tpr"), F.col("score")))).alias("good"), F.min_by("score", F.struct("fpr", -F.col("tpr"), F.col("score"))).alias("least_bad"), F.min("score").alias("lowest"), F.max("all_pos").alias("np"), F.max("all_neg").alias("nn"))
-    best = best.select(by, "target_met", F.when(F.col("target_met"), F.col("good")).otherwise(F.col("least_bad")).alias("match"), "lowest", "np", "nn")
-    low = p.join(best, by).where((F.col("score") < F.col("match")) & (F.col("fnr") <= target_fnr) & (F.col("np") >= least) & (F.col("nn") >= least) & (F.col("score") > F.col("lowest"))).groupBy(by).agg(F.max("score").alias("mismatch"))
-    return best.join(low, by, "left").select(by, "match", "target_met", "mismatch")
+def operating_points(r: DataFrame, by: str) -> DataFrame:
+    """(by, threshold, tp, fp, all_pos, all_neg, lowest, ceiling) of all thresholds worth a look: 0, every score, the next number above every score, and the ceiling (1 if no score is above it, else 100). A row is
+    accepted from the threshold upward. Groups of one class only give none."""
+    both = r.where("all_pos > 0 and all_neg > 0")
+    counted = lambda c, k: F.sum(F.when(F.col("score") >= k, F.col(c)).otherwise(0))
+    whole = both.groupBy(by).agg(F.max("score").alias("top"), F.min("score").alias("lowest"), F.max("all_pos").alias("all_pos"), F.max("all_neg").alias("all_neg"), *(counted(c, k).alias(f"{c}{k}") for c in ("pos", "neg") for k in (0, 1, 100)))
+    ceiling = F.when(F.col("top") <= 1, 1.0).otherwise(100.0)
+    whole = whole.withColumn("ceiling", ceiling)
+    at_top = lambda c: F.when(F.col("ceiling") == 1, F.col(f"{c}1")).otherwise(F.col(f"{c}100"))
+    shared = ["all_pos", "all_neg", "lowest", "ceiling"]
+    here = both.select(by, "score", "pos", "neg", "tp", "fp").join(whole.select(by, *shared), by)
+    points = here.select(by, F.col("score").alias("threshold"), "tp", "fp", *shared)
+    above = here.where("score < ceiling").select(by, F.expr("double(reflect('java.lang.Math', 'nextUp', score))").alias("threshold"), (F.col("tp") - F.col("pos")).alias("tp"), (F.col("fp") - F.col("neg")).alias("fp"), *shared)
+    ends = whole.select(by, F.lit(0.0).alias("threshold"), F.col("pos0").alias("tp"), F.col("neg0").alias("fp"), *shared).unionByName(whole.select(by, F.col("ceiling").alias("threshold"), at_top("pos").alias("tp"), at_top("neg").alias("fp"), *shared))
+    return points.unionByName(above).unionByName(ends)
+
+
+def thresholds(r: DataFrame, by: str, target_fpr: float = 0.05, target_fnr: float = 0.05) -> DataFrame:
+    """(by, match, target_met, mismatch, fpr, tpr) from the running counts `r`.
+
+    Match: of the operating points within the false-positive target those of the best true-positive rate, of these the lowest; without any the same among the points of the least false-positive rate. Mismatch: the highest
+    threshold clearly below it under which no more than the target of positives fall, if it lies above the lowest score; it takes 1 / target rows of either class.
+    """
+    slack, least = 1e-12, math.ceil(1 / min(target_fpr, target_fnr))
+    p = operating_points(r, by).withColumn("tpr", F.col("tp") / F.col("all_pos")).withColumn("fpr", F.col("fp") / F.col("all_neg")).withColumn("fnr", (F.col("all_pos") - F.col("tp")) / F.col("all_pos"))
+    fits = F.col("fpr") <= target_fpr + slack
+    row = F.struct("threshold", "fpr", "tpr")
+    best = p.groupBy(by).agg(F.bool_or(fits).alias("target_met"), F.min_by(row, F.when(fits, F.struct(-F.col("tpr"), F.col("threshold")))).alias("good"), F.min_by(row, F.struct("fpr", -F.col("tpr"), F.col("threshold"))).alias("least_bad"))
+    best = best.select(by, "target_met", F.when(F.col("target_met"), F.col("good")).otherwise(F.col("least_bad")).alias("m"))
+    apart = (F.col("m.threshold") - F.col("threshold")) > 8 * 2.0**-52 * F.col("ceiling") + 1e-9 * F.abs("m.threshold")
+    low = p.join(best, by).where(apart & (F.col("fnr") <= target_fnr + slack) & (F.least("all_pos", "all_neg") >= least)).groupBy(by).agg(F.max("threshold").alias("mismatch"), F.max("lowest").alias("lowest"))
+    low = low.select(by, F.when(F.col("mismatch") > F.col("lowest"), F.col("mismatch")).alias("mismatch"))
+    return best.join(low, by, "left").select(by, F.col("m.threshold").alias("match"), "target_met", "mismatch", F.col("m.fpr").alias("fpr"), F.col("m.tpr").alias("tpr"))
 
 
 def decision(score: Column, match: Column, mismatch: Column) -> Column:

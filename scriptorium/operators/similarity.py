@@ -63,31 +63,32 @@ def cosines(queries: DataFrame, bank: DataFrame, top: int | None = None) -> Data
 def maxsim(candidates: DataFrame, bank: DataFrame) -> DataFrame:
     """(c, r, maxsim) of `candidates(c, i, v)` and `bank(r, j, v)`: mean over a document's passages of their best cosine to the other document's, averaged both ways.
 
-    Blocks pass on the maxima of rows and columns only, which the aggregations combine.
+    A passage is never compared with itself (equal document and number). Blocks pass on the maxima of rows and columns only, which the aggregations combine.
     """
     left, right = _blocks(candidates, ["c", "i"], "qs"), _blocks(bank, ["r", "j"], "rs")
     pairs = left.crossJoin(right)
+    schema = pa.schema([("c", pa.int64()), ("r", pa.int64()), ("side", pa.int8()), ("k", pa.int64()), ("best", pa.float64())])
+
+    def unit(rows: list, doc: str, number: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.array([r["v"] for r in rows])
+        return np.array([r[doc] for r in rows]), np.array([r[number] for r in rows]), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for qs, rs in zip(b.column("qs").to_pylist(), b.column("rs").to_pylist()):
-                a, c = np.array([x["v"] for x in qs]), np.array([x["v"] for x in rs])
-                a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
-                c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-                s = np.clip(a @ c.T, -1, 1)
-                rows = []
-                for side, own, other, m in (("i", qs, rs, s), ("j", rs, qs, s.T)):
-                    docs = np.array([x["r" if side == "i" else "c"] for x in other])
-                    order = np.argsort(docs, kind="stable")
-                    names, starts = np.unique(docs[order], return_index=True)
-                    best = np.maximum.reduceat(m[:, order], starts, axis=1)
-                    for x, row in zip(own, best):
-                        for name, v in zip(names.tolist(), row.tolist()):
-                            c_, r_ = (x["c"], name) if side == "i" else (name, x["r"])
-                            rows.append({"c": c_, "r": r_, "side": side, "k": x[side], "best": v})
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("c", pa.int64()), ("r", pa.int64()), ("side", pa.string()), ("k", pa.int64()), ("best", pa.float64())]))
-
-    best = pairs.mapInArrow(run, "c bigint, r bigint, side string, k bigint, best double").groupBy("c", "r", "side", "k").agg(F.max("best").alias("best"))
+                (c, i, x), (r, j, y) = unit(qs, "c", "i"), unit(rs, "r", "j")
+                s = np.clip(x @ y.T, -1, 1)
+                s[(c[:, None] == r[None, :]) & (i[:, None] == j[None, :])] = -np.inf
+                for side, own, number, other, m in ((0, c, i, r, s), (1, r, j, c, s.T)):
+                    order = np.argsort(other, kind="stable")
+                    names, starts = np.unique(other[order], return_index=True)
+                    best = np.maximum.reduceat(m[:, order], starts, axis=1).ravel()
+                    mine, far, k = np.repeat(own, len(names)), np.tile(names, len(own)), np.repeat(number, len(names))
+                    some = best > -np.inf
+                    ends = (mine[some], far[some]) if side == 0 else (far[some], mine[some])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, ends), pa.array(np.full(some.sum(), side, np.int8)), pa.array(k[some]), pa.array(best[some])], schema=schema)
+
+    best = pairs.mapInArrow(run, "c bigint, r bigint, side tinyint, k bigint, best double").groupBy("c", "r", "side", "k").agg(F.max("best").alias("best"))
     return best.groupBy("c", "r", "side").agg(F.avg("best").alias("m")).groupBy("c", "r").agg(F.avg("m").alias("maxsim"))
 
 

@@ -74,31 +74,40 @@ def distinct_last_prose(spark: SparkSession, d: str) -> DataFrame:
     return G.last_of_each(p, "digest", "loaded_at", "document_id").select("digest", "document_id")
 
 
-def _groups(spark: SparkSession, d: str) -> DataFrame:
-    p = _prose(spark, d)
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, e-mails too, with root, author, label, stratum and the text that tells copies apart: clean_text, or of a mail without it the message."""
+    r = _latest(spark, d)
     author = F.lower(F.trim("author_id"))
-    docs = p.select("document_id", F.coalesce("root_document_id", "document_id").alias("root"), F.when(~author.isin("", "unknown", "n/a", "-"), author).alias("author"), G.genre_label(F.col("genre")).alias("label"), F.col("clean_text").alias("text"))
-    return G.smallest_connected(G.tie_keys(docs))
+    return r.select(
+        "document_id", F.coalesce("root_document_id", "document_id").alias("root"), F.when(~author.isin("", "unknown", "n/a", "-"), author).alias("author"), G.genre_label(F.col("genre")).alias("label"),
+        G.stratum(F.col("genre")).alias("stratum"), F.coalesce("clean_text", F.when(_is_mail(), F.col("raw_markdown"))).alias("text"),
+    )
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    """(document_id, group_id, label, stratum) of every document."""
+    docs = materialize(_labelled(spark, d))
+    return G.smallest_connected(G.tie_keys(docs)).join(docs.select("document_id", "label", "stratum"), "document_id")
 
 
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Prose documents that share a root, a body, a long paragraph or a negative author."""
-    return _groups(spark, d)
+    """Documents that share a root, a body, a long paragraph or a negative author."""
+    return _groups(spark, d).select("document_id", "group_id")
 
 
-def _held(spark: SparkSession, d: str) -> DataFrame:
-    stratum = F.coalesce(F.lower(F.trim("genre")), F.lit("blog"))
-    return G.holdout(_groups(spark, d).join(_prose(spark, d).select("document_id", stratum.alias("stratum")), "document_id"))
+def label_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Groups that hold documents of both labels: what `require_one_label` raises for."""
+    return G.label_conflicts(_groups(spark, d))
 
 
 def holdout_split(spark: SparkSession, d: str) -> DataFrame:
     """Whole groups held out of each stratum."""
-    return _held(spark, d).select("document_id", "group_id", "stratum", "held")
+    return G.holdout(_groups(spark, d)).select("document_id", "group_id", "stratum", "held")
 
 
 def group_folds(spark: SparkSession, d: str) -> DataFrame:
-    """Folds that no group straddles."""
-    return G.folds(_groups(spark, d))
+    """Stratified folds that no group straddles."""
+    return G.folds(materialize(_groups(spark, d))).select("document_id", "group_id", "fold")
 
 
 def passage_audit(spark: SparkSession, d: str) -> DataFrame:
@@ -142,12 +151,14 @@ def nearest_analogues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _maxsim(spark: SparkSession, d: str) -> DataFrame:
-    v = _vectors(spark, d)
-    return S.maxsim(v.where("vec_id % 50 = 0").select(F.col("label").cast("bigint").alias("c"), F.col("vec_id").alias("i"), "v"), v.where("vec_id % 50 <> 0").select(F.col("label").cast("bigint").alias("r"), F.col("vec_id").alias("j"), "v"))
+    """Documents (labels) of every fiftieth vector, with all their vectors, against all documents with all of theirs; a vector is not compared with itself."""
+    v = materialize(_vectors(spark, d).select(F.col("label").cast("bigint").alias("label"), "vec_id", "v"))
+    asked = v.where("vec_id % 50 = 0").select("label").distinct()
+    return S.maxsim(v.join(asked, "label", "left_semi").select(F.col("label").alias("c"), F.col("vec_id").alias("i"), "v"), v.select(F.col("label").alias("r"), F.col("vec_id").alias("j"), "v"))
 
 
 def symmetric_maxsim(spark: SparkSession, d: str) -> DataFrame:
-    """Multi-vector similarity of the documents of every fiftieth vector with the documents of all others."""
+    """Multi-vector similarity of the documents of every fiftieth vector with all documents."""
     return _maxsim(spark, d).select("c", "r", F.round("maxsim", 6).alias("maxsim"))
 
 
@@ -213,16 +224,34 @@ _LATEST = "latest AS (SELECT * FROM corpus_docs WHERE document_id IS NOT NULL QU
 _PROSE = f"{_LATEST}, prose AS (SELECT * FROM latest WHERE NOT {_MAIL} AND clean_text IS NOT NULL)"
 _LABEL = "(coalesce(lower(trim(genre)), 'blog') IN ('blog', 'work_email', 'gmail_email'))::INT"
 _SQUEEZE = r"trim(regexp_replace({t}, '[\pZ\s]+', ' ', 'g'))".replace("\\p", "\\p")
-_GROUPS = rf"""WITH RECURSIVE {_PROSE},
-base AS (SELECT document_id, coalesce(root_document_id, document_id) AS root, lower(trim(author_id)) AS author, {_LABEL} AS label, lower(clean_text) AS t, clean_text FROM prose),
-keys AS (SELECT document_id, 'r:' || root AS k FROM base UNION SELECT document_id, 'b:' || md5({_SQUEEZE.format(t="t")}) FROM base WHERE length({_SQUEEZE.format(t="t")}) > 0
+_TEXT = f"coalesce(clean_text, CASE WHEN {_MAIL} THEN raw_markdown END)"
+_STRATUM = "CASE coalesce(lower(trim(genre)), 'blog') WHEN 'work_email' THEN 'work' WHEN 'gmail_email' THEN 'gmail' WHEN 'blog' THEN 'blog' ELSE 'negative' END"
+_GROUPS = rf"""WITH RECURSIVE {_LATEST},
+base AS MATERIALIZED (SELECT document_id, coalesce(root_document_id, document_id) AS root, lower(trim(author_id)) AS author, {_LABEL} AS label, {_STRATUM} AS stratum, {_TEXT} AS t FROM latest),
+keys AS MATERIALIZED (SELECT document_id, 'r:' || root AS k FROM base UNION SELECT document_id, 'b:' || md5({_SQUEEZE.format(t="t")}) FROM base WHERE length({_SQUEEZE.format(t="t")}) > 0
 UNION SELECT document_id, 'a:' || author FROM base WHERE label = 0 AND author NOT IN ('', 'unknown', 'n/a', '-')
-UNION SELECT document_id, 'p:' || md5({_SQUEEZE.format(t="lower(p)")}) FROM (SELECT document_id, unnest(string_split_regex(clean_text, '\n\s*\n')) AS p FROM base) WHERE len(regexp_extract_all(p, '{W}')) >= 20),
-ties AS (SELECT DISTINCT a.document_id AS u, b.document_id AS v FROM keys a JOIN keys b USING (k)),
+UNION SELECT document_id, 'p:' || md5({_SQUEEZE.format(t="p")}) FROM (SELECT document_id, unnest(string_split_regex(t, '\n\s*\n')) AS p FROM base) WHERE len(regexp_extract_all(p, '{W}')) >= 20),
+hub AS (SELECT k, min(document_id) AS h FROM keys GROUP BY 1), ties AS MATERIALIZED (SELECT DISTINCT document_id AS u, h AS v FROM keys JOIN hub USING (k) UNION SELECT DISTINCT h, document_id FROM keys JOIN hub USING (k)),
 reach(u, v) AS (SELECT u, v FROM ties UNION SELECT reach.u, ties.v FROM reach JOIN ties ON reach.v = ties.u),
-grp AS (SELECT u AS document_id, min(v) AS group_id FROM reach GROUP BY 1)"""
+grp AS MATERIALIZED (SELECT document_id, coalesce(group_id, document_id) AS group_id, label, stratum FROM base LEFT JOIN (SELECT u AS document_id, min(v) AS group_id FROM reach GROUP BY 1) USING (document_id))"""
+
+
+def _held_sql() -> str:
+    """The strata in turn, each with what the ones ahead have taken."""
+    parts, taken = [], "SELECT NULL AS group_id WHERE false"
+    for name in G.STRATA:
+        want = "least(count(*), greatest(3, ceil(count(*)*0.5)))" if name == "blog" else "ceil(count(*)*0.2)"
+        parts.append(
+            f"w_{name} AS (SELECT {want} AS target, count(*) FILTER (WHERE group_id IN (SELECT group_id FROM ({taken}))) AS done FROM grp WHERE stratum = '{name}'), "
+            f"g_{name} AS (SELECT group_id, count(*) AS n FROM grp WHERE stratum = '{name}' AND group_id NOT IN (SELECT group_id FROM ({taken}) WHERE group_id IS NOT NULL) GROUP BY 1), "
+            f"t_{name} AS (SELECT group_id FROM (SELECT group_id, sum(n) OVER (ORDER BY md5(concat_ws('|', '42', '{name}', group_id))) - n AS ahead FROM g_{name}), w_{name} WHERE ahead + done < target)"
+        )
+        taken += f" UNION ALL SELECT group_id FROM t_{name}"
+    return f"{_GROUPS}, {', '.join(parts)} SELECT document_id, group_id, stratum, group_id IN (SELECT group_id FROM ({taken}) WHERE group_id IS NOT NULL) AS held FROM grp"
+
+
 _EMB = "e AS (SELECT DISTINCT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0)"
-_MAX = f"""WITH {_EMB}, s AS (SELECT a.label AS c, b.label AS r, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM e a, e b WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0),
+_MAX = f"""WITH {_EMB}, s AS (SELECT a.label AS c, b.label AS r, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM e a, e b WHERE a.vec_id <> b.vec_id AND a.label IN (SELECT label FROM e WHERE vec_id % 50 = 0)),
 m AS (SELECT c, r, (x + y)/2 AS maxsim FROM (SELECT c, r, avg(m) AS x FROM (SELECT c, r, i, max(s) AS m FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2) JOIN (SELECT c, r, avg(m) AS y FROM (SELECT c, r, j, max(s) AS m FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (c, r))"""
 _SAMP = "samp AS (SELECT DISTINCT sample_id, excerpt AS text FROM manifest_rows WHERE sample_id IS NOT NULL AND excerpt IS NOT NULL)"
 _GRAMS = rf"""{_SAMP}, ch AS (SELECT sample_id, regexp_replace(lower(text), '[\pZ\s][\pZ\s]+', ' ', 'g') AS t FROM samp),
@@ -232,11 +261,11 @@ v AS (SELECT gram, count(*) AS df, sum(tf) AS total, ln((1 + (SELECT count(DISTI
 SQL = {
     "documents_by_kind": f"WITH {_LATEST} SELECT split, {_LABEL} AS derived_label, count(*) AS documents, sum({_MAIL}::INT) AS mails, sum(length(clean_text)) AS chars FROM latest GROUP BY 1, 2",
     "distinct_last_prose": f"WITH {_PROSE} SELECT md5(clean_text) AS digest, document_id FROM prose QUALIFY row_number() OVER (PARTITION BY md5(clean_text) ORDER BY loaded_at DESC NULLS LAST, document_id DESC) = 1",
-    "duplicate_groups": f"{_GROUPS} SELECT * FROM grp",
-    "holdout_split": f"""{_GROUPS}, st AS (SELECT document_id, group_id, coalesce(lower(trim(genre)), 'blog') AS stratum FROM grp JOIN prose USING (document_id)),
-q AS (SELECT group_id, arg_min(stratum, document_id) AS stratum, count(*) AS n FROM st GROUP BY 1), z AS (SELECT *, sum(n) OVER (PARTITION BY stratum) AS whole, sum(n) OVER (PARTITION BY stratum ORDER BY md5(concat_ws('|', '42', stratum, group_id))) - n AS ahead FROM q)
-SELECT document_id, st.group_id, st.stratum, ahead < CASE WHEN z.stratum = 'blog' THEN least(whole, greatest(3, ceil(whole*0.5))) ELSE ceil(whole*0.2) END AS held FROM st JOIN z ON st.group_id = z.group_id""",
-    "group_folds": f"{_GROUPS} SELECT document_id, group_id, (('0x' || substr(md5(group_id), 1, 8))::BIGINT % 3)::INT AS fold FROM grp",
+    "duplicate_groups": f"{_GROUPS} SELECT document_id, group_id FROM grp",
+    "label_conflicts": f"{_GROUPS} SELECT group_id, count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 0) AS negatives FROM grp GROUP BY 1 HAVING positives > 0 AND negatives > 0",
+    "holdout_split": _held_sql(),
+    "group_folds": f"""{_GROUPS}, z AS (SELECT group_id, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS q FROM grp GROUP BY 1),
+o AS (SELECT group_id, ((row_number() OVER (PARTITION BY p, q ORDER BY md5(concat_ws('|', '42', group_id))) - 1) % 3)::INT AS fold FROM z) SELECT document_id, group_id, fold FROM grp JOIN o USING (group_id)""",
     "passage_audit": f"""WITH {_LATEST}, p AS (SELECT DISTINCT document_id, passage_id, text, start_char, end_char, word_count FROM passages WHERE text IS NOT NULL)
 SELECT DISTINCT * FROM (SELECT document_id, passage_id, substring(clean_text, start_char + 1, end_char - start_char) = text AS in_place, coalesce(word_count, -1) = len(regexp_extract_all(text, '{W}')) AS counted FROM p JOIN latest USING (document_id) WHERE clean_text IS NOT NULL) WHERE NOT in_place OR NOT counted""",
     "unseen_embeddings": "SELECT DISTINCT embedding_key FROM passages WHERE embedding_key IS NOT NULL AND embedding_key NOT IN (SELECT embedding_key FROM passage_vectors WHERE embedding_key IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)",
@@ -251,4 +280,4 @@ SELECT a.sample_id AS q, b.sample_id AS r, round(sum(a.w*b.w), 6) AS cosine FROM
     "copied_sentences": f"WITH {_SAMP}, s AS (SELECT sample_id, unnest({_sents('text')}) AS s FROM samp) SELECT md5(s) AS digest, count(DISTINCT sample_id) AS samples FROM s WHERE len(regexp_extract_all(s, '{W}')) >= 8 GROUP BY s HAVING samples > 1",
     "sample_audit": f"SELECT DISTINCT * FROM (SELECT sample_id, coalesce(excerpt_words, -1) = len(regexp_extract_all(excerpt, '{W}')) AS counted, sha256(excerpt) = sample_sha256 AS hashed FROM manifest_rows WHERE excerpt IS NOT NULL) WHERE NOT counted OR NOT hashed",
 }
-QUERIES = {f.__name__: f for f in (clean_markdown, clean_email, front_matter, passages, training_views, excerpts, documents_by_kind, distinct_last_prose, duplicate_groups, holdout_split, group_folds, passage_audit, sentence_in_passage, unseen_embeddings, cosine_pairs, nearest_analogues, symmetric_maxsim, maxsim_moments, char_ngram_vocabulary, char_similarity, ngram12_overlap, copied_sentences, sample_audit, stale_neighbours)}
+QUERIES = {f.__name__: f for f in (clean_markdown, clean_email, front_matter, passages, training_views, excerpts, documents_by_kind, distinct_last_prose, duplicate_groups, label_conflicts, holdout_split, group_folds, passage_audit, sentence_in_passage, unseen_embeddings, cosine_pairs, nearest_analogues, symmetric_maxsim, maxsim_moments, char_ngram_vocabulary, char_similarity, ngram12_overlap, copied_sentences, sample_audit, stale_neighbours)}

@@ -48,7 +48,12 @@ def paragraph_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _long(spark: SparkSession, d: str) -> DataFrame:
-    return M.long_form(M.measured(_docs(spark, d), keep=("doc_id", "source")), ("doc_id", "source"))
+    return M.long_form(_wide(spark, d), ("doc_id", "source"))
+
+
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    """The measures of every document, worked out once."""
+    return materialize(M.measured(_docs(spark, d), keep=("doc_id", "source")))
 
 
 def feature_distribution(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +71,7 @@ def robust_deviations(spark: SparkSession, d: str) -> DataFrame:
 
 def stylometry_similarity(spark: SparkSession, d: str) -> DataFrame:
     """How alike each document is to the reference source by its measures."""
-    wide = M.measured(_docs(spark, d), keep=("doc_id", "source"))
+    wide = _wide(spark, d)
     dist = D.distribution(M.long_form(wide.where(F.col("source") == REFERENCE), ("doc_id",)))
     return D.stylometry_similarity(wide, dist, ("doc_id", "source")).select("doc_id", "source", F.round("similarity", 6).alias("similarity"))
 

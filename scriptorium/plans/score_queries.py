@@ -58,7 +58,7 @@ def ece(spark: SparkSession, d: str) -> DataFrame:
 
 def threshold_selection(spark: SparkSession, d: str) -> DataFrame:
     """Match and mismatch thresholds of every population."""
-    return M.thresholds(_running(spark, d), "split")
+    return _rounded(M.thresholds(_running(spark, d), "split"), "fpr", "tpr")
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -173,10 +173,14 @@ _OK = "isfinite(score)"
 _RUN = f"""WITH {_P}, cnt AS (SELECT split, score, sum((label = 1)::INT) AS pos, sum((label <> 1)::INT) AS neg FROM p WHERE {_OK} AND label IS NOT NULL GROUP BY 1, 2),
 r AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY split) AS all_pos, sum(neg) OVER (PARTITION BY split) AS all_neg FROM cnt WINDOW w AS (PARTITION BY split ORDER BY score DESC)),
 roc AS (SELECT split, score, tp/all_pos AS tpr, fp/all_neg AS fpr, (all_pos - tp)/all_pos AS fnr, all_pos, all_neg FROM r WHERE all_pos > 0 AND all_neg > 0)"""
-_THR = f"""{_RUN}, best AS (SELECT split, bool_or(fpr <= 0.05) AS target_met, min(score) AS lowest, max(all_pos) AS np, max(all_neg) AS nn,
-arg_min(score, (-tpr, score)) FILTER (WHERE fpr <= 0.05) AS good, arg_min(score, (fpr, -tpr, score)) AS bad FROM roc GROUP BY 1),
-b AS (SELECT split, target_met, CASE WHEN target_met THEN good ELSE bad END AS match, lowest, np, nn FROM best),
-thr AS (SELECT b.split, b.match, b.target_met, max(roc.score) FILTER (WHERE roc.score < b.match AND roc.fnr <= 0.05 AND b.np >= 20 AND b.nn >= 20 AND roc.score > b.lowest) AS mismatch FROM b JOIN roc USING (split) GROUP BY 1, 2, 3)"""
+_THR = f"""{_RUN}, s0 AS (SELECT *, CASE WHEN max(score) OVER (PARTITION BY split) <= 1 THEN 1.0 ELSE 100.0 END AS ceiling, min(score) OVER (PARTITION BY split) AS lowest FROM r WHERE all_pos > 0 AND all_neg > 0),
+cand AS (SELECT split, score AS t FROM s0 UNION SELECT split, least(nextafter(score, 'Infinity'::DOUBLE), ceiling) FROM s0 UNION SELECT split, 0.0::DOUBLE FROM s0 UNION SELECT split, ceiling::DOUBLE FROM s0),
+pt AS (SELECT c.split, c.t, sum(CASE WHEN score >= t THEN pos ELSE 0 END)/max(all_pos) AS tpr, sum(CASE WHEN score >= t THEN neg ELSE 0 END)/max(all_neg) AS fpr, sum(CASE WHEN score < t THEN pos ELSE 0 END)/max(all_pos) AS fnr,
+max(all_pos) AS np, max(all_neg) AS nn, max(lowest) AS lowest, max(ceiling) AS ceiling FROM cand c JOIN s0 USING (split) GROUP BY 1, 2),
+b AS (SELECT split, bool_or(fpr <= 0.05 + 1e-12) AS target_met, arg_min({{'t': t, 'f': fpr, 'p': tpr}}, (-tpr, t)) FILTER (WHERE fpr <= 0.05 + 1e-12) AS good, arg_min({{'t': t, 'f': fpr, 'p': tpr}}, (fpr, -tpr, t)) AS bad FROM pt GROUP BY 1),
+m AS (SELECT split, target_met, CASE WHEN target_met THEN good ELSE bad END AS m FROM b),
+lo AS (SELECT split, max(t) AS x, max(lowest) AS lowest FROM pt JOIN m USING (split) WHERE m.m.t - t > 8*2.220446049250313e-16*ceiling + 1e-9*abs(m.m.t) AND fnr <= 0.05 + 1e-12 AND least(np, nn) >= 20 GROUP BY 1),
+thr AS (SELECT split, m.m.t AS match, target_met, CASE WHEN x > lowest THEN x END AS mismatch, round(m.m.f, 6) AS fpr, round(m.m.p, 6) AS tpr FROM m LEFT JOIN lo USING (split))"""
 _DEC = "CASE WHEN score >= {m} THEN 'MATCH' WHEN {x} IS NULL OR isnan({x}) THEN 'INCONCLUSIVE_OR_MISMATCH' WHEN score < {x} THEN 'MISMATCH' ELSE 'INCONCLUSIVE' END"
 _REP = "count(*) AS documents, round(avg((decision = 'MATCH')::INT) FILTER (WHERE label = 1), 6) AS tpr, round(avg((decision = 'MATCH')::INT) FILTER (WHERE label = 0), 6) AS fpr, round(avg(CASE WHEN label = 1 THEN (decision = 'MATCH')::INT ELSE 1 - (decision = 'MATCH')::INT END), 6) AS accuracy, round(avg(starts_with(decision, 'INCONCLUSIVE')::INT), 6) AS open_rate"
 _WEIGHT = f"""WITH {_P}, v AS (SELECT root_document_id AS root, nullif(lower(trim(author_id)), '') AS author, label, split, coalesce(hard_negative, false) AS hard FROM p),
