@@ -2,7 +2,7 @@
 
 Every text becomes a sequence of word hashes. Records of equal sequence are one class from then on.
 
-* Shards: evaluation records are put into small buckets by the least hash of their five-word runs, so that near copies lie together, and buckets into shards. Each
+* Shards: evaluation records of the same least hash of five-word runs, near copies as a rule, are one bucket, and buckets are put into shards. Each
   shard is one word sequence, kept as a run-length compressed Burrows-Wheeler transform: repeated stretches of near copies cost next to nothing.
 * Routing: a pair whose sets of runs reach the similarity shares some of the first runs of each in any fixed order of runs (prefix filtering). So a
   training record only visits the shards of buckets with which it shares those. The order puts runs that are frequent in the corpus last, and frequent
@@ -34,8 +34,8 @@ RUN = 5
 HOT, COUNT_BLOCK, REPORT = 1 << 19, 1 << 21, 4
 #: Runs that a pair must share among the first ones of each; the first ones are as many more.
 AGREE = 6
-#: Words in an index; evaluation records in a bucket, on average; rows of one run in one salt.
-SHARD_WORDS, PER_BUCKET, SALT_ROWS = 400_000, 16, 20_000
+#: Words in an index; rows of one run in one salt.
+SHARD_WORDS, SALT_ROWS = 400_000, 20_000
 #: Words that stream through an index at once, and pairs looked up at once.
 STREAM, LOOKUPS = 200_000, 2_000_000
 
@@ -381,17 +381,15 @@ def overlaps(docs: DataFrame, similarity: float = 0.6) -> tuple[DataFrame, DataF
     members = materialize(narrow.join(reps, ["digest", "side"]).select(F.col("rep").alias("id"), "document_id", "side").distinct())
     # copies that don't stand for their class leave; all but them and a few others pass without a shuffle
     copies = narrow.join(reps, ["digest", "side"]).where("id <> rep").select("id")
-    size = tokens.where("n > 0").agg(F.count_if(F.col("side") == 1).alias("held"), F.sum(F.when(F.col("side") == 1, F.octet_length("words"))).alias("bytes")).first()
-    buckets = max(1, size.held // PER_BUCKET)
-    shards = max(1, min(buckets, (size.bytes or 0) // 8 // SHARD_WORDS + 1))
-    bucket = F.pmod(F.xxhash64("least"), F.lit(buckets))
-    doubtful, sure = sift(tokens.where("n > 0").select("id", "side", "n", bucket.alias("who"), "words"), copies)
+    size = tokens.where("n > 0").agg(F.sum(F.when(F.col("side") == 1, F.octet_length("words"))).alias("bytes")).first()
+    shards = max(1, (size.bytes or 0) // 8 // SHARD_WORDS + 1)
+    doubtful, sure = sift(tokens.where("n > 0").select("id", "side", "n", F.col("least").alias("who"), "words"), copies)
     own = sure.union(doubtful.join(copies, "id", "left_anti"))
     hot = frequent_runs(tokens)
     there = prefixes(own.where("side = 1"), hot, similarity, 1).distinct().select("run", F.col("who").alias("bucket"))
     visits = prefixes(own.where("side = 0"), hot, similarity, 0).join(there, "run").groupBy("who", "bucket").agg(F.count(F.lit(1)).alias("agree")).where("agree >= who & 7")
     visits = materialize(visits.select(F.shiftright("who", 3).alias("id"), "bucket"))
-    shard = F.pmod("bucket", F.lit(shards)).cast("int").alias("shard")
+    shard = F.pmod(F.xxhash64("bucket"), F.lit(shards)).cast("int").alias("shard")
     asked = own.where("side = 0").select("id", F.octet_length("words").alias("bytes")).join(visits.select("id", shard).distinct(), "id")
     held = own.where("side = 1").select("id", F.octet_length("words").alias("bytes"), F.col("who").alias("bucket")).join(visits.select("bucket").distinct(), "bucket", "left_semi").select("id", shard, "bytes")
     load = lambda df, name, words: df.groupBy("shard").agg(F.ceil(F.sum("bytes") / 8 / words).cast("int").alias(name))
