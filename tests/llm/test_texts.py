@@ -54,6 +54,33 @@ def test_sentences_in_scripts_without_marks(spark):
     assert got["th"] >= 1 and got["km"] == 4 and got["en"] >= 4
 
 
+def test_sentences_of_texts_without_any_mark():
+    model = sentences.EventModel.fit(corpus())
+    parts = ["the train left early", "nobody saw the letter", "the window closed", "then the ledger closed", "dr berg waved from the harbour", "nobody saw the basket", "the lantern left early", "then the train closed", "the garden left early", "nobody saw the harbour"]
+    parts[2] = "then the window closed"
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences.spans(text, model)] == parts
+    assert len(sentences.spans("a heading of six words here", model)) == 1  # too short to tell that its marks are missing
+    marked = ". ".join(x.capitalize() for x in parts) + "."
+    assert len(sentences.spans(marked, model)) == len(parts)
+    rng = random.Random(2)
+    han = lambda: rng.choice("我们 他们 老师 孩子 火车 医生".split()) + rng.choice("昨天去了 今天修好了 早上看见了 晚上打开了".split()) + rng.choice("学校 花园 图书馆 市场 窗户".split())
+    thai = "วันนี้ฝนตกหนัก เขาไปตลาดแต่เช้า รถไฟมาถึงช้า เด็กเล่นในสวน แม่ทำอาหารเย็น เราดูเรือที่ท่า".split()
+    for docs, parts in ((["。".join(han() for _ in range(5)) + "。" for _ in range(300)], [han() for _ in range(12)]), (["\n\n".join(rng.sample(thai, 3)) for _ in range(100)], [rng.choice(thai) for _ in range(10)])):
+        model, text = sentences.EventModel.fit(docs), "".join(parts)
+        assert [text[a:b] for a, b in sentences.spans(text, model)] == parts
+
+
+def test_the_model_counts_all_texts_where_they_lie(spark):
+    texts = [*corpus(), "", "no end", "今天下雨。明天呢？好"]
+    here = sentences.EventModel.fit(texts)
+    there = sentences.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    for name in ("prior", "left", "start", "run", "share", "seen", "ending", "opening", "edges_left"):
+        a, b = getattr(here, name), getattr(there, name)
+        assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-6 for k in a), name
+    assert here.names == there.names
+
+
 MAIL = """---
 author: Ann Moe
 ---
