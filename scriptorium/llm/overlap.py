@@ -5,7 +5,7 @@ Every text becomes a sequence of word hashes. Records of equal sequence are one
 * Shards: evaluation records of the same least hash of five-word runs, near copies as a rule, are one bucket, and buckets are put into shards. Each
   shard is one word sequence, kept as a run-length compressed Burrows-Wheeler transform: repeated stretches of near copies cost next to nothing.
 * Routing: a pair whose sets of runs reach the similarity shares some of the first runs of each in any fixed order of runs (prefix filtering). So a
-  training record only visits the shards of buckets with which it shares those. The order puts runs that are frequent in the corpus last, and frequent
+  training record only visits the shards of buckets with which it shares those and which hold records about its size. The order puts runs that are frequent in the corpus last, and frequent
   ones are salted. Routing decides what is cheap, never what is found: it names no partner.
 * Search: training records stream through the shard by backward search, all places at once. The interval of a run lists the records that hold it; records that hold one of the
   rarest runs found become candidates, and shared runs and their union are counted exactly.
@@ -131,8 +131,18 @@ def needed(n: int, similarity: float) -> int:
     return min(AGREE, max(1, int(np.ceil(similarity * np.ceil(similarity * n - 1e-9) - 1e-9))))
 
 
+def size_class(n: int) -> int:
+    """Sizes by tenths; partners of a similarity are few classes apart."""
+    return min(255, int(np.log(n) / np.log(1.1)))
+
+
+def classes_apart(similarity: float) -> int:
+    return int(np.ceil(np.log(1 / similarity) / np.log(1.1) + 1e-9))
+
+
 def prefixes(tokens: DataFrame, hot: tuple[np.ndarray, np.ndarray], similarity: float, side: int) -> DataFrame:
-    """(run, who) of the records of one side, by the first runs of each in the common order (count, then hash). `who` is the bucket, or for training records (side 0) id * 8 + `needed`.
+    """(run, who, size) of the records of one side, by the first runs of each in the common order (count, then hash). `who` is the bucket, and `size` the size class; for training records (side 0) `who` holds
+    id, size class and `needed`, and `size` is 0.
 
     With n runs and a least overlap a = ceil(similarity * n), two records of the similarity share at least k runs among the first n - a + k of each; k is
     AGREE, or a where that is less. A run is named by 32 bits: two of one name can only add a visit. A frequent run has several names: a training record takes one of them, a bucket all.
@@ -142,7 +152,7 @@ def prefixes(tokens: DataFrame, hot: tuple[np.ndarray, np.ndarray], similarity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, count = shared.value
         for b in batches:
-            names, owners = [], []
+            names, owners, sizes = [], [], []
             for i, who, raw in zip(b.column("id").to_pylist(), b.column("who").to_pylist(), b.column("words").to_pylist()):
                 own = np.unique(runs(np.frombuffer(raw, np.uint64)))
                 n = len(own)
@@ -159,14 +169,15 @@ def prefixes(tokens: DataFrame, hot: tuple[np.ndarray, np.ndarray], similarity:
                     turn = np.arange(salts.sum()) - np.repeat(np.cumsum(salts) - salts, salts)
                     own = np.repeat(own, salts)
                 else:
-                    turn, who = np.uint64(i * 0x9E3779B1 % (1 << 31)) % salts.astype(np.uint64), i * 8 + needed(n, similarity)
+                    turn, who = np.uint64(i * 0x9E3779B1 % (1 << 31)) % salts.astype(np.uint64), (i << 11) | (size_class(n) << 3) | needed(n, similarity)
                 own = (own + turn.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0xBF58476D1CE4E5B9)
                 names.append((own >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 owners.append(np.full(len(own), who, np.int64))
+                sizes.append(np.full(len(own), size_class(n) if side else 0, np.int32))
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(owners))], names=["run", "who"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (names, owners, sizes)], names=["run", "who", "size"])
 
-    return tokens.select("id", "who", "words").mapInArrow(run, "run int, who bigint")
+    return tokens.select("id", "who", "words").mapInArrow(run, "run int, who bigint, size int")
 
 
 class RunIndex:
@@ -386,9 +397,11 @@ def overlaps(docs: DataFrame, similarity: float = 0.6) -> tuple[DataFrame, DataF
     doubtful, sure = sift(tokens.where("n > 0").select("id", "side", "n", F.col("least").alias("who"), "words"), copies)
     own = sure.union(doubtful.join(copies, "id", "left_anti"))
     hot = frequent_runs(tokens)
-    there = prefixes(own.where("side = 1"), hot, similarity, 1).distinct().select("run", F.col("who").alias("bucket"))
-    visits = prefixes(own.where("side = 0"), hot, similarity, 0).join(there, "run").groupBy("who", "bucket").agg(F.count(F.lit(1)).alias("agree")).where("agree >= who & 7")
-    visits = materialize(visits.select(F.shiftright("who", 3).alias("id"), "bucket"))
+    there = prefixes(own.where("side = 1"), hot, similarity, 1).distinct().select("run", F.col("who").alias("bucket"), "size")
+    asking = prefixes(own.where("side = 0"), hot, similarity, 0).drop("size")
+    alike = F.abs(F.shiftright("who", 3).bitwiseAND(255) - F.col("size")) <= classes_apart(similarity)
+    visits = asking.join(there, "run").where(alike).groupBy("who", "bucket", "size").agg(F.count(F.lit(1)).alias("agree")).where("agree >= who & 7")
+    visits = materialize(visits.select(F.shiftright("who", 11).alias("id"), "bucket").distinct())
     shard = F.pmod(F.xxhash64("bucket"), F.lit(shards)).cast("int").alias("shard")
     asked = own.where("side = 0").select("id", F.octet_length("words").alias("bytes")).join(visits.select("id", shard).distinct(), "id")
     held = own.where("side = 1").select("id", F.octet_length("words").alias("bytes"), F.col("who").alias("bucket")).join(visits.select("bucket").distinct(), "bucket", "left_semi").select("id", shard, "bytes")
