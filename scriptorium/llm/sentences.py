@@ -44,6 +44,7 @@ HAN = re.compile(r"[぀-ヿ㐀-鿿]")
 UNSPACED = re.compile(f"{HAN.pattern}|{BARE_LETTER.pattern}")
 #: A word, or one character of a script without spaces with its marks.
 TOKEN = regex.compile(r"[぀-ヿ㐀-鿿]|[฀-໿က-႟ក-៿]\p{M}*|[^\W_぀-ヿ㐀-鿿฀-໿က-႟ក-៿]+(?:['’-][^\W_぀-ヿ㐀-鿿฀-໿က-႟ក-៿]+)*")
+PLAIN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 GAP = re.compile(r"[\s\"'“”„«»‘’(\[「」『』]*")
 #: Log odds that tokens can add at a place without mark, at most, and the chance of a boundary without mark in a text that has its marks.
 MOST, STRAY = 8.0, 1e-4
@@ -297,9 +298,8 @@ class EventModel:
         s, u = (begins + 2 * c / total) / (bounds + 2), (c - 0.98 * begins + 2 * c / total) / (total - bounds + 2)
         return max(-MOST, min(MOST, _logit(e) + math.log(s / u)))
 
-    def events(self, text: str, lo: int, hi: int, cased: bool, unmarked: float) -> tuple[list[int], list[float], list[bool]]:
-        """Places of a block, their log odds, and whether each is tied to the one ahead."""
-        sites = places(text, lo, hi, cased)
+    def events(self, text: str, lo: int, hi: int, sites: list[tuple], unmarked: float) -> tuple[list[int], list[float], list[bool]]:
+        """Places of a block, those with marks as `places` gave them, their log odds, and whether each is tied to the one ahead."""
         found = [(s[0], self.odds(s), True) for s in sites]
         if unmarked + MOST > 0:
             marked = {s[0] for s in sites}
@@ -497,6 +497,7 @@ class EventModel:
 def count_text(text: str, counts: Counter) -> None:
     """Adds what the model needs of one text: places (s), starts (b) and ends (e) of units by the token with its class, and for places without mark tokens (w), edges (we, wb) and totals (wt, wu)."""
     cased = text != text.lower()
+    plain = text.isascii() or not UNSPACED.search(text)
     for lo, hi in blocks(text):
         if not text[lo:hi].strip():
             continue
@@ -509,17 +510,28 @@ def count_text(text: str, counts: Counter) -> None:
         if cased or script(last) in "ADHS":
             right, shape, more = _right(text, lo, hi)
             counts["b", SEP.join((script(last), right, shape, more if shape[0] in "UA" else ""))] += 1
-        tokens = tokens_of(text, lo, hi)
-        if tokens:
-            left, right = grams(tokens)
-            counts.update(("w", x) for x in right)
-            for t in {x for x in left if group_of(x) != "L"} - set(right):
-                counts["w", t] += 1
-            for _, _, t in tokens:
-                counts["wt", group_of(t)] += 1
-            counts["we", left[-1]] += 1
-            counts["wb", right[0]] += 1
-            counts["wu", group_of(tokens[-1][2])] += 1
+        if not plain:
+            tokens = tokens_of(text, lo, hi)
+            if tokens:
+                left, right = grams(tokens)
+                counts.update(("w", x) for x in right)
+                for t in {x for x in left if group_of(x) != "L"} - set(right):
+                    counts["w", t] += 1
+                for _, _, t in tokens:
+                    counts["wt", group_of(t)] += 1
+                counts["we", left[-1]] += 1
+                counts["wb", right[0]] += 1
+                counts["wu", group_of(tokens[-1][2])] += 1
+        elif (first := PLAIN.search(text, lo, hi)) is not None:
+            ends = PLAIN.findall(token) or PLAIN.findall(text, first.start(), hi)
+            counts["we", ends[-1].lower()] += 1
+            counts["wb", first[0].lower()] += 1
+            counts["wu", "L"] += 1
+    if plain:  # words alone, so one pass finds them all
+        words = PLAIN.findall(text.lower())
+        counts["wt", "L"] += len(words)
+        for w, n in Counter(words).items():
+            counts["w", w] += n
 
 
 def total_names(rows: Iterable[tuple[str, str, float]]) -> Iterator[tuple[str, float]]:
@@ -534,10 +546,11 @@ def spans(text: str, model: EventModel) -> list[tuple[int, int]]:
     """Starts and ends of the sentences, without outer white space."""
     out = []
     cased = text != text.lower()
-    units = list(blocks(text))
-    unmarked = model.unmarked(text, sum(1 for _ in SPACED.finditer(text)))
-    for lo, hi in units:
-        at, odds, near = model.events(text, lo, hi, cased, unmarked)
+    units = [(lo, hi, places(text, lo, hi, cased)) for lo, hi in blocks(text)]
+    marks = sum(len(sites) + bool(SPACED.search(text, max(lo, hi - 8), hi)) for lo, hi, sites in units)
+    unmarked = model.unmarked(text, marks)
+    for lo, hi, sites in units:
+        at, odds, near = model.events(text, lo, hi, sites, unmarked)
         cuts = [lo]
         if at:
             cuts += [x for x, p in zip(at, model.posteriors(odds, near)) if p > 0.5]
