@@ -92,6 +92,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return mail.new_lines(table(spark, d, "corpus_docs")).select("document_id", "line_no").distinct()
 
 
+def p7_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every e-mail as its clean_text should be; mails without a new line have none."""
+    return mail.new_text(mail.new_lines(table(spark, d, "corpus_docs")))
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     """All texts in containers of each capacity."""
     return packing.pack_texts(materialize(tokens.sized(table(spark, d, "documents")).select("doc_id", "tokens")), table(spark, d, "pack_sizes"))
@@ -132,7 +137,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_links, p2_found, p3_found, p3_coverage, p4_found, p4_groups, p4_split, p5_found, p5_pieces, p5_file_pieces, p6_found, p7_found, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_links, p2_found, p3_found, p3_coverage, p4_found, p4_groups, p4_split, p5_found, p5_pieces, p5_file_pieces, p6_found, p7_found, p7_text, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:

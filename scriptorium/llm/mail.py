@@ -3,11 +3,11 @@
 Three sources of evidence meet in one pass over the lines:
 
 * what earlier messages of the thread hold already, found by a generalised suffix automaton over them, whatever the wrapping and prefixes of the lines;
-* the paragraphs that end several messages of one sender, learned over all messages;
-* the layout rules of `mailtext`.
+* what ends messages: paragraphs that end several messages of one sender, and lines and paragraphs that stand near the end of messages of several senders and hardly anywhere else, learned over all messages;
+* the layout rules of `mailtext`, with its word lists as a fallback.
 
 Within a thread only messages that share a chunk digest are compared, each with the earliest message that holds the digest, so a thread of a third of all rows
-costs one link per message and digest. Automata are built for a bounded number of messages.
+costs one link per message and digest. Automata are built over a bounded number of characters: longer texts go in pieces that overlap by what a match has at least.
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ from scriptorium.llm import mailtext
 from scriptorium.llm.chunks import Digests, chunks, code_points
 from scriptorium.llm.components import author_key
 from scriptorium.llm.overlap import is_email
-from scriptorium.session import materialize
+from scriptorium.session import materialize, skew_join
 
 #: Inherited text has this many characters at least, white space and prefixes aside; a sender's ending recurs in so many messages.
 LONG, RECURS = 120, 3
-#: Earlier messages in one automaton, and messages that stream through it, in one task.
-SOURCES, READERS = 64, 256
+#: Senders whose messages a line or paragraph must end to count as an ending of all, and the share of its places that lie near an end.
+SENDERS, AT_ENDS = 5, 0.9
+#: Characters of earlier messages in one automaton and of one piece of a message, and messages that stream through it in one task.
+SOURCE_CHARS, PIECE, READERS = 200_000, 50_000, 256
 
 
 class Automaton:
@@ -76,20 +78,28 @@ class Automaton:
         return clone
 
     def inherited(self, text: str, before: int, least: int) -> list[tuple[int, int]]:
-        """Stretches of at least `least` characters of `text` that a text added under a smaller order holds."""
+        """Stretches of at least `least` characters of `text` that a text added under a smaller order holds.
+
+        Where the longest match is of a later text only, shorter ones that end at the same place are tried: the states that the suffix links lead to.
+        """
         out: list[tuple[int, int]] = []
         state = run = 0
         for i, ch in enumerate(text):
             while state and ch not in self.to[state]:
                 state = self.link[state]
                 run = self.length[state]
-            if ch in self.to[state]:
-                state, run = self.to[state][ch], run + 1
-                if run >= least and self.first[state] < before:
-                    if out and out[-1][1] >= i + 1 - run:
-                        out[-1] = (min(out[-1][0], i + 1 - run), i + 1)
-                    else:
-                        out.append((i + 1 - run, i + 1))
+            if ch not in self.to[state]:
+                continue
+            state, run = self.to[state][ch], run + 1
+            held, n = state, run
+            while n >= least and self.first[held] >= before:
+                held = self.link[held]
+                n = self.length[held] if held > 0 else 0
+            if n >= least:
+                if out and out[-1][1] >= i + 1 - n:
+                    out[-1] = (min(out[-1][0], i + 1 - n), i + 1)
+                else:
+                    out.append((i + 1 - n, i + 1))
         return out
 
 
@@ -108,9 +118,9 @@ def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(text.split())) - (1 << 63)
 
 
-def _own_body(lines: list[str], kinds: list[int]) -> int:
-    """Digest of a message's own text without white space and without a greeting, that is a first line that ends in a comma."""
-    own = [x for line, k in zip(lines, kinds) if k == mailtext.NEW and (x := "".join(line.split()))]
+def _own_body(own: list[str]) -> int:
+    """Digest of a message's own lines without white space and without a greeting, that is a first line that ends in a comma."""
+    own = ["".join(x.split()) for x in own]
     return _digest("".join(own[1:] if len(own) > 1 and own[0][-1] in ",，،" and len(own[0]) <= 60 else own))
 
 
@@ -140,23 +150,30 @@ def inherited_lines(mail: DataFrame) -> DataFrame:
     threaded = materialize(mail.select("id", "thread", "at", "raw").join(busy, "thread"))
     cut = threaded.select("id", "raw").mapInArrow(keys, "id bigint, digest bigint").join(threaded.select("id", "thread", "at"), "id")
     cut = materialize(cut)
-    first = cut.groupBy("thread", "digest").agg(F.min(F.struct("at", "id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("thread", "digest", F.col("first.id").alias("source"))
-    pairs = materialize(cut.join(first, ["thread", "digest"]).where("id <> source").select("thread", "source", "id").distinct())
-    size = pairs.groupBy("thread").agg((F.floor(F.approx_count_distinct("source") / SOURCES) + 1).cast("int").alias("s"), (F.floor(F.approx_count_distinct("id") / READERS) + 1).cast("int").alias("r"))
-    placed = pairs.join(size, "thread").select("thread", "source", "id", F.pmod(F.xxhash64("source"), F.col("s")).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("r")).alias("block"))
-    texts = threaded.select("id", "at", "raw")
-    rows = placed.select("thread", "shard", "block", F.col("source").alias("id"), F.lit(True).alias("held")).union(placed.select("thread", "shard", "block", "id", F.lit(False))).distinct().join(texts, "id")
+    # the digest stands for thread and digest, so that a thread of a third of all rows is spread over its digests
+    cut = cut.withColumn("key", F.xxhash64("thread", "digest"))
+    first = cut.groupBy("key").agg(F.min(F.struct("at", "id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("first.id").alias("source"))
+    pairs = materialize(skew_join(cut, first, "key").where("id <> source").select("thread", "source", "id").distinct())
+    sources = pairs.select("thread", "source").distinct().join(threaded.select(F.col("id").alias("source"), F.length("raw").alias("chars")), "source")
+    size = sources.groupBy("thread").agg((F.floor(F.sum("chars") / SOURCE_CHARS) + 1).cast("int").alias("s")).join(pairs.groupBy("thread").agg((F.floor(F.approx_count_distinct("id") / READERS) + 1).cast("int").alias("r")), "thread")
+    pieces = sources.select("thread", "source", F.explode(F.sequence(F.lit(0), F.floor(F.col("chars") / PIECE).cast("int"))).alias("piece"))
+    pieces = skew_join(pieces, size, "thread").withColumn("shard", F.pmod(F.xxhash64("source", "piece"), F.col("s")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("r") - 1))
+    held = pieces.select("thread", "shard", every.alias("block"), F.col("source").alias("id"), "piece")
+    readers = skew_join(pairs, size, "thread").select("thread", "source", "id", F.pmod(F.xxhash64("id", F.lit(1)), F.col("r")).cast("int").alias("block"))
+    asks = readers.join(pieces.select("source", "shard").distinct(), "source").select("thread", "shard", "block", "id", F.lit(None).cast("int").alias("piece"))
+    rows = held.union(asks).distinct().join(threaded.select("id", "at", "raw"), "id")
 
     def match(t: pa.Table) -> pa.Table:
-        found = sorted(zip(*(t.column(c).to_pylist() for c in ("at", "id", "held", "raw"))), key=lambda r: (r[0] is not None, r[0], r[1]) if r[0] is not None else (False, 0, r[1]))
-        order = {r[1]: n for n, r in enumerate(dict.fromkeys((x[0], x[1]) for x in found))}
+        found = sorted(zip(*(t.column(c).to_pylist() for c in ("at", "id", "piece", "raw"))), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1], r[2] if r[2] is not None else -1))
+        order = {i: n for n, i in enumerate(dict.fromkeys(x[1] for x in found))}
         machine = Automaton()
-        for at, i, held, raw in found:
-            if held:
-                machine.add(flat(raw)[0], order[i])
+        for _, i, piece, raw in found:
+            if piece is not None:
+                machine.add(flat(raw)[0][piece * PIECE : (piece + 1) * PIECE + LONG - 1], order[i])
         ids, lines = [], []
-        for at, i, held, raw in found:
-            if held:
+        for _, i, piece, raw in found:
+            if piece is not None:
                 continue
             text, places = flat(raw)
             spans = machine.inherited(text, order[i], LONG)
@@ -171,33 +188,37 @@ def inherited_lines(mail: DataFrame) -> DataFrame:
 
 
 def recurring_endings(mail: DataFrame) -> DataFrame:
-    """(id, endings): digests of the paragraphs near a message's end that end RECURS or more messages of its sender that say different things.
+    """(id, endings): digests of the templates of lines and paragraphs near a message's end that are known to end messages.
 
-    Messages of equal own text count once, whatever they quote and whom they greet in a first line: copies of one message show nothing about its ending.
+    A paragraph that ends RECURS or more messages of one sender that say different things; a line or paragraph near the end of messages of SENDERS or more senders, if so are AT_ENDS of its places. Messages of equal
+    own text count once for their sender, whatever they quote and whom they greet in a first line: copies of one message show nothing about its ending.
     """
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, senders, digests, bodies = [], [], [], []
+            rows: list[tuple] = []
             for i, s, raw, author, aid in zip(*(b.column(c).to_pylist() for c in ("id", "sender", "raw", "author", "author_id"))):
-                lines, kinds, last = mailtext.mark(raw, author, aid)
-                body = _own_body(lines, kinds)
-                for d in {_digest(p) for p in last}:
-                    ids.append(i)
-                    senders.append(s)
-                    digests.append(d)
-                    bodies.append(body)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(senders, pa.string()), pa.array(digests, pa.int64()), pa.array(bodies, pa.int64())], names=["id", "sender", "digest", "body"])
-
-    near = materialize(mail.where("sender is not null").select("id", "sender", "raw", "author", "author_id").mapInArrow(ends, "id bigint, sender string, digest bigint, body bigint"))
-    often = near.groupBy("sender", "digest").agg(F.countDistinct("body").alias("n")).where(f"n >= {RECURS}").select("sender", "digest")
-    return near.join(often, ["sender", "digest"]).groupBy("id").agg(F.collect_set("digest").alias("endings"))
-
-
-def new_lines(docs: DataFrame) -> DataFrame:
+                own, seen = mailtext.observed(raw, author, aid)
+                body = _own_body(own)
+                rows += [(i, s, _digest(t), body, w) for w, t in dict.fromkeys(seen)]
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int8()))], names=["id", "sender", "digest", "body", "place"])
+
+    seen = materialize(mail.select("id", "sender", "raw", "author", "author_id").mapInArrow(ends, "id bigint, sender string, digest bigint, body bigint, place tinyint"))
+    near = seen.where("place > 0")
+    own = near.where("place = 2 and sender is not null").groupBy("sender", "digest").agg(F.countDistinct("body").alias("n")).where(f"n >= {RECURS}").select("sender", "digest")
+    # one row per template and sender first, so that a closing of a third of all messages is few rows
+    per = seen.groupBy("digest", "sender").agg(F.count_if(F.col("place") > 0).alias("near"), F.count_if(F.col("place") == 0).alias("far"))
+    common = per.groupBy("digest").agg(F.count_if((F.col("near") > 0) & F.col("sender").isNotNull()).alias("senders"), F.sum("near").alias("near"), F.sum("far").alias("far"))
+    common = common.where((F.col("senders") >= SENDERS) & (F.col("near") >= AT_ENDS * (F.col("near") + F.col("far")))).select("digest", F.lit(True).alias("known"))
+    found = near.where("sender is not null").join(own, ["sender", "digest"], "left_semi").select("id", "digest").union(skew_join(near.select("id", "digest"), common, "digest").select("id", "digest"))
+    return found.groupBy("id").agg(F.collect_set("digest").alias("endings"))
+
+
+def new_lines(docs: DataFrame, lists: bool = True) -> DataFrame:
     """(document_id, line_no, line): the lines of every e-mail that its sender newly wrote, counted from 0; blank lines are left out.
 
-    Empty and null texts give no row. Of a document delivered twice with different texts, lines of either come out.
+    Empty and null texts give no row. Of a document delivered twice with different texts, lines of either come out. `lists=False` leaves the word lists of `mailtext` out.
     """
     mail = materialize(mails(docs))
     known = mail.join(inherited_lines(mail), "id", "left").join(recurring_endings(mail), "id", "left")
@@ -207,7 +228,7 @@ def new_lines(docs: DataFrame) -> DataFrame:
             docs_, numbers, lines = [], [], []
             for d, raw, author, aid, inherited, endings in zip(*(b.column(c).to_pylist() for c in ("document_id", "raw", "author", "author_id", "lines", "endings"))):
                 known_ends = set(endings or ())
-                text, kinds, _ = mailtext.mark(raw, author, aid, lambda p, k=known_ends: _digest(p) in k, inherited)
+                text, kinds = mailtext.mark(raw, author, aid, lambda p, k=known_ends: _digest(p) in k, inherited, lists)
                 for n, (line, kind) in enumerate(zip(text, kinds)):
                     if kind == mailtext.NEW:
                         docs_.append(d)

@@ -1,7 +1,8 @@
 """Which lines of an e-mail its sender newly wrote: the rules for one message, without its thread.
 
-The rules know the layout of mail (front matter, header lines, quotation prefixes, introductions, forwarding marks) and the closing words of some
-languages. Everything that is only known by recurring, such as disclaimers, comes in from outside as templates.
+What recurs is known from outside: templates of lines and paragraphs that end messages of one sender or of many. The rules here know the layout of mail (front matter, header lines, quotation prefixes,
+introductions, forwarding marks) and, as a fallback for what recurs too rarely, closing words and the like of some languages. With `lists=False` the word lists are off: header lines are then any run of
+names with a colon, and an introduction is a line with a date or address that ends in a colon.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ INTRO_START = re.compile(r"^(?:On|In the message of|In a message dated|At|Am|Le|
 INTRO_END = re.compile(r"(?:wrote|writes|said|schrieb|schrieben|a écrit|écrivit|escribió)\b[^:]*(?:\d{1,2}[:.h]\d{2}[^:]*)?\s*:\s*$")
 FORWARD = re.compile(r"^\s*(?:-{3,}\s*[^-].*\s*-{3,}|Begin forwarded message\s*:|Anfang der weitergeleiteten (?:Nachricht|E-Mail)\s*:|Début du message (?:transféré|réexpédié)\s*:)\s*$")
 # ---- end of fixed values ----
+ANY_HEADER = re.compile(r"^\s*\*?[A-ZÀ-Ý][\w-]{0,24}\*?\s?:\*?\s+\S")
+ADDRESS, LINK = re.compile(r"[\w.+-]+@[\w.-]+"), re.compile(r"(?:https?://|www\.)\S+")
+#: Lines at the end of an own part that may belong to an ending.
+TAIL = 8
 MOMENT = re.compile(r"\d{1,2}[:.h]\d{2}")
 YEAR = re.compile(r"\b(?:19|20)\d\d\b")
 QUOTE = re.compile(r"^\s*(?:>|\||:(?=\s|$)|[A-Z]{1,3}>)")
@@ -84,24 +89,33 @@ def front_matter(lines: list[str]) -> tuple[int, dict[str, str]]:
     return 0, {}
 
 
-def intro_length(lines: list[str], i: int) -> int:
+def template(text: str, names: set[str]) -> str:
+    """What recurs of a line or paragraph: lower case, one space, without outer marks; the sender's names, addresses and links are placeholders."""
+    t = LINK.sub("#link", ADDRESS.sub("#mail", " ".join(text.split()).lower()))
+    for n in sorted(names, key=len, reverse=True):
+        t = re.sub(rf"(?<!\w){re.escape(n)}(?!\w)", "@", t)
+    return t.strip(" ,.!-–—*_")
+
+
+def intro_length(lines: list[str], i: int, lists: bool = True) -> int:
     """How many lines an introduction of history takes from line i; 0 if there is none."""
-    if not INTRO_START.match(lines[i].strip()):
+    if lists and not INTRO_START.match(lines[i].strip()):
         return 0
     joined = ""
     for n in range(1, 4):
         if i + n > len(lines) or (n > 1 and (not lines[i + n - 1].strip() or QUOTE.match(lines[i + n - 1]))):
             return 0
         joined = f"{joined} {lines[i + n - 1].strip()}".strip()
-        if INTRO_END.search(joined) and (MOMENT.search(joined) or "@" in joined or YEAR.search(joined)):
+        if (INTRO_END.search(joined) if lists else joined.endswith(":")) and (MOMENT.search(joined) or "@" in joined or YEAR.search(joined)):
             return n
     return 0
 
 
-def header_run(lines: list[str], i: int) -> int:
+def header_run(lines: list[str], i: int, lists: bool = True) -> int:
     """Length of the run of header lines from line i (folded lines belong to it)."""
     n = 0
-    while i + n < len(lines) and (HEADER.match(lines[i + n]) or (n and lines[i + n][:1] in " \t" and lines[i + n].strip())):
+    header = HEADER if lists else ANY_HEADER
+    while i + n < len(lines) and (header.match(lines[i + n]) or (n and lines[i + n][:1] in " \t" and lines[i + n].strip())):
         n += 1
     return n
 
@@ -125,11 +139,33 @@ def names_of(author: str | None, lines: list[str], author_id: str | None = None)
     return found
 
 
-def mark(raw: str, author: str | None, author_id: str | None = None, recurring: Callable[[str], bool] | None = None, inherited: list[int] | None = None) -> tuple[list[str], list[int], list[str]]:
-    """Lines, their marks (1 for newly written), and the last paragraphs of the own parts.
+def observed(raw: str, author: str | None, author_id: str | None = None) -> tuple[list[str], list[tuple[int, str]]]:
+    """The own lines of a message before any ending is known, and what may show what endings look like: (0, template) of lines further up, (1, template) of lines and (2, template) of paragraphs near an end."""
+    lines, kind, stops, names = _structure(raw, author, author_id, None, True)
+    seen: list[tuple[int, str]] = []
+    own_lines: list[str] = []
+    for own in _own_parts(lines, kind, stops):
+        text = [lines[r].strip() for r in own]
+        own_lines = text + own_lines
+        starts = [p for p in range(len(own)) if p == 0 or own[p] - own[p - 1] > 1]
+        seen += [(2, template(" ".join(text[p:q]), names)) for p, q in list(zip(starts, [*starts[1:], len(own)]))[-4:] if p]
+        first = max(1, len(text) - TAIL)
+        seen += [(int(k >= first), template(t, names)) for k, t in enumerate(text)]
+    return own_lines, [(w, t) for w, t in seen if t]
+
+
+def mark(raw: str, author: str | None, author_id: str | None = None, recurring: Callable[[str], bool] | None = None, inherited: list[int] | None = None, lists: bool = True) -> tuple[list[str], list[int]]:
+    """Lines and their marks (1 for newly written).
 
-    `recurring` tells the paragraphs that end several messages of the sender; `inherited` are line numbers that came from earlier in the thread.
+    `recurring` tells the templates of lines and paragraphs that are known to end messages; `inherited` are line numbers that came from earlier in the thread.
     """
+    lines, kind, stops, names = _structure(raw, author, author_id, inherited, lists)
+    _strip_endings(lines, kind, stops, names, recurring or (lambda t: False), lists)
+    return lines, kind
+
+
+def _structure(raw: str, author: str | None, author_id: str | None, inherited: list[int] | None, lists: bool) -> tuple[list[str], list[int], list[int], set[str]]:
+    """Lines, their marks by layout and inheritance, the places where history starts, and the sender's names."""
     lines = [x.rstrip("\r") for x in raw.split("\n")]
     n = len(lines)
     kind = [NEW if x.strip() else OTHER for x in lines]
@@ -138,10 +174,10 @@ def mark(raw: str, author: str | None, author_id: str | None = None, recurring:
     kind[:i] = [OTHER] * i
     while i < n and not lines[i].strip():
         i += 1
-    head = header_run(lines, i)
+    head = header_run(lines, i, lists)
     kind[i : i + head] = [OTHER] * head
     i += head
-    stops = []  # places where history starts: an own part ends ahead of each
+    stops = []  # an own part ends ahead of each
     while i < n:
         line = lines[i]
         if not line.strip():
@@ -153,7 +189,7 @@ def mark(raw: str, author: str | None, author_id: str | None = None, recurring:
                 kind[i] = OTHER
                 i += 1
             continue
-        k = intro_length(lines, i)
+        k = intro_length(lines, i, lists)
         if k:
             stops.append(i)
             kind[i : i + k] = [OTHER] * k
@@ -165,20 +201,19 @@ def mark(raw: str, author: str | None, author_id: str | None = None, recurring:
                 kind[i:] = [OTHER] * (n - i)
                 break
             continue
-        if FORWARD.match(line) or (header_run(lines, i) >= 3):
+        if FORWARD.match(line) or header_run(lines, i, lists) >= 3:
             stops.append(i)
             kind[i:] = [OTHER] * (n - i)
             break
         i += 1
     for j in inherited or ():
         kind[j] = OTHER
-    ends = _strip_endings(lines, kind, stops, names, recurring or (lambda p: False))
-    return lines, kind, ends
+    return lines, kind, stops, names
 
 
-def _strip_endings(lines: list[str], kind: list[int], stops: list[int], names: set[str], recurring: Callable[[str], bool]) -> list[str]:
-    """Mark what follows the body of each own part as not new. Gives the parts' last paragraphs, for learning what recurs."""
-    seen = []
+def _own_parts(lines: list[str], kind: list[int], stops: list[int]) -> list[list[int]]:
+    """Numbers of the new lines of each own part, that is ahead of each place where history starts and of the end."""
+    out = []
     for stop in [*stops, len(lines)]:
         own = []
         j = stop - 1
@@ -186,34 +221,38 @@ def _strip_endings(lines: list[str], kind: list[int], stops: list[int], names: s
             if lines[j].strip():
                 own.append(j)
             j -= 1
-        own.reverse()
-        if not own:
-            continue
+        if own:
+            out.append(own[::-1])
+    return out
+
+
+def _strip_endings(lines: list[str], kind: list[int], stops: list[int], names: set[str], recurring: Callable[[str], bool], lists: bool) -> None:
+    """Mark what follows the body of each own part as not new."""
+    for own in _own_parts(lines, kind, stops):
         starts = [p for p in range(len(own)) if p == 0 or own[p] - own[p - 1] > 1]
         text = [lines[r].strip() for r in own]
-        paragraph = {p: " ".join(text[p:q]) for p, q in zip(starts, [*starts[1:], len(own)])}
-        seen += [paragraph[p] for p in starts[-4:] if p]
-        ending = lambda t: bool(DEVICE.match(t) or NOTICE.match(t) or RULE.match(t) or _closing(t, names) or _named(t, names))
+        known = [p >= max(1, len(text) - TAIL) and recurring(template(t, names)) for p, t in enumerate(text)]
+        formula = [k or (lists and _closing(t, names)) or _named(t, names) for k, t in zip(known, text)]
+        ending = [f or bool(RULE.match(t) or (lists and (DEVICE.match(t) or NOTICE.match(t)))) for f, t in zip(formula, text)]
         # 1. a rule of a signature, near the end: all after it goes
         last = next((p for p in range(max(0, len(own) - 14), len(own)) if RULE.match(text[p])), len(own))
         moved = True
         while moved and last:
             moved = False
             # 2. from the bottom up: lines that only an ending holds, and paragraphs that recur
-            while last and (ending(text[last - 1]) or CONTACT.match(text[last - 1])):
+            while last and (ending[last - 1] or CONTACT.match(text[last - 1])):
                 contact = CONTACT.match(text[last - 1])
                 last, moved = last - 1, True
                 while contact and last and own[last] - own[last - 1] == 1 and len(text[last - 1]) <= 45 and text[last - 1][-1] not in ".!?:;,":
                     last -= 1
             begin = max((p for p in starts if p < last), default=0)
-            if begin and recurring(" ".join(text[begin:last])):
+            if begin and recurring(template(" ".join(text[begin:last]), names)):
                 last, moved = begin, True
                 continue
             # 3. a name or closing a few lines up, with only short lines below it: a signature block
             for p in range(max(1, last - 6), last):
-                if (_closing(text[p], names) or _named(text[p], names)) and all(len(t) <= 60 and t[-1] not in ".!?," for t in text[p + 1 : last]):
+                if formula[p] and all(len(t) <= 60 and t[-1] not in ".!?," for t in text[p + 1 : last]):
                     last, moved = p, True
                     break
         for r in own[last:]:
             kind[r] = OTHER
-    return seen
