@@ -235,6 +235,7 @@ class RunIndex:
         self.groups = int(self.group[-1]) + 1
         self.distinct = np.bincount(self.listed, minlength=count)
         self.ends = ends
+        self.owned: np.ndarray | None = None  # rows by sequence, made where maximal matches are asked for
 
     def symbols(self, words: np.ndarray) -> np.ndarray:
         """Numbers of words; -1 for those that no sequence holds."""
@@ -271,20 +272,26 @@ class RunIndex:
         lo, hi = self.intervals(self.symbols(words), np.arange(n - 1, len(words)), n)
         return np.where(lo < hi, self.group[lo], -1).astype(np.int64)
 
-    def maximal(self, words: np.ndarray, sequence: int, n: int = RUN) -> np.ndarray:
-        """(start, end) of the maximal matches, of n words or more, of `words` with one sequence: no word can be added at either side of any of them.
+    def maximal(self, asked: list[tuple[np.ndarray, int]], n: int = RUN) -> list[np.ndarray]:
+        """For every (words, sequence) the (start, end) of their maximal matches of n words or more: no word can be added at either side of any of them.
 
-        A match may end only where some occurrence of the last n words is not followed by the next word; from these ends backward search runs as far as it gets.
+        A match may end only where some occurrence of the last n words in the sequence is not followed by the next word; from these ends backward search runs as far as it gets, for all pairs at once.
         """
-        if len(words) < n:
-            return np.zeros((0, 2), np.int64)
-        first = self.ends[sequence - 1] + 1 if sequence else 0
-        rows = np.flatnonzero((self.suffixes >= first) & (self.suffixes < self.ends[sequence]))
-        inside = lambda lo, hi: np.searchsorted(rows, hi) - np.searchsorted(rows, lo)
-        symbol = np.append(self.symbols(words), -1)
-        last = np.arange(n - 1, len(words))
+        if not asked:
+            return []
+        if self.owned is None:
+            self.owned = np.sort(np.searchsorted(self.ends, self.suffixes).astype(np.int64) * (self.size + 1) + np.arange(self.size))
+        length = np.array([len(w) for w, _ in asked])
+        first = np.cumsum(length + 1) - length - 1
+        symbol = np.full(int(length.sum()) + len(asked), -1)  # -1 parts the texts
+        for (w, _), at in zip(asked, first):
+            symbol[at : at + len(w)] = self.symbols(w)
+        pair = np.repeat(np.arange(len(asked)), length + 1)
+        sequence = np.array([e for _, e in asked], np.int64)[pair] * (self.size + 1)
+        inside = lambda at, lo, hi: np.searchsorted(self.owned, sequence[at] + hi) - np.searchsorted(self.owned, sequence[at] + lo)
+        last = np.arange(n - 1, len(symbol) - 1)
         lo, hi = self.intervals(symbol, last, n)
-        here, further = inside(lo, hi), inside(*self.intervals(symbol, last + 1, n + 1))
+        here, further = inside(last, lo, hi), inside(last, *self.intervals(symbol, last + 1, n + 1))
         stop = (here > 0) & (further < here)
         end, lo, hi = last[stop], lo[stop], hi[stop]
         start = end - n + 1
@@ -293,13 +300,15 @@ class RunIndex:
             s = symbol[start[live] - 1]
             live, s = live[s > 0], s[s > 0]
             a, b = self.back(s, lo[live]), self.back(s, hi[live])
-            ok = inside(a, b) > 0
+            ok = inside(end[live], a, b) > 0
             live = live[ok]
             lo[live], hi[live] = a[ok], b[ok]
             start[live] -= 1
             live = live[start[live] > 0]
-        whole = start < np.append(np.minimum.accumulate(start[::-1])[::-1][1:], len(words))  # else a match that ends later holds it
-        return np.stack([start[whole], end[whole] + 1], 1)
+        whole = start < np.append(np.minimum.accumulate(start[::-1])[::-1][1:], len(symbol))  # else a match that ends later holds it
+        found = np.stack([start[whole], end[whole] + 1], 1)
+        cut = np.searchsorted(pair[end[whole]], np.arange(len(asked) + 1))
+        return [found[a:b] - at for a, b, at in zip(cut, cut[1:], first)]
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -367,8 +376,9 @@ def _search(t: pa.Table, similarity: float) -> pa.Table:
                 to += 1
             some = asked[at:to]
             sizes = np.array([len(np.unique(runs(w))) for _, w in some])
-            for a, e, shared in _partners(index, [w for _, w in some], sizes, similarity):
-                spans = merged(index.maximal(some[a][1], e))
+            pairs = list(_partners(index, [w for _, w in some], sizes, similarity))
+            for (a, e, shared), found in zip(pairs, index.maximal([(some[a][1], e) for a, e, _ in pairs])):
+                spans = merged(found)
                 lengths = spans[:, 1] - spans[:, 0]
                 rows.append((some[a][0], held[e][0], shared, int(sizes[a] + index.distinct[e] - shared), len(spans), int(lengths.sum()), int(lengths.max())))
             at = to
