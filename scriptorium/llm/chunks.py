@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.session import materialize
+from scriptorium.session import materialize, skew_join
 
 GEAR, WINDOW = 16, 32
 BLOCK = 1 << 19
@@ -152,44 +152,51 @@ def _around(records: DataFrame, span: int) -> DataFrame:
     return records.select("id", "text", "hot").mapInArrow(run, "digest bigint, id bigint")
 
 
+class _Stretches:
+    """A text's code points and the digests of all its stretches of `span`."""
+
+    def __init__(self, text: str, span: int):
+        self.points = code_points(text)
+        at = np.arange(max(0, len(self.points) - span + 1))
+        self.digests = Digests(self.points).of(at, at + span)
+        self.order = np.argsort(self.digests, kind="stable")
+        self.sorted = self.digests[self.order]
+
+
+def _hits(own: _Stretches, other: _Stretches, span: int) -> np.ndarray:
+    """Places of the stretches of `own` that `other` holds. Digests only propose; every stretch is compared code point by code point, neighbours at once."""
+    if not len(own.digests) or not len(other.digests):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(other.sorted, own.digests), len(other.sorted) - 1)
+    hit = np.flatnonzero(other.sorted[at] == own.digests)
+    twin = other.order[at[hit]]
+    if not len(hit):
+        return hit
+    breaks = np.flatnonzero((np.diff(hit) != 1) | (np.diff(twin) != 1)) + 1
+    keep = np.ones(len(hit), bool)
+    for a, b in zip([0, *breaks], [*breaks, len(hit)]):
+        h, t, n = int(hit[a]), int(twin[a]), int(b - a) + span - 1
+        same = own.points[h : h + n] == other.points[t : t + n]
+        if not same.all():  # a collision of digests: the stretches around the difference go, unless another place of that digest holds them
+            for k in range(a, b):
+                if not same[k - a : k - a + span].all():
+                    places = other.order[np.searchsorted(other.sorted, own.digests[hit[k]]) : np.searchsorted(other.sorted, own.digests[hit[k]], side="right")]
+                    keep[k] = any(np.array_equal(own.points[hit[k] : hit[k] + span], other.points[p : p + span]) for p in places)
+    return hit[keep]
+
+
 def _verify(t: pa.Table, span: int) -> pa.Table:
     """Pairs of one shard and block that share `span` code points, and where. Rows: texts (partners null) and texts with their partners' ids."""
     ids, texts, partners = (t.column(c).to_pylist() for c in ("id", "text", "partners"))
-    points: dict[int, np.ndarray] = {}
-    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def stretches(p: np.ndarray) -> np.ndarray:
-        d = Digests(p)
-        at = np.arange(max(0, len(p) - span + 1))
-        return d.of(at, at + span)
-
-    for i, text, p in zip(ids, texts, partners):
-        if p is None:
-            points[i] = code_points(text)
-            all_ = stretches(points[i])
-            held[i] = (all_, np.sort(all_))
+    held = {i: _Stretches(text, span) for i, text, p in zip(ids, texts, partners) if p is None}
     rows = []
     for i, text, p in zip(ids, texts, partners):
         if p is None:
             continue
-        mine = code_points(text)
-        own = stretches(mine)
+        own = _Stretches(text, span)
         for e in p:
-            if e not in held:
-                continue
-            all_, ordered = held[e]
-            if not len(ordered) or not len(own):
-                continue
-            at = np.minimum(np.searchsorted(ordered, own), len(ordered) - 1)
-            hit = np.flatnonzero(ordered[at] == own)
-            if not len(hit):
-                continue
-            there = np.flatnonzero(np.isin(all_, own[hit]))
-            first = int(hit[0])
-            twin = int(np.flatnonzero(all_ == own[first])[0])
-            if not np.array_equal(mine[first : first + span], points[e][twin : twin + span]):
-                continue
-            rows.append((i, e, _merge(hit, span), _merge(there, span)))
+            if e in held and len(here := _hits(own, held[e], span)):
+                rows.append((i, e, _merge(here, span), _merge(_hits(held[e], own, span), span)))
     cols = list(zip(*rows)) if rows else [[]] * 4
     return pa.table([pa.array(c, ty) for c, ty in zip(cols, SHARED.types)], schema=SHARED)
 
@@ -262,10 +269,30 @@ def record_pairs(found: DataFrame, members: DataFrame) -> DataFrame:
     return across.union(within).distinct()
 
 
+def _spans(found: DataFrame) -> DataFrame:
+    """(id, other, s, e): every shared stretch of every class, once for each class it is shared with."""
+    ends = lambda c: F.transform(F.sequence(F.lit(0), (F.size(c) / 2 - 1).cast("int")), lambda i: F.struct(F.get(c, 2 * i).alias("s"), F.get(c, 2 * i + 1).alias("e")))
+    way = lambda own, other, c: found.select(F.col(own).alias("id"), F.col(other).alias("other"), F.explode(ends(F.col(c))).alias("p"))
+    return way("id", "other", "here").union(way("other", "id", "there")).select("id", "other", "p.s", "p.e")
+
+
+def stretches(found: DataFrame, members: DataFrame) -> DataFrame:
+    """(record, other, start_char, end_char): the stretches that a record shares with another, between the smallest records of classes of equal text; ends exclusive. Copies are listed by `classes`."""
+    name = members.groupBy("id").agg(F.min("record").alias("record"))
+    out = _spans(found).join(name, "id").join(name.select(F.col("id").alias("other"), F.col("record").alias("other_record")), "other")
+    return out.select("record", F.col("other_record").alias("other"), F.col("s").alias("start_char"), F.col("e").alias("end_char"))
+
+
+def classes(found: DataFrame, members: DataFrame) -> DataFrame:
+    """(record, class_record, copies, links): every record of enough code points with the smallest record of its text, the number of records of that text, and the number of other texts that share a stretch."""
+    size = members.groupBy("id").agg(F.min("record").alias("class_record"), F.count(F.lit(1)).alias("copies"))
+    links = found.select("id").union(found.select("other")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    return skew_join(members, size.join(links, "id", "left"), "id").select("record", "class_record", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def coverage(found: DataFrame, members: DataFrame, records: DataFrame, span: int = 200) -> DataFrame:
     """(record, chars, shared_chars): for each record of at least `span` code points how many of them lie in stretches that another record has too."""
-    ends = lambda c: F.transform(F.sequence(F.lit(0), (F.size(c) / 2 - 1).cast("int")), lambda i: F.struct(F.get(c, 2 * i).alias("s"), F.get(c, 2 * i + 1).alias("e")))
-    spans = found.select("id", F.explode(ends(F.col("here"))).alias("p")).union(found.select("other", F.explode(ends(F.col("there"))).alias("p"))).select("id", "p.s", "p.e").distinct()
+    spans = _spans(found).select("id", "s", "e").distinct()
     order = W.partitionBy("id").orderBy("s", "e")
     reached = F.coalesce(F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     own = spans.select("id", (F.col("e") - F.greatest("s", reached)).alias("new")).groupBy("id").agg(F.sum(F.greatest(F.lit(0), F.col("new"))).alias("shared"))

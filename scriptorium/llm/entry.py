@@ -44,6 +44,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return chunks.record_pairs(*chunks.shared_spans(_texts(spark, d)))
 
 
+def p3_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """The stretches that records share, between one record of each text."""
+    return chunks.stretches(*chunks.shared_spans(_texts(spark, d)))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with the class of its text and the number of texts linked to it."""
+    return chunks.classes(*chunks.shared_spans(_texts(spark, d)))
+
+
 def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
     """How many code points of each record occur elsewhere."""
     texts = _texts(spark, d)
@@ -137,7 +147,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_report, p1_links, p2_found, p3_found, p3_coverage, p4_found, p4_groups, p4_split, p5_found, p5_pieces, p5_file_pieces, p6_found, p7_found, p7_text, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_report, p1_links, p2_found, p3_found, p3_stretches, p3_classes, p3_coverage, p4_found, p4_groups, p4_split, p5_found, p5_pieces, p5_file_pieces, p6_found, p7_found, p7_text, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:

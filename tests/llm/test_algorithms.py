@@ -114,9 +114,26 @@ def test_shared_spans_against_brute_force(spark):
                 if len(where[t[i : i + 200]]) > 1:
                     marks |= set(range(i, i + 200))
             assert cover.get(r, 0) == len(marks)
+    text_of = dict((r, t) for r, t in rows if r and t)
+    found_stretches = chunks.stretches(*got).collect()
+    for r in found_stretches:
+        part = text_of[r.record][r.start_char : r.end_char]
+        assert len(part) >= 200 and all(part[i : i + 200] in text_of[r.other] for i in range(len(part) - 199))
+    copies = {r.record: (r.class_record, r.copies, r.links) for r in chunks.classes(*got).collect()}
+    assert copies["copy2"][0] == copies["copy1"][0] == copies["r0"][0] == "copy1" and copies["r0"][1] == 3
+    assert {tuple(sorted((r.record, r.other))) for r in found_stretches} <= want and copies["long"][2] == 1
     assert chunks.record_pairs(*chunks.shared_spans(df.where("record = 'x'"))).count() == 0
 
 
+def test_collisions_of_digests_are_no_hits():
+    a, b = chunks._Stretches("abcdefgh", 4), chunks._Stretches("xxabcdyy", 4)
+    assert chunks._hits(a, b, 4).tolist() == [0] and chunks._hits(b, a, 4).tolist() == [2]
+    b.digests = np.array([a.digests[1], b.digests[1], b.digests[2], a.digests[4], b.digests[4]])  # made to collide
+    b.order = np.argsort(b.digests, kind="stable")
+    b.sorted = b.digests[b.order]
+    assert chunks._hits(a, b, 4).tolist() == [0] and chunks._hits(chunks._Stretches("", 4), a, 4).tolist() == []
+
+
 def test_components_and_splits(spark):
     rng = random.Random(3)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000, 1000), (5, 5), (None, 3)] + [(2000, 2001 + i) for i in range(300)] + [(3000 + i, 3001 + i) for i in range(50)]
