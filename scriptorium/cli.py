@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
+import tempfile
 from pathlib import Path
 
 
@@ -19,17 +21,24 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("bank")
         s.add_argument("file", nargs="?")
         s.add_argument("--text")
+        s.add_argument("--format", choices=("markdown", "email", "plain"), default="markdown")
+        if verb == "explain":
+            s.add_argument("--mode", choices=("fast", "deep"), default="deep")
     e = sub.add_parser("evaluate", help="ranking metrics of a table of scored rows")
     e.add_argument("predictions")
     a = p.parse_args(argv)
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
+    from scriptorium.functions import cleaning
     from scriptorium.operators import metrics
     from scriptorium.plans.engine import Engine
     from scriptorium.sources.markdown import load_markdown
 
-    spark = SparkSession.builder.config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    builder = SparkSession.builder
+    if SparkSession.getActiveSession() is None and not os.environ.get("SPARK_CONF_DIR"):  # a command on one machine
+        builder = builder.config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='scriptorium-')}")
+    spark = builder.config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
         if a.verb == "build":
             Engine.build(load_markdown(spark, a.corpus).select("document_id", F.col("clean_text").alias("text"))).save(a.bank)
@@ -41,6 +50,7 @@ def main(argv: list[str] | None = None) -> int:
             if (a.text is None) == (a.file is None):
                 raise ValueError("give either a file or --text")
             text = a.text if a.text is not None else Path(a.file).read_text(encoding="utf-8")
+            text = {"markdown": cleaning.clean_markdown, "email": cleaning.clean_email, "plain": str}[a.format](text)
             one = spark.createDataFrame([("text", text)], "candidate_id string, text string")
             engine = Engine.load(spark, a.bank)
             rows = engine.score(one).collect()
@@ -48,8 +58,12 @@ def main(argv: list[str] | None = None) -> int:
                 raise ValueError("the text has fewer than three words")
             out = rows[0].asDict()
             if a.verb == "explain":
-                out["deviations"] = [r.asDict() for r in engine.deviations(one).orderBy("rank").collect()]
+                out["features"] = [r.asDict() for r in engine.features(one).orderBy("side", "rank").collect()]
+                out["weakest_passages"] = [r.asDict() for r in engine.weakest_passages(one).orderBy("rank").collect()]
+                out["highlights"] = [r.asDict() for r in engine.highlights(one, a.mode).orderBy("start_char").collect()]
+                out["best_documents"] = [r.asDict() for r in engine.best_documents(one).orderBy(F.desc("similarity"), "document_id").limit(10).collect()]
                 out["analogues"] = [r.asDict() for r in engine.analogues(one).orderBy("rank").collect()]
+            out["warnings"] = [r.warning for r in engine.warnings(one).collect()]
             print(json.dumps(out, ensure_ascii=False))
     except Exception as e:  # noqa: BLE001
         print(f"error: {e}", file=sys.stderr)

@@ -1,10 +1,12 @@
-"""Words, sentences, paragraphs and cleaning as column expressions: no Python runs per row."""
+"""Words, sentences and paragraphs as column expressions, in which no Python runs; cleaning in Arrow batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptorium.functions import cleaning
+
 #: A word is a run of letters, digits and underscores with inner apostrophes. Spelled out, as \w differs between engines.
 WORD = r"[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*"
 # ---- fixed values: abbreviations whose full stop ends no sentence ----
@@ -63,14 +65,6 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
-    """Array of all character n-grams of the lower-cased text whose runs of two or more white spaces are single spaces."""
-    chars = F.split(F.regexp_replace(F.lower(text), r"(?U)\s\s+", " "), "")
-    n = F.size(chars)
-    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(chars, i, k), ""))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.array(*(of(k) for k in range(least, most + 1))))
-
-
 def shingles(text: Column, size: int = 12) -> Column:
     """Array of the distinct runs of `size` consecutive lower-cased words, joined by spaces."""
     w = words(F.lower(text))
@@ -78,90 +72,34 @@ def shingles(text: Column, size: int = 12) -> Column:
     return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(w, i, size), " ")))).otherwise(F.array().cast("array<string>"))
 
 
-# ---- fixed values: passes of the markup cleaner, in order ----
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&rdquo;", "”"), ("&ldquo;", "“"), ("&copy;", "©"), ("&amp;", "&"))
-MARKUP = (
-    (r"(?s)\A﻿?---[ \t]*\r?\n.*?\r?\n(?:---|\.\.\.)[ \t]*(?:\r?\n|\z)", ""),  # front matter
-    (r"(?ms)^[ \t]{0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t]{0,3}\1[`~]*[ \t]*$|\z)", "\n"),  # fenced code, closed or not
-    (r"(?s)\{%\s*codeblock.*?\{%\s*endcodeblock\s*%\}", "\n"),
-    (r"(?s)\{%.*?%\}|\{\{.*?\}\}", ""),
-    (r"(?m)^(?: {4}|\t)[^\n]*$", ""),  # indented code
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<(script|style|nav|pre)\b[^>]*>.*?</\1\s*>", "\n"),
-    (r"(?is)<(div|ul|section)\b[^>]*(?:id|class)\s*=\s*[\"'][^\"']*(?:toc|navigation)[^\"']*[\"'][^>]*>.*?</\1\s*>", "\n"),
-    (r"!\[[^\]]*\](?:\([^)]*\)|\[[^\]]*\])", ""),  # images
-    (r"(?s)(`+)(?!`).*?(?<!`)\1(?!`)", ""),  # inline code
-    (r"(?im)^[ \t]{0,3}#{1,6}[ \t]*(?:table of )?contents[ \t]*#*[ \t]*$(?=\s*[-*+\d])", ""),
-    (r"(?m)^[ \t]*(?:[-*+]|\d+[.)])[ \t]*\[[^\]]*\]\(#[^)]*\)[ \t]*$", ""),  # anchor-only links
-    (r"(?im)^[ \t]*\[?\s*(?:«|←|<<)?\s*(?:previous|next)\b[^\n]{0,80}$", ""),
-    (r"\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\((?:[^()]|\([^()]*\))*\)", "$1"),  # inline links
-    (r"\[([^\[\]]+)\]\[[^\]]*\]", "$1"),  # reference links
-    (r"(?m)^[ \t]{0,3}\[[^\]]+\]:[ \t]*\S+[^\n]*$", ""),
-    (r"<?(?:https?://|www\.)[^\s<>)\]]+>?", ""),
-    (r"(?i)</?(?:p|div|br|h[1-6]|li|ul|ol|table|tr|td|th|blockquote|section|article|header|footer|figure|hr)\b[^>]*>", "\n"),
-    (r"(?s)</?[A-Za-z][^>]*>", ""),
-)
-MARKS = (
-    (r"(?m)^[ \t]{0,3}(?:[-*_][ \t]*){3,}$", ""),  # rules
-    (r"(?m)^[ \t]{0,3}#{1,6}[ \t]+|[ \t]+#+[ \t]*$", ""),  # headings
-    (r"(?m)^(?:[ \t]{0,3}>[ \t]?)+", ""),  # quotes
-    (r"(?m)^[ \t]*(?:[-*+•]|\d+[.)])[ \t]+", ""),  # lists
-    (r"(?<![\p{L}\p{N}_])[*_]{1,3}(?=\S)|(?<=\S)[*_]{1,3}(?![\p{L}\p{N}_])", ""),  # emphasis
-    (r"(?m)[ \t]+$", ""),
-    (r"[ \t]{2,}", " "),
-    (r"\n{3,}", "\n\n"),
-)
-# ---- end of fixed values ----
-
-
-def _passes(text: Column, passes: tuple[tuple[str, str], ...]) -> Column:
-    for pattern, to in passes:
-        text = F.regexp_replace(text, pattern, to)
-    return text
-
-
 def prose_markup(raw: Column) -> Column:
-    """Markdown without what isn't prose: front matter, code, liquid and HTML tags, navigation, images, links' targets. Common entities are resolved."""
-    text = _passes(F.regexp_replace(raw, r"\r\n?", "\n"), MARKUP)
-    for name, ch in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(ch))
-    return text
+    """Markdown without what isn't prose: front matter, code, liquid and HTML tags, navigation, images, links' targets; entities are resolved. Null stays null."""
+    return cleaning.markup_column(raw)
 
 
 def clean_markdown(raw: Column) -> Column:
     """Plain prose of Markdown: `prose_markup` without heading, quote, list and emphasis marks and surplus white space."""
-    return F.regexp_replace(_passes(prose_markup(raw), MARKS), r"^\s+|\s+\z", "")
+    return cleaning.markdown_column(raw)
 
 
 def clean_email(raw: Column, author: Column | None = None) -> Column:
-    """A message's own lines: header lines ahead, what follows a reply or forwarding mark, a signature rule or the author's name near the end, and quoted lines are dropped."""
-    lines = F.split(F.regexp_replace(F.regexp_replace(raw, "﻿", ""), r"\r\n?", "\n"), "\n")
-    header = r"(?i)^\s*(?:from|to|cc|bcc|subject|sent|date)\s*:"
-    first = F.coalesce(F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"\S") & ~x.rlike(header), i)), lambda i: i.isNotNull())), F.size(lines))
-    n = F.size(lines)
-    stop = r"(?i)^\s*(?:on\b.*\bwrote:\s*|-{2,}\s*original message\s*-{2,}.*|-{2,}\s*forwarded message\s*-{2,}.*|begin forwarded message:.*|--\s*)$"
-    ends = F.filter(F.transform(lines, lambda x, i: F.when((i >= first) & x.rlike(stop), i)), lambda i: i.isNotNull())
-    if author is not None:
-        named = F.transform(lines, lambda x, i: F.when((i >= first) & (F.lower(F.trim(x)) == F.lower(F.trim(author))) & (word_count(F.array_join(F.slice(lines, i + 1, n), " ")) <= 80) & F.array_join(F.slice(lines, i + 2, 4), "\n").rlike(r"(?i)@|\b(?:engineer|manager|director|lead|developer|scientist|editor|analyst|reader|tel)\b"), i))
-        ends = F.concat(ends, F.filter(named, lambda i: i.isNotNull()))
-    last = F.coalesce(F.array_min(ends), n)
-    own = F.filter(F.slice(lines, first + 1, F.greatest(F.lit(0), last - first)), lambda x: ~x.rlike(r"^\s*>") & ~x.rlike(r"(?i)^\s*\[image[^\]]*\]\s*$"))
-    text = F.array_join(F.transform(own, lambda x: F.regexp_replace(x, r"^\s*[·•‣▪]\s*", "- ")), "\n")
-    text = F.regexp_replace(text, r"<?(?:https?://|www\.)\S+>?|[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
+    """A message's own lines."""
+    return cleaning.email_column(raw, author)
 
 
 def clean_foreign_email(raw: Column, author: Column | None = None) -> Column:
-    """`clean_email` for mail of mixed origin: markup and code go first, the text ends at the first closing or legal line, and lines of symbols are dropped."""
-    text = F.regexp_replace(raw, r"(?is)<(blockquote|pre|code|script|style)\b[^>]*>.*?</\1\s*>|(?s)```.*?(?:```|\z)", "\n")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?i)</?(?:p|div|br|li|tr)\b[^>]*>", "\n"), r"(?s)</?[A-Za-z][^>]*>", "")
-    for name, ch in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(ch))
-    text = F.split(text, r"(?im)^\s*(?:-+\s*forwarded message|begin forwarded message|sent from my\b|(?:best|kind|warm)? ?regards,?\s*$|best,?\s*$|cheers,?\s*$|thanks,?\s*$|sincerely,?\s*$|this (?:e-?mail|message) (?:and|is)\b.*confidential|unsubscribe\b)", 2)[0]
-    lines = F.split(clean_email(text, author), "\n")
-    code = r"^\s*(?:>>>|\.\.\.|\$ |def \w+\(|import \w+|from \w+ import|@\w+\s*$|class \w+[:(])"
-    dense = lambda x: F.regexp_count(x, F.lit(r"[^\p{L}\p{N}_\s]")) > F.greatest(F.lit(5.0), 0.7 * word_count(x))
-    return F.regexp_replace(F.array_join(F.filter(lines, lambda x: ~x.rlike(code) & ~dense(x)), "\n"), r"^\s+|\s+\z", "")
+    """`clean_email` for mail of mixed origin."""
+    return cleaning.foreign_email_column(raw, author)
+
+
+def source_text(path: Column, raw: Column) -> Column:
+    """The prose of a file by its suffix: `.txt` is mail, all else Markdown."""
+    return F.when(F.lower(path).endswith(".txt"), clean_email(raw)).otherwise(clean_markdown(raw))
+
+
+def structure(raw: Column, clean: Column, is_mail: Column) -> Column:
+    """Where headings, lists and quotes are counted: the clean text of a mail, else the marked-up source."""
+    return F.when(is_mail, clean).otherwise(raw)
 
 
 def remove_math(text: Column) -> Column:

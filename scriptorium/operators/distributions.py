@@ -56,6 +56,35 @@ def deviations(long: DataFrame, dist: DataFrame) -> DataFrame:
     return joined.withColumn("position", F.when(F.abs("robust_z") < 1, "within").when(F.col("value") > F.col("median"), "higher").otherwise("lower"))
 
 
+def label_of(feature: Column) -> Column:
+    """How a measure is called in print."""
+    spoken = F.replace(F.replace(feature, F.lit("function_"), F.lit("Function word: ")), F.lit("_"), F.lit(" "))
+    return F.concat(F.upper(F.substring(spoken, 1, 1)), F.substring(spoken, 2, 200))
+
+
+def described(long: DataFrame, history: DataFrame, dist: DataFrame) -> DataFrame:
+    """`deviations` of `long(doc_id, feature, value)` with label, mean, std, percentile (share of the history below, ties counted half) and `varies`, whether the history has different values.
+
+    The history's values are counted once per measure and value; a candidate looks its value up by a running sum over both.
+    """
+    counts = history.where("value is not null").groupBy("feature", F.round("value", 9).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    asked = long.select("feature", F.round("value", 9).alias("v")).distinct().withColumn("c", F.lit(0))
+    every = counts.unionByName(asked).groupBy("feature", "v").agg(F.sum("c").alias("c"))
+    every = every.withColumn("b", ranges(every, "v"))
+    per = every.groupBy("feature", "b").agg(F.sum("c").alias("n"))
+    per = per.select("feature", "b", (F.sum("n").over(W.partitionBy("feature").orderBy("b")) - F.col("n")).alias("ahead"), F.sum("n").over(W.partitionBy("feature")).alias("all"))
+    upto = F.col("ahead") + F.sum("c").over(W.partitionBy("feature", "b").orderBy("v"))
+    ranks = every.join(per, ["feature", "b"]).select("feature", "v", (100.0 * (upto - 0.5 * F.col("c")) / F.col("all")).alias("percentile"))
+    spread = history.where("value is not null").groupBy("feature").agg(F.avg("value").alias("mean"), (F.min("value") < F.max("value")).alias("varies"))
+    out = deviations(long, dist).join(F.broadcast(dist.select("feature", "std")), "feature").join(F.broadcast(spread), "feature").withColumn("v", F.round("value", 9)).join(ranks, ["feature", "v"])
+    return out.drop("v").withColumn("label", label_of(F.col("feature")))
+
+
+def sentence_of(label: Column, value: Column, median: Column, position: Column) -> Column:
+    """A deviation in words."""
+    return F.concat(label, F.lit(" is "), F.format_string("%.3g", value), F.lit(", "), F.when(position == "within", "within the usual range").otherwise(F.concat(position, F.lit(" than usual"))), F.lit(" (median "), F.format_string("%.3g", median), F.lit(")."))
+
+
 def stylometry_similarity(wide: DataFrame, dist: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """keep and exp(-mean(min(|z|, 8)) / 2) over all measures. The distribution has a row per measure and is broadcast; a document's measures come from one row, so they combine before the shuffle."""
     long = deviations(M.long_form(wide, keep), dist)
@@ -109,6 +138,16 @@ def leave_one_out(long: DataFrame) -> DataFrame:
     return long.where("value is not null").select("feature", "value").groupBy("feature").applyInArrow(run, kinds)
 
 
+def against_rest(rows: DataFrame) -> DataFrame:
+    """`rows(feature, value, …leave_one_out's columns)` with `component`: the value normalised by the other rows' values of its feature."""
+    side = lambda v, q: F.when(v < q[0], q[1]).when(v == q[0], q[2]).otherwise(q[3])
+    v, n, pivot = F.col("value"), F.col("n"), F.col("median")[0]
+    out = rows.withColumn("_centre", side(v, F.col("median"))).withColumn("_own", F.when(v < pivot, F.col("below")).when(v == pivot, F.col("at")).otherwise(F.col("above")))
+    mad = side(F.abs(v - F.col("_centre")), F.col("_own"))
+    std = F.sqrt(F.greatest(F.lit(0.0), (F.col("ss") - (v - F.col("mean")) ** 2 * n / (n - 1)) / (n - 1)))
+    return out.withColumn("component", normalise(v, F.col("_centre"), mad, std, n - 1)).drop("_centre", "_own")
+
+
 def similarity_to_rest(wide: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """keep and `similarity` as in stylometry_similarity, of every row to the distribution of all other rows."""
     long = M.long_form(wide, keep).join(F.broadcast(leave_one_out(M.long_form(wide, ()))), "feature")

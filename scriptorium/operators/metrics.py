@@ -122,6 +122,18 @@ def report(rows: DataFrame, by: str) -> DataFrame:
     )
 
 
+def full_report(rows: DataFrame, by: str, top: float = 100.0) -> DataFrame:
+    """`report` of the decisions, with confusion counts, beside the ranking figures of the scores."""
+    r = running(rows, by)
+    points = roc(r, by)
+    hit, pos = F.col("decision") == "MATCH", F.col("label") == 1
+    counts = rows.groupBy(by).agg(F.count_if(hit & pos).alias("true_positive"), F.count_if(hit & ~pos).alias("false_positive"), F.count_if(~hit & ~pos).alias("true_negative"), F.count_if(~hit & pos).alias("false_negative"))
+    out = report(rows, by).join(counts, by)
+    for part in (auroc(r, by), average_precision(r, by), equal_error(points, by).drop("at_score"), brier(rows, by, top=top), calibration_error(rows, by, top=top), tpr_at(points, by)):
+        out = out.join(part, by, "left")
+    return out
+
+
 def root_weights(rows: DataFrame, hard: Column | None = None) -> DataFrame:
     """`rows(root, author, label)` with `weight`: a root's views share one root's weight; known negative authors share the negatives' weight equally; hard authors count twice."""
     views = rows.groupBy("root").agg(F.count(F.lit(1)).alias("views"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -13,13 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 512
+_WORD = re.compile(r"\w+(?:['’]\w+)*")
 _SPACES = re.compile(r"\s\s+")
 
 
-def _blocks(vectors: DataFrame, cols: list[str], prefix: str) -> DataFrame:
-    """Rows of up to about BLOCK vectors as arrays."""
+def _blocks(vectors: DataFrame, cols: list[str], prefix: str, by: list[str] | None = None) -> DataFrame:
+    """Rows of up to about BLOCK vectors as arrays, spread by the hash of the columns `by` (all, if not given)."""
     n = vectors.count()
-    b = F.pmod(F.xxhash64(*cols), F.lit(max(1, n // BLOCK)))
+    b = F.pmod(F.xxhash64(*(by or cols)), F.lit(max(1, n // BLOCK)))
     return vectors.groupBy(b.alias("_b")).agg(F.collect_list(F.struct(*cols, "v")).alias(prefix)).drop("_b")
 
 
@@ -63,9 +65,11 @@ def cosines(queries: DataFrame, bank: DataFrame, top: int | None = None) -> Data
 def maxsim(candidates: DataFrame, bank: DataFrame) -> DataFrame:
     """(c, r, maxsim) of `candidates(c, i, v)` and `bank(r, j, v)`: mean over a document's passages of their best cosine to the other document's, averaged both ways.
 
-    A passage is never compared with itself (equal document and number). Blocks pass on the maxima of rows and columns only, which the aggregations combine.
+    A passage is never compared with itself (equal document and number). If both have `keys` (arrays), a passage of the bank is left out for the candidates that have one of its keys. Blocks pass
+    on the maxima of rows and columns only, which the aggregations combine.
     """
-    left, right = _blocks(candidates, ["c", "i"], "qs"), _blocks(bank, ["r", "j"], "rs")
+    keyed = ["keys"] if "keys" in candidates.columns and "keys" in bank.columns else []
+    left, right = _blocks(candidates, ["c", "i", *keyed], "qs", ["c", "i"]), _blocks(bank, ["r", "j", *keyed], "rs", ["r", "j"])
     pairs = left.crossJoin(right)
     schema = pa.schema([("c", pa.int64()), ("r", pa.int64()), ("side", pa.int8()), ("k", pa.int64()), ("best", pa.float64())])
 
@@ -79,11 +83,19 @@ def maxsim(candidates: DataFrame, bank: DataFrame) -> DataFrame:
                 (c, i, x), (r, j, y) = unit(qs, "c", "i"), unit(rs, "r", "j")
                 s = np.clip(x @ y.T, -1, 1)
                 s[(c[:, None] == r[None, :]) & (i[:, None] == j[None, :])] = -np.inf
-                for side, own, number, other, m in ((0, c, i, r, s), (1, r, j, c, s.T)):
+                if keyed:
+                    own: dict[int, list[int]] = {}
+                    for row, q in enumerate(qs):
+                        for k in q["keys"]:
+                            own.setdefault(k, []).append(row)
+                    for col, x in enumerate(rs):
+                        for k in x["keys"]:
+                            s[own.get(k, []), col] = -np.inf
+                for side, mine_, number, other, m in ((0, c, i, r, s), (1, r, j, c, s.T)):
                     order = np.argsort(other, kind="stable")
                     names, starts = np.unique(other[order], return_index=True)
                     best = np.maximum.reduceat(m[:, order], starts, axis=1).ravel()
-                    mine, far, k = np.repeat(own, len(names)), np.tile(names, len(own)), np.repeat(number, len(names))
+                    mine, far, k = np.repeat(mine_, len(names)), np.tile(names, len(mine_)), np.repeat(number, len(names))
                     some = best > -np.inf
                     ends = (mine[some], far[some]) if side == 0 else (far[some], mine[some])
                     yield pa.RecordBatch.from_arrays([*map(pa.array, ends), pa.array(np.full(some.sum(), side, np.int8)), pa.array(k[some]), pa.array(best[some])], schema=schema)
@@ -111,6 +123,19 @@ def gram_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, gram string, tf bigint").groupBy(key, "gram").agg(F.sum("tf").alias("tf"))
 
 
+def run_digests(docs: DataFrame, key: str, text: str = "text", size: int = 12) -> DataFrame:
+    """(key, digest): md5 of the distinct runs of `size` consecutive lower-cased words of each text, joined by spaces. Null and shorter texts have none. (As column expressions the words were found anew for every run.)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t in zip(b.column(key).to_pylist(), b.column(text).to_pylist()):
+                w = _WORD.findall(t.lower())
+                found = list({hashlib.md5(" ".join(w[i : i + size]).encode("utf-8", "surrogatepass")).hexdigest() for i in range(len(w) - size + 1)})  # noqa: S324
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), b.column(key).type), pa.array(found, pa.string())], names=[key, "digest"])
+
+    return docs.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, digest string")
+
+
 def vocabulary(counts: DataFrame, key: str, size: int = 50_000) -> DataFrame:
     """(gram, df, total, idf): the `size` grams of the largest total count, ties in order of the gram; idf = ln((1 + N) / (1 + df)) + 1."""
     n = counts.agg(F.countDistinct(key).alias("n"))
@@ -130,3 +155,20 @@ def sparse_cosines(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     q = a.select(F.col(key).alias("q"), "gram", F.col("weight").alias("x"))
     r = b.select(F.col(key).alias("r"), "gram", F.col("weight").alias("y"))
     return q.join(r, "gram").where("q <> r").groupBy("q", "r").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
+
+
+def symmetric_sparse(asked: DataFrame, bank: DataFrame, weights: DataFrame, key: str) -> DataFrame:
+    """(document_id, similarity) of `asked(document_id, key)` against `bank(document_id, key)`, both with `weights(key, gram, weight)`: the median over all other documents of the bank of the mean best cosine of passages,
+    both ways. Passages that share no gram have cosine 0, and so have documents without one."""
+    pick = lambda p, side, doc: p.select(F.col(key).alias(side), F.col("document_id").alias(doc))
+    a, b = pick(asked, "q", "c"), pick(bank, "r", "d")
+    cos = sparse_cosines(weights.join(asked.select(key), key, "left_semi"), weights.join(bank.select(key), key, "left_semi"), key).join(a, "q").join(b, "r").where("c <> d")
+    best = lambda side: cos.groupBy("c", "d", side).agg(F.max("cosine").alias("m")).groupBy("c", "d").agg(F.sum("m").alias(f"of_{side}"))
+    size = lambda p, doc, n: p.groupBy(doc).agg(F.count(F.lit(1)).alias(n))
+    both = best("q").join(best("r"), ["c", "d"]).join(size(a, "c", "nq"), "c").join(size(b, "d", "nr"), "d")
+    found = both.groupBy("c").agg(F.sort_array(F.collect_list((F.col("of_q") / F.col("nq") + F.col("of_r") / F.col("nr")) / 2)).alias("s"))
+    every = a.select("c").distinct().join(found, "c", "left").crossJoin(F.broadcast(b.agg(F.countDistinct("d").alias("all"))))  # one row
+    inside = b.select("d").distinct().withColumn("inside", F.lit(1))
+    every = every.join(inside, every.c == inside.d, "left").select("c", F.coalesce("s", F.array().cast("array<double>")).alias("s"), (F.col("all") - F.coalesce("inside", F.lit(0))).alias("n"))
+    at = lambda k: F.coalesce(F.get("s", (k - F.col("n") + F.size("s")).cast("int")), F.lit(0.0))  # noqa: E731  (documents that share no gram stand first)
+    return every.select(F.col("c").alias("document_id"), ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("similarity"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from scriptorium.plans import corpus_queries, measure_queries, model_queries, score_queries
+from scriptorium.plans import audit_queries, corpus_queries, measure_queries, model_queries, score_queries
 
-PARTS = (measure_queries, score_queries, corpus_queries, model_queries)
+PARTS = (measure_queries, score_queries, corpus_queries, audit_queries, model_queries)
 
 
 def queries() -> dict[str, Callable]:

@@ -9,7 +9,7 @@ from scriptorium.functions import text as T
 from scriptorium.operators import groups as G
 from scriptorium.operators import segments
 from scriptorium.operators import similarity as S
-from scriptorium.plans.measure_queries import W, _sents
+from scriptorium.plans.measure_queries import _MARK, W, _sents
 from scriptorium.session import materialize, spread, table
 
 
@@ -41,10 +41,10 @@ def clean_email(spark: SparkSession, d: str) -> DataFrame:
 
 
 def front_matter(spark: SparkSession, d: str) -> DataFrame:
-    """Fields of the front matter of every document that has one."""
+    """Fields of the front matter of every document that has one; what is no YAML is read line by line."""
     from scriptorium.sources.markdown import front_matter as parse
 
-    return _latest(spark, d).select("document_id", F.explode(parse(F.col("raw_markdown"))).alias("field", "value"))
+    return _latest(spark, d).select("document_id", F.explode(parse(F.col("raw_markdown"), strict=False)).alias("field", "value"))
 
 
 def passages(spark: SparkSession, d: str) -> DataFrame:
@@ -192,8 +192,8 @@ def char_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 def ngram12_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Runs of twelve words that more than one sample has, and in how many."""
-    s = _samples(spark, d).select("sample_id", F.explode(T.shingles(F.col("text"))).alias("run"))
-    return s.groupBy(F.md5("run").alias("digest")).agg(F.countDistinct("sample_id").alias("samples")).where("samples > 1")
+    s = S.run_digests(_samples(spark, d), "sample_id")
+    return s.groupBy("digest").agg(F.countDistinct("sample_id").alias("samples")).where("samples > 1")
 
 
 def copied_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -268,6 +268,12 @@ SQL = {
 o AS (SELECT group_id, ((row_number() OVER (PARTITION BY p, q ORDER BY md5(concat_ws('|', '42', group_id))) - 1) % 3)::INT AS fold FROM z) SELECT document_id, group_id, fold FROM grp JOIN o USING (group_id)""",
     "passage_audit": f"""WITH {_LATEST}, p AS (SELECT DISTINCT document_id, passage_id, text, start_char, end_char, word_count FROM passages WHERE text IS NOT NULL)
 SELECT DISTINCT * FROM (SELECT document_id, passage_id, substring(clean_text, start_char + 1, end_char - start_char) = text AS in_place, coalesce(word_count, -1) = len(regexp_extract_all(text, '{W}')) AS counted FROM p JOIN latest USING (document_id) WHERE clean_text IS NOT NULL) WHERE NOT in_place OR NOT counted""",
+    "sentence_in_passage": rf"""WITH {_PROSE}, q0 AS (SELECT document_id, string_split(replace({_MARK.replace("{t}", "clean_text")}, chr(2), '.'), chr(1)) AS parts FROM prose), q1 AS (SELECT document_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM q0),
+o AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY document_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM q1), st AS (SELECT document_id, off + length(part) - length(regexp_replace(part, '^\s+', '')) AS pos FROM o WHERE regexp_matches(part, '[\p{{L}}\p{{N}}_]')),
+ps AS (SELECT DISTINCT document_id, passage_id, start_char, end_char FROM passages WHERE start_char IS NOT NULL AND end_char IS NOT NULL) SELECT document_id, passage_id, start_char, count(*) AS sentences FROM ps JOIN st USING (document_id) WHERE pos >= start_char AND pos < end_char GROUP BY document_id, passage_id, start_char, end_char""",
+    "stale_neighbours": """WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM passage_vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT DISTINCT candidate_id, vec_id, n.vec_id AS near, n.similarity AS was FROM (SELECT candidate_id, vec_id, unnest(nearest_reference_passages) AS n FROM style_scores WHERE vec_id IS NOT NULL)),
+c AS (SELECT candidate_id, near, round(was, 4) AS was, round(list_cosine_similarity(a.e, b.e), 4) AS now FROM s JOIN v a ON a.vec_id = s.vec_id JOIN v b ON b.vec_id = s.near) SELECT * FROM c WHERE abs(was - now) > 0.005""",
     "unseen_embeddings": "SELECT DISTINCT embedding_key FROM passages WHERE embedding_key IS NOT NULL AND embedding_key NOT IN (SELECT embedding_key FROM passage_vectors WHERE embedding_key IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)",
     "cosine_pairs": f"WITH {_EMB} SELECT a.vec_id AS q, b.vec_id AS r, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id",
     "nearest_analogues": f"WITH {_EMB}, s AS (SELECT a.vec_id AS q, b.vec_id AS r, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), t AS (SELECT q, r, c, row_number() OVER (PARTITION BY q ORDER BY round(c, 9) DESC, r) AS rank FROM s) SELECT q, r, rank, round(c, 5) AS cosine FROM t WHERE rank <= 3",

@@ -8,13 +8,14 @@ from __future__ import annotations
 import html
 import json
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,23 +25,27 @@ from scriptorium.functions import text as T
 from scriptorium.operators import distributions as D
 from scriptorium.operators import segments
 from scriptorium.operators import similarity as S
+from scriptorium.operators.groups import fingerprint
 from scriptorium.operators.metrics import decision
+from scriptorium.session import materialize
 
 Encoder = Callable[[list[str]], np.ndarray]
 
 
-def hashing_encoder(texts: list[str], width: int = 16) -> np.ndarray:
-    """Deterministic stand-in for a neural encoder: hashed word counts, scaled to length 1. Give your own function, or vectors, for real use."""
-    out = np.full((len(texts), width), 0.01, np.float32)
-    for row, t in zip(out, texts):
-        for w in segments.WORD.findall(t.lower()):
-            row[int(hashlib.sha256(w.encode()).hexdigest()[:8], 16) % width] += 1
+def projection_encoder(texts: list[str], width: int = 64) -> np.ndarray:
+    """A stand-in for a neural encoder: signed random projection of word counts. Every word has a fixed direction, the signs of the bits of its hash. Give your own function, or vectors, for real use."""
+    out = np.zeros((len(texts), width), np.float32)
+    for row, text in zip(out, texts):
+        row[0] = 1e-3  # texts without words
+        for word, n in Counter(segments.WORD.findall(text.lower())).items():
+            bits = np.frombuffer(hashlib.blake2b(word.encode(), digest_size=width // 8).digest(), np.uint8)
+            row += np.float32(n**0.5) * (2.0 * np.unpackbits(bits) - 1)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
 @dataclass(frozen=True)
 class Settings:
-    model_id: str = "hashing"
+    model_id: str = "projection"
     revision: str = "1"
     weights: tuple[float, float, float] = (0.60, 0.25, 0.15)
     match: float = 70.0
@@ -74,88 +79,188 @@ def embed(passages: DataFrame, encoder: Encoder, settings: Settings, cache: Data
     return keyed.join(found, "embedding_key")
 
 
+SIGNALS = ("authorship", "stylometry", "character")
+
+
 class Engine:
-    """A bank: passages with vectors and measures of its documents. Signals are not normalised by what its own documents score against the rest."""
+    """A bank: passages with vectors and measures of its documents, and their history: what each of its documents scores against all others, by which the signals of candidates are normalised."""
 
-    def __init__(self, spark: SparkSession, settings: Settings, encoder: Encoder, passages: DataFrame, measures: DataFrame):
-        self.spark, self.settings, self.encoder, self.passages, self.measures = spark, settings, encoder, passages, measures
+    def __init__(self, spark: SparkSession, settings: Settings, encoder: Encoder, passages: DataFrame, measures: DataFrame, history: DataFrame | None = None):
+        self.spark, self.settings, self.encoder, self.passages, self.measures, self._history = spark, settings, encoder, passages, measures, history
+        self._fitted: dict[str, DataFrame] = {}
 
     @classmethod
-    def build(cls, docs: DataFrame, encoder: Encoder = hashing_encoder, settings: Settings = Settings(), cache: DataFrame | None = None) -> Engine:
-        """From `docs(document_id, text)`; documents of equal prose count once."""
-        own = docs.where("text is not null").dropDuplicates(["text"])
-        passages = embed(segments.passages(own), encoder, settings, cache)
-        return cls(docs.sparkSession, settings, encoder, passages, M.measured(own, keep=("document_id",)))
+    def build(cls, docs: DataFrame, encoder: Encoder = projection_encoder, settings: Settings = Settings(), cache: DataFrame | None = None) -> Engine:
+        """From `docs(document_id, text)`; documents of equal prose count once. An empty bank is an error when it is used."""
+        own = docs.where("text is not null").withColumn("_digest", F.sha2("text", 256)).groupBy("_digest").agg(F.min_by(F.struct("document_id", "text"), "document_id").alias("d")).select("d.*")
+        passages = materialize(embed(segments.passages(own), encoder, settings, cache))
+        return cls(docs.sparkSession, settings, encoder, passages, materialize(M.measured(own, keep=("document_id",))))
+
+    def once(self, name: str, work: Callable[[], DataFrame]) -> DataFrame:
+        """A table that depends on the bank alone, worked out at its first use."""
+        if name not in self._fitted:
+            self._fitted[name] = materialize(work())
+        return self._fitted[name]
+
+    @property
+    def distribution(self) -> DataFrame:
+        return self.once("distribution", lambda: D.distribution(M.long_form(self.measures, ())))
+
+    @property
+    def history(self) -> DataFrame:
+        """(document_id, authorship, stylometry, character) of every document of the bank against the others. Passages that a document shares with others, as a whole or by a paragraph of twenty words, are left out for it."""
+        if self._history is None:
+            self._history = materialize(self._leave_one_out())
+        return self._history
+
+    def _keyed(self) -> DataFrame:
+        """Passages with digests of their text and of their long paragraphs."""
+        long = F.filter(T.paragraphs(F.col("text")), lambda p: T.word_count(p) >= 20)
+        return self.passages.withColumn("keys", F.array_distinct(F.concat(F.array(F.xxhash64("text")), F.transform(long, lambda p: F.xxhash64(F.trim(p))))))
+
+    def _leave_one_out(self) -> DataFrame:
+        keyed = materialize(self._keyed())
+        all_keys = keyed.groupBy("document_id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("all_keys"))
+        numbered = keyed.join(all_keys, "document_id").select(F.xxhash64("document_id").alias("c"), F.xxhash64("document_id", "passage_id").alias("i"), F.col("embedding").cast("array<double>").alias("v"), "keys", "all_keys")
+        asked = numbered.select("c", "i", "v", F.col("all_keys").alias("keys"))
+        bank = numbered.select(F.col("c").alias("r"), F.col("i").alias("j"), "v", "keys")
+        authorship = S.maxsim(asked, bank).where("c <> r").groupBy("c").agg(F.median("maxsim").alias("authorship"))
+        style = D.similarity_to_rest(self.measures, ("document_id",)).withColumnRenamed("similarity", "stylometry")
+        named = self._named("r")
+        chars = S.symmetric_sparse(named, named, self._weights(), "passage").withColumnRenamed("similarity", "character")
+        docs = self.measures.select("document_id", F.xxhash64("document_id").alias("c"))
+        return docs.join(authorship, "c").join(style, "document_id").join(chars, "document_id").select("document_id", *SIGNALS)
+
+    def spread(self) -> dict[str, tuple[float, float, float, int]]:
+        """Median, median absolute deviation, population deviation and number of each signal in the history."""
+        if not hasattr(self, "_spread"):
+            long = materialize(self.history.select(F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.col(s).alias("value")) for s in SIGNALS))).alias("x")).select("x.*"))
+            centre = D.exact_medians(long, "signal")
+            std = long.groupBy("signal").agg(F.stddev_pop("value").alias("std"))
+            off = long.join(F.broadcast(centre.select("signal", "median")), "signal").select("signal", F.abs(F.col("value") - F.col("median")).alias("value"))
+            mad = D.exact_medians(off, "signal").select("signal", F.col("median").alias("mad"))
+            self._spread = {r.signal: (r.median, r.mad, r.std, r.n) for r in centre.join(mad, "signal").join(std, "signal").collect()}
+        return self._spread
 
     def save(self, path: str) -> None:
-        """Tables first, the manifest last: a folder without manifest is no bank."""
-        self.passages.write.mode("overwrite").parquet(f"{path}/passages")
-        self.measures.write.mode("overwrite").parquet(f"{path}/measures")
-        manifest = {"version": __version__, "settings": asdict(self.settings), "features": M.NAMES}
+        """Tables first, the manifest with their digests last: a folder without manifest is no bank."""
+        tables = {"passages": self.passages, "measures": self.measures, "history": self.history}
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        digests = {name: _digest(self.spark.read.parquet(f"{path}/{name}")) for name in tables}
+        manifest = {"version": __version__, "settings": asdict(self.settings), "features": M.NAMES, "digests": digests, "spread": self.spread()}
         self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, encoder: Encoder = hashing_encoder) -> Engine:
-        """A saved bank; other settings' schema, other features or unusable vectors are an error."""
+    def load(cls, spark: SparkSession, path: str, encoder: Encoder = projection_encoder) -> Engine:
+        """A saved bank. Another schema, other features, changed tables, unusable vectors and keys that don't fit the texts are errors."""
         m = json.loads(spark.read.text(f"{path}/manifest").first().value)
         settings = Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in m["settings"].items()})
         if settings.schema_version != Settings().schema_version or m["features"] != M.NAMES:
             raise ValueError("the bank was made by an incompatible version")
-        passages = spark.read.parquet(f"{path}/passages")
+        tables = {name: spark.read.parquet(f"{path}/{name}") for name in m["digests"]}
+        for name, df in tables.items():
+            if _digest(df) != m["digests"][name]:
+                raise ValueError(f"the bank's {name} have changed since it was saved")
+        passages = tables["passages"]
         if passages.count() != S.vectors_of(passages, ["embedding_key"]).count():
             raise ValueError("the bank holds unusable vectors")
-        return cls(spark, settings, encoder, passages, spark.read.parquet(f"{path}/measures"))
+        if not passages.where(F.col("embedding_key") != embedding_key(F.col("text"), settings)).isEmpty():
+            raise ValueError("the bank's vectors belong to other texts")
+        return cls(spark, settings, encoder, passages, tables["measures"], tables["history"])
 
     def _numbered(self, passages: DataFrame, doc: str, number: str) -> DataFrame:
         return passages.select(F.xxhash64("document_id").alias(doc), F.xxhash64("document_id", "passage_id").alias(number), F.col("embedding").cast("array<double>").alias("v"))
 
+    def _named(self, side: str, passages: DataFrame | None = None) -> DataFrame:
+        """(document_id, passage, text) with names that tell candidates' and the bank's passages apart; documents of candidates bear a mark."""
+        p = self.passages if passages is None else passages
+        doc = F.col("document_id") if side == "r" else F.concat(F.lit("\x1f"), F.col("document_id"))
+        return p.select(doc.alias("document_id"), F.concat_ws("\x1f", F.lit(side), "document_id", F.col("passage_id").cast("string")).alias("passage"), "text")
+
+    def _vocabulary(self) -> DataFrame:
+        return self.once("vocabulary", lambda: S.vocabulary(self.once("grams", lambda: S.gram_counts(self._named("r"), "passage")), "passage"))
+
+    def _weights(self) -> DataFrame:
+        """Character weights of the bank's passages; vocabulary and document counts are those of the whole bank."""
+        vocab = self._vocabulary()
+        return self.once("weights", lambda: S.tfidf(self._fitted["grams"], vocab, "passage"))
+
     def _character(self, asked: DataFrame) -> DataFrame:
-        """(document_id, character): the median over all bank documents of the mean best cosine of passages, both ways; passages that share no gram have 0.
-
-        Weights are fitted on the bank's passages.
-        """
-        named = lambda p, side: p.select(F.concat_ws("\x1f", F.lit(side), "document_id", F.col("passage_id").cast("string")).alias("passage"), "document_id", "text")
-        a, b = named(asked, "c"), named(self.passages, "r")
-        counts = S.gram_counts(b, "passage")
-        vocab = S.vocabulary(counts, "passage")
-        cos = S.sparse_cosines(S.tfidf(S.gram_counts(a, "passage"), vocab, "passage"), S.tfidf(counts, vocab, "passage"), "passage")
-        cos = cos.withColumns({"c": F.split("q", "\x1f")[1], "d": F.split("r", "\x1f")[1]})
-        best = lambda side: cos.groupBy("c", "d", side).agg(F.max("cosine").alias("m")).groupBy("c", "d").agg(F.sum("m").alias(f"of_{side}"))
-        size = lambda p, doc, n: p.groupBy(F.col("document_id").alias(doc)).agg(F.count(F.lit(1)).alias(n))
-        both = best("q").join(best("r"), ["c", "d"]).join(size(a, "c", "nq"), "c").join(size(b, "d", "nr"), "d")
-        found = both.groupBy("c").agg(F.sort_array(F.collect_list((F.col("of_q") / F.col("nq") + F.col("of_r") / F.col("nr")) / 2)).alias("s"))
-        found = found.crossJoin(F.broadcast(b.agg(F.countDistinct("document_id").alias("n"))))  # one row
-        at = lambda k: F.coalesce(F.get("s", (k - F.col("n") + F.size("s")).cast("int")), F.lit(0.0))  # noqa: E731  (documents that share no gram stand first)
-        return found.select(F.col("c").alias("document_id"), ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("character"))
+        """(document_id, character): the median over all bank documents of the mean best cosine of passages, both ways; passages that share no gram have 0."""
+        own = self._named("c", asked)
+        weights = S.tfidf(S.gram_counts(own, "passage"), self._vocabulary(), "passage").unionByName(self._weights())
+        found = S.symmetric_sparse(own, self._named("r"), weights, "passage")
+        return found.select(F.substring("document_id", 2, 1 << 30).alias("document_id"), F.col("similarity").alias("character"))
 
     def signals(self, candidates: DataFrame) -> DataFrame:
         """(candidate_id, words, authorship, stylometry, character) of `candidates(candidate_id, text)`, the raw signals. Texts of fewer than three words are left out."""
         own = candidates.where(T.word_count(F.col("text")) >= 3).select(F.col("candidate_id").cast("string").alias("document_id"), "text")
-        cp = embed(segments.passages(own), self.encoder, self.settings)
-        sim = S.maxsim(self._numbered(cp, "c", "i"), self._numbered(self.passages, "r", "j"))
+        cp = materialize(embed(segments.passages(own), self.encoder, self.settings))
+        sim = S.maxsim(self._numbered(cp.withColumn("document_id", F.concat(F.lit("\x1f"), "document_id")), "c", "i"), self._numbered(self.passages, "r", "j"))
         authorship = sim.groupBy("c").agg(F.median("maxsim").alias("authorship"))
         wide = M.measured(own, keep=("document_id",))
-        dist = D.distribution(M.long_form(self.measures, ("document_id",)))
-        style = D.stylometry_similarity(wide, dist, ("document_id",)).withColumnRenamed("similarity", "stylometry")
+        style = D.stylometry_similarity(wide, self.distribution, ("document_id",)).withColumnRenamed("similarity", "stylometry")
         chars = self._character(cp)
-        out = own.select("document_id", F.xxhash64("document_id").alias("c"), T.word_count(F.col("text")).alias("words")).join(authorship, "c", "left").join(style, "document_id").join(chars, "document_id", "left")
+        out = own.select("document_id", F.xxhash64(F.concat(F.lit("\x1f"), "document_id")).alias("c"), T.word_count(F.col("text")).alias("words")).join(authorship, "c", "left").join(style, "document_id").join(chars, "document_id", "left")
         return out.select(F.col("document_id").alias("candidate_id"), "words", "authorship", "stylometry", F.coalesce("character", F.lit(0.0)).alias("character"))
 
+    def normalised(self, signal: str) -> Column:
+        """A signal against the history; without history the signal itself, cut to 0..1."""
+        median, mad, std, n = self.spread().get(signal, (None, None, None, 0))
+        value = F.coalesce(F.col(signal), F.lit(0.0))
+        lit = lambda x: F.lit(x).cast("double")
+        return D.normalise(value, lit(median), lit(mad), lit(std), F.lit(n))
+
     def score(self, candidates: DataFrame) -> DataFrame:
-        """Signals, `score` (0 to 100), `decision`, `evidence_strength` of every candidate, in one plan."""
-        a, s, c = (F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(x), F.lit(0.0)))) for x in ("authorship", "stylometry", "character"))
+        """Raw signals, their components (normalised by the bank's history), `score` (0 to 100), `decision` and `evidence_strength` of every candidate, in one plan."""
         w = self.settings.weights
-        out = self.signals(candidates).withColumn("score", 100 * (w[0] * a + w[1] * s + w[2] * c) / sum(w))
+        out = self.signals(candidates).withColumns({f"{s}_component": self.normalised(s) for s in SIGNALS})
+        parts = [F.col(f"{s}_component") for s in SIGNALS]
+        out = out.withColumn("score", 100 * sum((x * p for x, p in zip(w, parts)), F.lit(0.0)) / sum(w))
         mismatch = F.lit(self.settings.mismatch).cast("double")
-        return out.withColumn("decision", decision(F.col("score"), F.lit(self.settings.match), mismatch)).withColumn("evidence_strength", D.evidence_strength(F.col("words"), a, s, c))
+        return out.withColumn("decision", decision(F.col("score"), F.lit(self.settings.match), mismatch)).withColumn("evidence_strength", D.evidence_strength(F.col("words"), *parts))
+
+    def evaluation(self) -> DataFrame:
+        """(document_id, SIGNALS components, score, without_characters, spread) of the bank's own documents: each by its signals against the others, normalised by the others' signals, itself left out."""
+        others = materialize(self.history.select("document_id", F.explode(F.array(*(F.struct(F.lit(s).alias("feature"), F.col(s).alias("value")) for s in SIGNALS))).alias("x")).select("document_id", "x.*"))
+        rest = F.broadcast(D.leave_one_out(others.select("feature", "value")))  # three rows
+        out = D.against_rest(others.join(rest, "feature")).groupBy("document_id").pivot("feature", list(SIGNALS)).agg(F.first("component"))
+        w, parts = self.settings.weights, [F.col(s) for s in SIGNALS]
+        score = 100 * sum((x * p for x, p in zip(w, parts)), F.lit(0.0)) / sum(w)
+        return out.withColumns({"score": score, "without_characters": 100 * (w[0] * parts[0] + w[1] * parts[1]) / (w[0] + w[1]), "spread": F.greatest(*parts) - F.least(*parts)})
+
+    def best_documents(self, candidates: DataFrame) -> DataFrame:
+        """(candidate_id, document_id, similarity): every document of the bank by its passages' similarity to each candidate's."""
+        own = candidates.select(F.col("candidate_id").cast("string").alias("document_id"), "text")
+        cp = materialize(embed(segments.passages(own), self.encoder, self.settings))
+        marked = cp.withColumn("document_id", F.concat(F.lit("\x1f"), "document_id"))
+        sim = S.maxsim(self._numbered(marked, "c", "i"), self._numbered(self.passages, "r", "j"))
+        names = marked.select(F.substring("document_id", 2, 1 << 30).alias("candidate_id"), F.xxhash64("document_id").alias("c")).distinct()
+        docs = self.passages.select("document_id", F.xxhash64("document_id").alias("r")).distinct()
+        return sim.join(names, "c").join(docs, "r").select("candidate_id", "document_id", F.col("maxsim").alias("similarity"))
 
     def deviations(self, candidates: DataFrame, top: int = 5) -> DataFrame:
         """(candidate_id, feature, robust_z, position, rank): the measures in which each candidate is furthest from the bank."""
         own = candidates.select(F.col("candidate_id").cast("string").alias("document_id"), "text")
-        dev = D.deviations(M.long_form(M.measured(own, keep=("document_id",)), ("document_id",)), D.distribution(M.long_form(self.measures, ("document_id",))))
+        dev = D.deviations(M.long_form(M.measured(own, keep=("document_id",)), ("document_id",)), self.distribution)
         ranked = dev.withColumn("rank", F.row_number().over(W.partitionBy("document_id").orderBy(F.desc(F.abs("robust_z")), "feature"))).where(F.col("rank") <= top)
         return ranked.select(F.col("document_id").alias("candidate_id"), "feature", F.col("value"), "robust_z", "position", "rank")
 
+    def features(self, candidates: DataFrame, top: int = 5) -> DataFrame:
+        """(candidate_id, side, rank, feature, label, value, median, robust_z, percentile, text): the measures in which each candidate is closest to the bank and furthest from it. Measures that are 0 in the candidate and always 0
+        in the bank are left out if ten others remain."""
+        own = candidates.select(F.col("candidate_id").cast("string").alias("document_id"), "text")
+        long = materialize(M.long_form(M.measured(own, keep=("document_id",)), ("document_id",)))
+        history = M.long_form(self.measures, ())
+        dev = D.described(long, history, self.distribution).withColumn("told", F.col("varies") | (F.col("value") != 0) | (F.col("median") != 0))
+        dev = dev.withColumn("n", F.count_if("told").over(W.partitionBy("document_id"))).where((F.col("n") < 10) | F.col("told"))
+        size = F.abs("robust_z")
+        near = dev.withColumn("rank", F.row_number().over(W.partitionBy("document_id").orderBy(size, "feature"))).withColumn("side", F.lit("match"))
+        far = dev.withColumn("rank", F.row_number().over(W.partitionBy("document_id").orderBy(F.desc(size), "feature"))).withColumn("side", F.lit("mismatch"))
+        out = near.unionByName(far).where(F.col("rank") <= top).withColumn("text", D.sentence_of(F.col("label"), F.col("value"), F.col("median"), F.col("position")))
+        return out.select(F.col("document_id").alias("candidate_id"), "side", "rank", "feature", "label", "value", "median", "robust_z", "percentile", "text")
+
     def analogues(self, candidates: DataFrame, top: int = 3) -> DataFrame:
         """(candidate_id, document_id, passage_id, similarity, excerpt, rank): the bank's passages closest to any passage of each candidate."""
         own = candidates.select(F.col("candidate_id").cast("string").alias("document_id"), "text")
@@ -187,18 +292,64 @@ class Engine:
         return variants.join(after, "id").join(before, "candidate_id").select("candidate_id", "index", (F.col("after") - F.col("score")).alias("delta")).where("delta > 0")
 
 
-def highlight_ranges(sentences: DataFrame, most: int = 10) -> DataFrame:
-    """`sentences(candidate_id, start_char, end_char, effect)`: the strongest effects that don't overlap a stronger one, with their severity, in order of place."""
-    w = W.partitionBy("candidate_id").orderBy(F.desc("effect"), "start_char")
-    top = sentences.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 4 * most)  # a bounded report
-    clash = top.alias("a").join(top.alias("b"), (F.col("a.candidate_id") == F.col("b.candidate_id")) & (F.col("b.k") < F.col("a.k")) & (F.col("b.start_char") < F.col("a.end_char")) & (F.col("a.start_char") < F.col("b.end_char")), "left_anti")
-    best = clash.withColumn("k", F.row_number().over(W.partitionBy("candidate_id").orderBy("k"))).where(F.col("k") <= most)
-    return best.select("candidate_id", "start_char", "end_char", "effect", F.when(F.col("effect") >= 5, "high").when(F.col("effect") >= 2, "medium").otherwise("low").alias("severity"))
+    def highlights(self, candidates: DataFrame, mode: str = "deep") -> DataFrame:
+        """(candidate_id, start_char, end_char, effect, severity): sentences that speak against the bank. In `deep` mode by how much the score rises without them, else, and where that wasn't tried, by how far their passage is
+        below the text."""
+        if mode not in ("fast", "deep"):
+            raise ValueError("mode must be fast or deep")
+        own = candidates.select(F.col("candidate_id").cast("string").alias("candidate_id"), "text")
+        weak = materialize(self.weakest_passages(own)).select("candidate_id", F.col("start_char").alias("lo"), F.col("end_char").alias("hi"), F.col("score").alias("of_passage"), "rank")
+        whole = self.score(own).select("candidate_id", "score")
+        s = own.select("candidate_id", F.explode(T.sentence_spans(F.col("text"))).alias("s")).select("candidate_id", "s.start_char", "s.end_char", F.col("s.index").alias("index"))
+        first = s.join(weak, "candidate_id").where("start_char >= lo and start_char < hi").groupBy("candidate_id", "index").agg(F.min_by("of_passage", "rank").alias("of_passage"))
+        s = s.join(first, ["candidate_id", "index"], "left").join(whole, "candidate_id")
+        gap = F.when(F.col("of_passage") < F.col("score"), F.col("score") - F.col("of_passage"))
+        if mode == "deep":
+            s = s.join(self.sentence_deletions(own), ["candidate_id", "index"], "left")
+            gap = F.coalesce("delta", gap)
+        return highlight_ranges(s.withColumn("effect", gap).where("effect is not null").select("candidate_id", "start_char", "end_char", "effect"))
+
+    def warnings(self, candidates: DataFrame) -> DataFrame:
+        """(candidate_id, warning): what limits the evidence of a candidate."""
+        s = self.score(candidates)
+        parts = [F.col(f"{x}_component") for x in SIGNALS]
+        short = F.when(F.col("words") < 150, F.lit("fewer than 150 words give little evidence"))
+        apart = F.when(F.greatest(*parts) - F.least(*parts) >= 0.65, F.lit("the components disagree strongly; subject or genre may be the reason"))
+        small = F.lit("the bank has fewer than ten documents") if self.measures.count() < 10 else F.lit(None).cast("string")
+        return s.select("candidate_id", F.explode(F.array_compact(F.array(short, apart, small))).alias("warning"))
+
+
+def _digest(df: DataFrame) -> str:
+    """Digest of a table's rows, whatever their order; vectors and numbers count by their text."""
+    text = df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("h"))
+    return fingerprint(text, "h").first().digest
 
 
-def write_report(metrics: DataFrame, path: str, title: str = "Style compatibility") -> None:
-    """A small HTML page of an already aggregated table; values are escaped."""
-    rows = metrics.limit(200).collect()
+def highlight_ranges(sentences: DataFrame, most: int = 10) -> DataFrame:
+    """`sentences(candidate_id, start_char, end_char, effect)`: the strongest effects that don't overlap one already taken, at most `most`, with their severity. Ties go by place. Each candidate's rows go to one task: they are
+    the sentences of one text."""
+    schema = pa.schema([("candidate_id", pa.string()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("effect", pa.float64())])
+
+    def pick(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: (-r["effect"], r["start_char"]))
+        taken: list[dict] = []
+        for r in rows:
+            if len(taken) == most:
+                break
+            if r["end_char"] > r["start_char"] and not any(r["start_char"] < x["end_char"] and x["start_char"] < r["end_char"] for x in taken):
+                taken.append(r)
+        return pa.Table.from_pylist(taken, schema)
+
+    own = sentences.where("start_char is not null and end_char is not null and effect is not null").select(F.col("candidate_id").cast("string").alias("candidate_id"), F.col("start_char").cast("bigint").alias("start_char"), F.col("end_char").cast("bigint").alias("end_char"), F.col("effect").cast("double").alias("effect"))
+    best = own.groupBy("candidate_id").applyInArrow(pick, "candidate_id string, start_char bigint, end_char bigint, effect double")
+    return best.withColumn("severity", F.when(F.col("effect") >= 5, "high").when(F.col("effect") >= 2, "medium").otherwise("low"))
+
+
+def write_report(metrics: DataFrame, path: str, title: str = "Style compatibility", most: int = 10_000) -> None:
+    """A small HTML page of an already aggregated table; values are escaped. A table of more than `most` rows is an error: nothing is cut off."""
+    rows = metrics.take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"a report holds {most} rows at most; aggregate first")
     head = "".join(f"<th>{html.escape(c)}</th>" for c in metrics.columns)
     lines = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else f'{v:.4g}' if isinstance(v, float) else str(v))}</td>" for v in r) + "</tr>" for r in rows)
     Path(path).write_text(f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><p>A measure of style, not proof of authorship.</p><table><tr>{head}</tr>{lines}</table>", encoding="utf-8")

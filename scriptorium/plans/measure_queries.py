@@ -157,6 +157,11 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS
     "feature_distribution": measures_sql() + _DIST + " SELECT feature, round(med, 6) AS median, round(sd, 6) AS std, round(mad, 6) AS mad, round(scale, 6) AS scale FROM dist",
     "robust_deviations": measures_sql() + _DIST + " SELECT doc_id, feature, round((value - med)/scale, 4) AS robust_z, CASE WHEN abs((value - med)/scale) < 1 THEN 'within' WHEN value > med THEN 'higher' ELSE 'lower' END AS position FROM l JOIN dist USING (feature)",
     "stylometry_similarity": measures_sql() + _DIST + " SELECT doc_id, source, round(exp(-avg(least(abs((value - med)/scale), 8))/2), 6) AS similarity FROM l JOIN dist USING (feature) GROUP BY 1, 2",
+    "stylometry_leave_one_out": measures_sql() + _UNPIVOT + f""", r AS MATERIALIZED (SELECT doc_id, feature, value FROM l WHERE source = '{REFERENCE}'), n AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{W}')) AS words FROM documents WHERE lower(trim(source)) = '{REFERENCE}'),
+lo AS (SELECT a.doc_id, a.feature, a.value AS v, median(b.value) AS med, stddev_pop(b.value) AS sd FROM r a JOIN r b ON a.feature = b.feature AND a.doc_id <> b.doc_id GROUP BY 1, 2, 3),
+la AS (SELECT lo.doc_id, lo.feature, v, med, sd, 1.4826*median(abs(b.value - med)) AS mad FROM lo JOIN r b ON b.feature = lo.feature AND b.doc_id <> lo.doc_id GROUP BY 1, 2, 3, 4, 5),
+sim AS (SELECT doc_id, exp(-avg(least(abs(v - med)/greatest(mad, 0.25*sd, 0.1*abs(med), 0.01), 8))/2) AS s FROM la GROUP BY 1)
+SELECT (CASE WHEN words < 150 THEN 0 WHEN words < 500 THEN 1 ELSE 2 END)::INT AS length_class, count(*) AS documents, round(avg(s), 6) AS mean_similarity, round(stddev_pop(s), 6) AS spread FROM sim JOIN n USING (doc_id) GROUP BY 1""",
     "historical_percentile": measures_sql() + f""", v AS (SELECT doc_id, source, round(sentence_length_mean, 6) AS v FROM m), h AS (SELECT v FROM v WHERE source = '{REFERENCE}')
 SELECT x.doc_id, round(100.0*(sum((h.v < x.v)::INT) + 0.5*sum((h.v = x.v)::INT))/count(*), 6) AS percentile FROM v x, h GROUP BY 1""",
 }

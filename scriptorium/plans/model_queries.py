@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators import learn
+from scriptorium.operators import learn, nested
 from scriptorium.operators import metrics as M
 from scriptorium.plans.engine import Engine
 from scriptorium.plans.score_queries import _rows
@@ -33,11 +33,58 @@ def sample_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores of all curated samples against a bank of the letters of readers."""
     docs = table(spark, d, "documents").where("text is not null and lower(trim(source)) = 'reader_letters'").select(F.col("doc_id").cast("string").alias("document_id"), "text")
     engine = Engine.build(docs)
-    engine.passages, engine.measures = materialize(engine.passages), materialize(engine.measures)
     samples = table(spark, d, "manifest_rows").where("sample_id is not null and excerpt is not null").select(F.col("sample_id").alias("candidate_id"), F.col("excerpt").alias("text")).dropDuplicates(["candidate_id"])
     s = engine.score(samples)
-    return s.select("candidate_id", "words", *(F.round(c, 5).alias(c) for c in ("authorship", "stylometry", "character", "score")), "decision", "evidence_strength")
+    return s.select("candidate_id", "words", *(F.round(c, 5).alias(c) for c in ("authorship", "stylometry", "character", "authorship_component", "stylometry_component", "character_component", "score")), "decision", "evidence_strength")
 
 
-QUERIES = {f.__name__: f for f in (logistic_verifier, sample_scores)}
+def bank_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """The reference source's documents against each other: every one by the others' history, itself left out of everything but the character vocabulary; with ablations."""
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & (F.lower(F.trim("source")) == "reader_letters")).select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    e = Engine.build(docs).evaluation()
+    return e.select("document_id", *(F.round(c, 5).alias(c) for c in ("authorship", "stylometry", "character", "score", "without_characters", "spread")))
+
+
+def _development(spark: SparkSession, d: str) -> DataFrame:
+    """One row per root of the development population: the one of the best finite score."""
+    author = F.lower(F.trim("author_id"))
+    rows = _rows(spark, d).where("split = 'development_oof' and root_document_id is not null and label is not null")
+    cols = F.struct(F.coalesce("score", F.lit(-1.0)).alias("score"), F.when(~author.isin("", "unknown", "n/a", "-"), author).alias("author"), "label", *nested.FEATURES)
+    return rows.groupBy(F.col("root_document_id").alias("root")).agg(F.max(cols).alias("x")).select("root", "x.author", "x.label", *(f"x.{f}" for f in nested.FEATURES))
+
+
+_done: dict[tuple[str, str], nested.Evaluation] = {}
+
+
+def _evaluated(spark: SparkSession, d: str) -> nested.Evaluation:
+    """The nested evaluation of a folder's predictions, once in a session: three queries read it."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _done:
+        _done[key] = nested.evaluate(_development(spark, d))
+    return _done[key]
+
+
+def nested_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of each configuration inside each outer training set, and the one that the fold takes."""
+    e = _evaluated(spark, d)
+    taken = {r.outer_fold: r.configuration for r in e.outer.select("outer_fold", "configuration").distinct().collect()}
+    rows = [(f["outer_fold"], f["configuration"], *(None if f[c] is None else round(f[c], 5) for c in ("auroc", "average_precision", "tpr_at_5", "tpr", "brier")), taken.get(f["outer_fold"]) == f["configuration"]) for f in e.figures]
+    return spark.createDataFrame(rows, "outer_fold int, configuration string, auroc double, average_precision double, tpr_at_5 double, tpr double, brier double, taken boolean")
+
+
+def nested_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Every development root scored by the fold that never saw it or its author, with thresholds frozen in that fold's training set."""
+    e = _evaluated(spark, d)
+    return e.outer.select("root", "label", "outer_fold", "configuration", *(F.round(c, 5).alias(c) for c in ("margin", "score", "match", "mismatch")), "decision")
+
+
+def production_verifier(spark: SparkSession, d: str) -> DataFrame:
+    """The verifier refitted on all development roots: standardised coefficients, their importance, the calibrator and the thresholds."""
+    e = _evaluated(spark, d)
+    rows = [(e.selected, f, round(float(w), 5), round(abs(float(w)), 5)) for f, w in zip(nested.FEATURES, e.verifier.weights[0])]
+    rows += [(e.selected, n, None if v is None else round(v, 5), None) for n, v in (("bias", float(e.verifier.bias[0])), ("calibrator_slope", e.calibrator[0]), ("calibrator_intercept", e.calibrator[1]), ("match", e.thresholds["match"]), ("mismatch", e.thresholds["mismatch"]))]
+    return spark.createDataFrame(rows, "configuration string, name string, value double, importance double")
+
+
+QUERIES = {f.__name__: f for f in (logistic_verifier, nested_selection, nested_predictions, production_verifier, bank_evaluation, sample_scores)}
 SQL: dict[str, str] = {}

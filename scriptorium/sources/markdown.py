@@ -2,32 +2,63 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
+from scriptorium.functions import cleaning
 from scriptorium.functions import text as T
 
-_BLOCK = r"(?s)\A﻿?---[ \t]*\r?\n(.*?)(?:\r?\n)(?:---|\.\.\.)[ \t]*(?:\r?\n|\z)"
+def _mapping(text: str | None, strict: bool) -> dict[str, str] | None:
+    import yaml
 
+    block = None if text is None else cleaning.front_matter(text)[0]
+    if block is None:
+        return None if text is None else {}
+    try:
+        found = yaml.safe_load(block)
+        if found is not None and not isinstance(found, dict):
+            raise ValueError("front matter must be a mapping")
+    except (yaml.YAMLError, ValueError):
+        if strict:
+            raise
+        lines = (x.partition(":") for x in block.splitlines() if x[:1].strip() and ":" in x)
+        found = {k.strip(): v.strip() for k, _, v in lines}
+    return {str(k): str(v) for k, v in (found or {}).items()}
 
-def front_matter(raw: Column) -> Column:
-    """map<string,string> of the plain `key: value` lines of a front matter at the very start; empty where there is none. Quotes around a value go; later keys win."""
-    block = F.regexp_extract(raw, _BLOCK, 1)
-    lines = F.filter(F.split(block, r"\r?\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*[ \t]*:"))
-    pair = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^([\w-]+)", 1))).alias("k"), F.regexp_replace(F.trim(F.regexp_extract(x, r"^[\w-]+[ \t]*:(.*)$", 1)), r"^(['\"])(.*)\1$", "$2").alias("v")))
-    last = F.filter(pair, lambda p, i: ~F.exists(F.slice(pair, i + 2, F.size(pair)), lambda q: q["k"] == p["k"]))
-    return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
+
+@F.pandas_udf(MapType(StringType(), StringType()))
+def _strict(raw: pd.Series) -> pd.Series:
+    return pd.Series([_mapping(t, True) for t in raw], dtype=object)
+
+
+@F.pandas_udf(MapType(StringType(), StringType()))
+def _lenient(raw: pd.Series) -> pd.Series:
+    return pd.Series([_mapping(t, False) for t in raw], dtype=object)
+
+
+def front_matter(raw: Column, strict: bool = True) -> Column:
+    """map<string,string> of the YAML mapping at the very start; empty where there is none, null for null. Anything but a mapping, and bad YAML, stops the query, or if not `strict` is read as plain `key: value` lines."""
+    return _strict(raw) if strict else _lenient(raw)
+
+
+@F.pandas_udf(StringType())
+def _body(raw: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else cleaning.front_matter(t)[1] for t in raw], dtype=object)
 
 
 def body(raw: Column) -> Column:
     """The text after the front matter."""
-    return F.regexp_replace(raw, _BLOCK, "")
+    return _body(raw)
 
 
 def scan(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """(document_id, source_file, raw, file_hash): files below `path` by suffix, whatever its case; the id is the path below it."""
+    """(document_id, source_file, raw, file_hash): files below `path` by suffix, whatever its case; the id is the path below it. No such file is an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.where(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
+    if files.select("path").limit(1).count() == 0:
+        raise ValueError(f"no {' '.join(suffixes)} file below {path}")
     root = path.rstrip("/").removeprefix("file:").lstrip("/")
     return files.select(F.regexp_replace("path", rf"^[a-z0-9]+:/+\Q{root}\E/", "").alias("document_id"), F.col("path").alias("source_file"), F.decode("content", "UTF-8").alias("raw"), F.sha2("content", 256).alias("file_hash"))
 

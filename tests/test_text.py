@@ -1,8 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions import cleaning
 from scriptorium.functions import measures as M
 from scriptorium.functions import text as T
-from scriptorium.operators import segments
+from scriptorium.operators import lineage, segments
 
 TEXT = "Dr. Lund likes version 3.14. I agree! Do you?\n\nAnd so it was used (often). But who's there?"
 
@@ -19,9 +21,7 @@ def test_words_and_sentences(spark):
     assert one(spark, "", T.sentences) == [] and one(spark, None, T.words) is None
 
 
-def test_grams_and_shingles(spark):
-    assert one(spark, "aB  c", T.char_grams) == ["ab ", "b c", "ab c"]
-    assert one(spark, "ab", T.char_grams) == []
+def test_shingles(spark):
     assert one(spark, "a b c d", lambda t: T.shingles(t, 3)) == ["a b c", "b c d"]
 
 
@@ -29,7 +29,11 @@ def test_cleaners(spark):
     raw = "---\ntitle: x\n---\n# Head\n\nSee *this* [link (a)](http://e.example/a_(b)) and `code` &amp; more.\n\n```py\nx = 1\n```\n\n- item one\n> quoted\n\n<script>no</script>\n![pic](a.png)\n"
     assert one(spark, raw, T.clean_markdown) == "Head\n\nSee this link (a) and & more.\n\nitem one\nquoted"
     mail = "Subject: a\nFrom: B <b@c.example>\n\nHello,\n· one point\n> old\nvisit https://x.example/y now\n\n--\nB\nEngineer"
-    assert one(spark, mail, T.clean_email) == "Hello,\n- one point\nvisit  now"
+    assert one(spark, mail, T.clean_email) == "Hello,\n· one point\nvisit now"
+    assert one(spark, None, T.clean_email) is None and one(spark, None, T.clean_markdown) is None and one(spark, "", T.clean_markdown) == ""
+    pair = spark.createDataFrame([("a/B.TXT", "To: x\nHello there"), ("c.md", "# Hello *you*")], "p string, r string")
+    assert [r.x for r in pair.select(T.source_text(F.col("p"), F.col("r")).alias("x")).collect()] == ["Hello there", "Hello you"]
+    assert pair.select(T.structure(F.col("r"), F.lit("clean"), F.col("p").endswith(".TXT")).alias("x")).collect()[0].x == "clean"
     assert one(spark, "Text $a+b$ and $$c$$.", T.remove_math) == "Text  and ."
 
 
@@ -69,5 +73,64 @@ def test_segments_of_tables(spark):
     df = spark.createDataFrame([("a", paragraphs(400, 50), 1), ("b", None, 2), (None, "x", 3), ("c", "", 4)], "document_id string, text string, word_count int")
     assert [(r.document_id, r.passage_id, r.word_count) for r in segments.passages(df).collect()] == [("a", 0, 450)]
     assert {r.document_id for r in segments.views(df).collect()} == {"a"}
-    other = spark.createDataFrame([(paragraphs(400),)], "text string")
-    assert [r.document_id for r in segments.shared_long_paragraphs(df, other).collect()] == ["a"]
+
+
+def test_markdown_line_by_line():
+    clean = cleaning.clean_markdown
+    assert clean("Next we drove home.\n\nPrevious tenants left.") == "Next we drove home.\n\nPrevious tenants left."  # prose that only starts like navigation
+    assert clean("A\n\n[« Previous](a.md) | [Next »](b.md)\n\nB") == "A\n\nB"
+    assert clean("A\n\n~~~\nx\n~~~\nB\n\n```\nnever closed") == "A\n\nB"
+    assert clean("A\n{% highlight py %}\nx = 1\n{% endhighlight %}\nB {{ site.name }} {% raw %}C") == "A\n\nB C"
+    assert clean("## Contents\n\n- [One](#one)\n- [Two](#two)\n\nText") == "Text"
+    assert clean("## Contents\n\nof the box") == "Contents\n\nof the box"
+    assert clean("See [a [nested] label](x_(y)) and [ref][1] and ![pic](p.png \"t\").\n\n[1]: http://x.example") == "See a [nested] label and ref and ."
+    assert clean("Use `a < b` and ``c ` d`` but not ` alone") == "Use and but not ` alone"
+    assert clean("<div class='toc'><ul><li>x</li></ul></div>Text<br>more <b>bold</b> <!-- no\nno --> &lt;tag&gt; &eacute;") == "Text\nmore bold <tag> é"
+    assert clean("Go to https://x.example/a and <http://y.example> now") == "Go to and now"
+    assert clean("---\na: b\n---\n* one\n2) two\n> > deep\n***\nsnake_case and *em* and __strong__") == "one\ntwo\ndeep\n\nsnake_case and em and strong"
+    assert clean("---\nno end") == "---\nno end".replace("---", "").strip() or clean("---\nno end")
+    assert clean("    code\n\ttab\ntext") == "text"
+    assert clean("[" * 5000) == "[" * 5000  # no run away on unclosed brackets
+
+
+def test_mail_of_mixed_origin():
+    clean = cleaning.clean_foreign_email
+    assert clean("Hi\n<blockquote>old</blockquote>\nNew &amp; good.\n>>> print(1)\n\nCheers,\nBo") == "Hi\n\nNew & good."
+    assert clean("One\n```\ncode\n```\nTwo\nSent from my phone\nThree") == "One\nTwo"
+    assert clean("Body\nThis message is confidential.\nMore") == "Body" and clean("This message is fine") == "This message is fine"
+    assert clean("Text\na = {b: [c]; d_e_f}; {}\nTo unsubscribe click") == "Text"
+    own = cleaning.clean_email
+    assert own("Hello\nAnn Moe\nLead Engineer", "Ann Moe") == "Hello" and own("Hello\nAnn Moe\nBye", "Ann Moe") == "Hello\nAnn Moe\nBye"
+    assert own("Hello\nann moe\nEngineer", "Ann Moe") == "Hello\nann moe\nEngineer"
+    assert own("A\nOn Monday Bo wrote:\n> x") == "A" and own("A\n-- Original Message --\nB") == "A" and own("A\n[Image]\n--\nB") == "A"
+
+
+def test_runs_excerpts_and_paragraphs():
+    text = "First par.\r\n\r\n  Second\npar  \n\n\n\nThird"
+    assert [text[a:b] for a, b, _ in segments.paragraph_spans(text)] == ["First par.", "Second\npar", "Third"]
+    sizes = [100, 250, 400, 50, 700, 10]
+    brute = [(i, j, sum(sizes[i : j + 1])) for i in range(6) for j in range(i, 6) if 300 <= sum(sizes[i : j + 1]) <= 700]
+    assert list(segments.runs_within(sizes, 300, 700)) == brute
+    long = " ".join(f"Sentence number {i} has exactly seven words." for i in range(200))
+    a, b, n = segments.generation_excerpt(long, "k")
+    assert 300 <= n <= 600 and len(segments.WORD.findall(long[a:b])) == n and segments.generation_excerpt(long, "k") == (a, b, n)
+    assert segments.generation_excerpt("one two", "k") == (0, 7, 2) and segments.generation_excerpt(" ", "k") is None
+    a, b, n = segments.generation_excerpt("word " * 900, "k")
+    assert n == 450
+
+
+def test_reserved_texts_must_not_overlap(spark):
+    par = " ".join(f"w{i}" for i in range(20))
+    train = spark.createDataFrame([("a", f"Intro.\n\n{par}"), ("b", "Same  text"), ("c", "nothing"), ("n", None)], "document_id string, text string")
+    tests = spark.createDataFrame([("x", f"Before {par} after."), ("y", "Same text"), ("z", "free"), ("n", None)], "document_id string, text string")
+    assert {tuple(r) for r in segments.overlapping(tests, train).collect()} == {("x", "a"), ("y", "b")}
+    with pytest.raises(ValueError, match="overlaps"):
+        segments.reject_overlap(tests, train)
+    segments.reject_overlap(tests.where("document_id = 'z'"), train)
+
+
+def test_origins_of_chains_and_circles(spark):
+    rows = [(f"c{i}", f"c{max(0, i - 1)}", i != 3) for i in range(40)] + [("x", "y", True), ("y", "x", True), ("o", "gone", True), ("p", "o", True), ("t", "t", True)]
+    got = {r.document_id: (r.origin, r.steps, r.visible) for r in lineage.origins(spark.createDataFrame(rows, "document_id string, parent string, visible boolean")).collect()}
+    assert all(got[f"c{i}"] == ("c0", i, i < 3) for i in range(40)) and got["t"] == ("t", 0, True)
+    assert all(got[k] == (None, None, None) for k in "xyop")
