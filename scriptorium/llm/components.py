@@ -1,15 +1,7 @@
 """Groups of records that must stay together, and splits that never cut one (problem 4).
 
-Components come from frontier breadth-first search with many seeds at once. A level works on one graph:
-
-1. every node whose priority (degree class, then hash) beats all its neighbours' is a seed;
-2. the seeds' frontiers grow together for a few rounds over the hash-partitioned adjacency rows; a node takes the smallest
-   label that reaches it first; nodes that none reaches stay under their own name;
-3. edges whose ends carry different labels are the collisions. They form the next, smaller graph, whose nodes are labels.
-
-The levels end when no collision is left. High degrees win, so that a hub, which may hold a third of all rows, absorbs
-its neighbours in one round. Rows of hubs are salted wherever they are joined; all aggregations combine before they shuffle.
-No link, label or component ever reaches the driver, only counts.
+Components come from frontier breadth-first search with many seeds at once over hash-partitioned adjacency rows, with colliding seeds merged in smaller graphs (`operators.graph`). Nodes are keys, not
+documents; whole components fill the splits in hash order.
 """
 
 from __future__ import annotations
@@ -18,12 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.operators import graph
 from scriptorium.session import materialize, skew_join
 
 PLACEHOLDERS = ("", "unknown", "n/a", "-")
-SALTS = 32
-#: A node is hot if it holds more than 1/HOT of all edge ends and more than LEAST_HOT of them; so fewer than HOT nodes are.
-HOT, LEAST_HOT = 256, 20_000
 
 
 def author_key(c: Column) -> Column:
@@ -32,55 +22,6 @@ def author_key(c: Column) -> Column:
     return F.when(~key.isin(*PLACEHOLDERS), key)
 
 
-def _salt(ids: list[int], other: str) -> Column:
-    """0, but for rows whose u is one of the few hot nodes a value below `SALTS` drawn from the other end."""
-    return F.when(F.col("u").isin(ids), F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(0) if ids else F.lit(0)
-
-
-def _send(edges: DataFrame, labels: DataFrame, hot: list[int]) -> DataFrame:
-    """(u, v, label): every adjacency row with the label of u. Rows of hot nodes are spread over salts, and so are those nodes' labels."""
-    if not hot:
-        return edges.join(labels, "u")
-    salts = F.when(F.col("u").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return edges.withColumn("salt", _salt(hot, "v")).join(labels.withColumn("salt", F.explode(salts)), ["u", "salt"]).drop("salt")
-
-
-def _level(edges: DataFrame, prio: DataFrame, hot: list[int], rounds: int) -> DataFrame:
-    """(u, label) for every node of the symmetric `edges`: one level of the search."""
-    best = _send(edges, prio, hot).groupBy(F.col("v").alias("u")).agg(F.min("label").alias("near"))
-    state = materialize(prio.join(best, "u").select("u", F.when(F.col("label") < F.col("near"), F.col("u")).alias("label")))
-    for _ in range(rounds):
-        frontier = state.where("label is not null")
-        reached = _send(edges, frontier, hot).groupBy(F.col("v").alias("u")).agg(F.min("label").alias("found"))
-        state = materialize(state.join(reached, "u", "left").select("u", F.coalesce("label", "found").alias("label")))
-    return state.select("u", F.coalesce("label", "u").alias("label"))
-
-
-def connected_components(links: DataFrame, rounds: int = 2) -> DataFrame:
-    """(id, component) for every id in `links(a bigint, b bigint)`; component is an id of the group.
-
-    Null ends are dropped, repeated and self links allowed (an id that only links to itself is its own component). Empty input gives an empty table.
-    """
-    links = links.where("a is not null and b is not null")
-    both = links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    edges = materialize(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    maps: list[DataFrame] = []
-    while total := edges.count():
-        # the smaller struct wins: high degree class, then hash; the id makes it unique
-        rank = F.struct((-F.floor(F.log2(F.col("n").cast("double")))).cast("int").alias("c"), F.xxhash64("u", F.lit(len(maps))).alias("x"), F.col("u").alias("i"))
-        degree = materialize(edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).select("u", rank.alias("label"), "n"))
-        hot = [r.u for r in degree.where((F.col("n") * HOT > total) & (F.col("n") > LEAST_HOT)).select("u").collect()]  # fewer than HOT by the first condition
-        labels = _level(edges, degree.select("u", "label"), hot, rounds)
-        maps.append(labels)
-        # each end in turn takes its label; a hub's rows shrink to distinct (label, hub) before the second step
-        half = _send(edges, labels, hot).select(F.col("v").alias("u"), F.col("label").alias("v")).distinct()
-        edges = materialize(_send(half, labels, hot).where("label <> v").select(F.col("label").alias("u"), "v").distinct())
-    out = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id"))
-    for m in maps:
-        out = out.join(m.select(F.col("u").alias("component"), F.col("label").alias("next")), "component", "left").select("id", F.coalesce("next", "component").alias("component"))
-    return out
-
-
 def tie_keys(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(document_id, kind, key): the keys that tie a document to others: `a` its author key, `r` its root and the roots of its passages.
 
@@ -93,32 +34,16 @@ def tie_keys(docs: DataFrame, passages: DataFrame) -> DataFrame:
     return own.union(roots.join(known, "document_id", "left_semi")).distinct()
 
 
-def named_nodes(ties: DataFrame) -> DataFrame:
-    """`ties(document_id, kind, key)` with `node`, a hash of kind and key: no join, so a key of a third of all rows moves nowhere. Two keys of one hash would lead to another seed."""
-    for seed in range(8):
-        named = materialize(ties.withColumn("node", F.xxhash64("kind", "key", F.lit(seed))))
-        # exact copies of a key combine ahead of the shuffle
-        if named.groupBy("node").agg(F.min(F.struct("kind", "key")).alias("a"), F.max(F.struct("kind", "key")).alias("b")).where("a <> b").isEmpty():
-            return named
-    raise RuntimeError("no seed gave every key a number of its own")
-
-
 def tied_groups(docs: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents tied by author, root or the roots of their passages.
 
-    Returns (document_id, component) and (author_key, component). Nodes are keys, not documents: a document only links its keys,
-    one being the anchor, so a copied row or an author of a third of all rows adds no work beyond its distinct links.
+    Returns (document_id, component) and (author_key, component).
     """
-    ties = named_nodes(tie_keys(docs, passages))
-    # a document's keys meet in one row; its anchor is its smallest node
-    by_doc = ties.groupBy("document_id").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
-    by_doc = materialize(by_doc.select("document_id", F.col("nodes")[0].alias("anchor"), "nodes"))
-    links = by_doc.select(F.col("anchor").alias("a"), F.explode("nodes").alias("b")).distinct()
-    comp = materialize(connected_components(links))
-    placed = skew_join(by_doc.select("document_id", "anchor"), comp.withColumnRenamed("id", "anchor"), "anchor").select("document_id", "component")
+    ties = graph.named_nodes(tie_keys(docs, passages), "kind", "key")
+    by_doc, comp = graph.tied(ties.select("document_id", "node"), "document_id")
     authors = ties.where("kind = 'a'").select("key", "node").distinct()
     by_author = authors.join(comp.withColumnRenamed("id", "node"), "node").select(F.col("key").alias("author_key"), "component")
-    return placed, by_author
+    return by_doc, by_author
 
 
 def component_classes(by_author: DataFrame) -> DataFrame:

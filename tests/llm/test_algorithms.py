@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scriptorium.llm import chunks, components, overlap, pieces, vectors
+from scriptorium.operators import graph
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -147,17 +148,17 @@ def test_components_and_splits(spark):
     for a, b in links:
         if a is not None:
             parent[top(a)] = top(b)
-    old = components.HOT, components.LEAST_HOT
-    components.LEAST_HOT = 100  # so that the salted way runs too
-    got = components.connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
-    components.HOT, components.LEAST_HOT = old
+    old = graph.LEAST_HOT
+    graph.LEAST_HOT = 100  # so that the salted way runs too
+    got = graph.connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    graph.LEAST_HOT = old
     mine, want = defaultdict(set), defaultdict(set)
     for r in got:
         mine[r.component].add(r.id)
     for x in list(parent):
         want[top(x)].add(x)
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
-    assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    assert graph.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
 def test_authors_that_share_a_split(spark):
