@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--mode", choices=("fast", "deep"), default="deep")
     e = sub.add_parser("evaluate", help="ranking metrics of a table of scored rows")
     e.add_argument("predictions")
+    e.add_argument("--freeze", help="run the nested evaluation and write what production keeps of it to this JSON file")
     a = p.parse_args(argv)
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
@@ -46,6 +47,14 @@ def main(argv: list[str] | None = None) -> int:
             r = metrics.running(spark.read.parquet(a.predictions).distinct(), "split")
             for row in metrics.auroc(r, "split").join(metrics.average_precision(r, "split"), "split").join(metrics.thresholds(r, "split"), "split").collect():
                 print(json.dumps(row.asDict()))
+            if a.freeze:
+                from scriptorium.operators import nested
+                from scriptorium.plans.model_queries import development_rows
+
+                found = nested.evaluate(development_rows(spark.read.parquet(a.predictions)))
+                for figures in found.figures:
+                    print(json.dumps({k: figures[k] for k in ("outer_fold", "configuration", "auroc", "tpr_at_5", "tpr", "brier")}))
+                Path(a.freeze).write_text(json.dumps(nested.frozen(found), indent=1), encoding="utf-8")
         else:
             if (a.text is None) == (a.file is None):
                 raise ValueError("give either a file or --text")

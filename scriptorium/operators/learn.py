@@ -90,3 +90,10 @@ def choose_verifier(plain: dict[str, float], boosted: dict[str, float]) -> str:
 def better_configuration(new: dict[str, float], old: dict[str, float]) -> bool:
     """A configuration replaces the one ahead of it if it is strictly better at 5 % false positives and no worse elsewhere by more than the tolerances."""
     return new["tpr_at_5"] > old["tpr_at_5"] and round(old["auroc"] - new["auroc"], 9) <= 0.01 and round(old["tpr"] - new["tpr"], 9) <= 0.03 and new["brier"] <= old["brier"]
+
+
+def accept_half_precision(figures: dict[str, float]) -> bool:
+    """Whether an encoder may run at half precision: all decisions alike, score drift within 0.5 points on average and 1.5 at most, AUROC and Brier no worse by more than 0.005, and a fifth faster."""
+    return (
+        figures["decision_agreement"] >= 1.0 and figures["mean_drift"] <= 0.5 and figures["max_drift"] <= 1.5 and figures["auroc_decline"] <= 0.005 and figures["brier_increase"] <= 0.005 and figures["speedup"] >= 0.2
+    )

@@ -6,6 +6,8 @@ all rows. A level is one long table (fit, row, weight); every Newton step of all
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -286,3 +288,58 @@ def evaluate(rows: DataFrame, folds: int = 3) -> Evaluation:
     inside = [{"outer_fold": int(n.split("|")[1].split("/")[0]), "configuration": n.split("/")[1], **v} for n, v in figures.items()]
     bounds = pooled[selected]
     return Evaluation(nested.select("root", "label", "outer_fold", "configuration", "margin", "score", "match", "mismatch", "decision"), first.select("configuration", "root", "author", "label", "margin", "score"), inside, selected, {"match": bounds["match"], "mismatch": bounds["mismatch"]}, calibrator[selected], verifier, hard)
+
+
+def contributions(rows: DataFrame, e: Evaluation, top: int = 10) -> DataFrame:
+    """(root, feature, contribution, rank): the largest parts of each root's margin by the production verifier, signed; ties by name. `rows(root, FEATURES…)`; parts of features the configuration doesn't use are left out."""
+    v, uses = e.verifier, next(c for c in CONFIGURATIONS if c.name == e.selected).uses()
+    parts = [F.struct(F.lit(f).alias("feature"), ((F.col(f) - F.lit(float(m))) / F.lit(float(s)) * F.lit(float(w))).alias("contribution")) for f, m, s, w, u in zip(FEATURES, v.means[0], v.scales[0], v.weights[0], uses) if u]
+    out = rows.select("root", F.posexplode(F.array_sort(F.array(*parts), lambda a, b: F.when(F.abs(a["contribution"]) > F.abs(b["contribution"]), -1).when(F.abs(a["contribution"]) < F.abs(b["contribution"]), 1).when(a["feature"] < b["feature"], -1).otherwise(1))).alias("k", "p"))
+    return out.where(F.col("k") < top).select("root", "p.feature", "p.contribution", (F.col("k") + 1).alias("rank"))
+
+
+def prediction_rows(e: Evaluation, rows: DataFrame) -> DataFrame:
+    """All scored rows in one table, never any prose: `nested_outer` by the thresholds frozen in each fold, and `development_oof` of the selected configuration by the production thresholds, with the signals of `rows(root, author, FEATURES…)`
+    and whether a negative is hard."""
+    shared = rows.select("root", "author", *FEATURES)
+    outer = e.outer.select("root", "label", F.lit("nested_outer").alias("split"), F.col("margin").alias("raw_margin"), F.col("score").alias("compatibility_score"), "decision", "outer_fold", F.col("match").alias("fold_match_threshold"), F.col("mismatch").alias("fold_mismatch_threshold"), F.lit(False).alias("hard_negative"))
+    match, mismatch = F.lit(e.thresholds["match"]).cast("double"), F.lit(e.thresholds["mismatch"]).cast("double")
+    dev = e.development.where(F.col("configuration") == e.selected)
+    neg = M.running(dev.where("label = 0").withColumn("_g", F.lit(0)).withColumn("_one", F.lit(1)), "_g", "score", "_one")
+    cut = neg.where(F.col("tp") >= F.greatest(F.ceil(0.1 * F.col("all_pos")), F.lit(1))).agg(F.max("score").alias("cut"))
+    dev = dev.crossJoin(F.broadcast(cut))  # one row
+    hard = (F.col("label") == 0) & F.coalesce((F.col("score") >= match) | (F.col("score") >= F.col("cut")), F.lit(False))
+    nothing = F.lit(None).cast("double")
+    dev = dev.select("root", "label", F.lit("development_oof").alias("split"), F.col("margin").alias("raw_margin"), F.col("score").alias("compatibility_score"), M.decision(F.col("score"), match, mismatch).alias("decision"), F.lit(None).cast("int").alias("outer_fold"), nothing.alias("fold_match_threshold"), nothing.alias("fold_mismatch_threshold"), hard.alias("hard_negative"))
+    return outer.unionByName(dev).join(shared, "root").withColumnRenamed("root", "root_document_id").withColumnRenamed("author", "author_id").withColumn("score", F.col("compatibility_score") / 100)
+
+
+def frozen(e: Evaluation) -> dict:
+    """What production keeps of an evaluation, as plain values with a digest of them."""
+    v = e.verifier
+    kept = {
+        "configuration": e.selected, "features": list(FEATURES), "means": v.means[0].tolist(), "scales": v.scales[0].tolist(), "weights": v.weights[0].tolist(), "bias": float(v.bias[0]), "calibrator": list(e.calibrator),
+        "thresholds": e.thresholds, "hard_authors": e.hard, "schema_version": 1,
+    }
+    return kept | {"digest": hashlib.sha256(json.dumps(kept, sort_keys=True).encode()).hexdigest()}
+
+
+def thawed(kept: dict) -> tuple[Fits, dict]:
+    """The verifier of `frozen` values; changed values, other features and another schema are errors."""
+    rest = {k: v for k, v in kept.items() if k != "digest"}
+    if hashlib.sha256(json.dumps(rest, sort_keys=True).encode()).hexdigest() != kept.get("digest"):
+        raise ValueError("the frozen configuration has changed since it was written")
+    if kept["features"] != list(FEATURES) or kept["schema_version"] != 1:
+        raise ValueError("the frozen configuration has another schema")
+    one = lambda k: np.array([kept[k]], float)
+    return Fits([kept["configuration"]], one("means"), one("scales"), one("weights"), np.array([kept["bias"]], float)), rest
+
+
+def refit(rows: DataFrame, kept: dict) -> Fits:
+    """The verifier fitted anew on `rows(root, author, label, FEATURES…)` under a frozen configuration: its features and hard authors; calibrator and thresholds stay as they were frozen."""
+    _, rest = thawed(kept)
+    conf = next(c for c in CONFIGURATIONS if c.name == rest["configuration"])
+    hard = F.coalesce(F.col("author").isin(rest["hard_authors"]), F.lit(False)) if rest["hard_authors"] else F.lit(False)
+    train = rows.where(F.col("label").isNotNull()).select(F.lit(conf.name).alias("fit"), "root", "author", "label", F.array(*(F.col(f).cast("double") for f in FEATURES)).alias("x"), hard.alias("hard"))
+    train = train.where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
+    return fit_many(materialize(weighted(train)), {conf.name: conf.uses()})

@@ -31,6 +31,13 @@ def deviation_details(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "feature", "label", *(F.round(c, 5).alias(c) for c in ("value", "median", "mean", "std", "percentile")), "varies")
 
 
+def structure_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Headings, lists and quotes of prose, counted in its marked-up source against the words of its clean text."""
+    p = C._prose(spark, d).select("document_id", "clean_text", T.structure(F.col("raw_markdown"), F.col("clean_text"), F.lit(False)).alias("source"))
+    m = M.measured(p.where("source is not null"), "clean_text", "source", keep=("document_id",))
+    return m.select("document_id", *(F.round(c, 5).alias(c) for c in M.FAMILIES["markup"]))
+
+
 def _passage_vectors(spark: SparkSession, d: str) -> DataFrame:
     """(document_id, vec_id, v) of usable vectors, one row per vec_id."""
     v = S.vectors_of(table(spark, d, "passage_vectors").where("vec_id is not null and document_id is not null"), ["document_id", "vec_id"]).where(F.size("v") == 64)
@@ -207,6 +214,8 @@ SQL = {
     "deviation_details": Q.measures_sql() + Q._UNPIVOT + f""", r AS (SELECT feature, value FROM l WHERE source = '{Q.REFERENCE}'), md AS (SELECT feature, median(value) AS median, avg(value) AS mean, stddev_pop(value) AS std, count(DISTINCT value) > 1 AS varies FROM r GROUP BY 1),
 cd AS (SELECT doc_id, feature, value FROM l WHERE doc_id % 50 = 0), pc AS (SELECT doc_id, cd.feature, cd.value, 100.0*(sum((round(r.value, 9) < round(cd.value, 9))::INT) + 0.5*sum((round(r.value, 9) = round(cd.value, 9))::INT))/count(*) AS percentile FROM cd JOIN r ON r.feature = cd.feature GROUP BY 1, 2, 3)
 SELECT doc_id, feature, upper(x[1]) || x[2:] AS label, round(value, 5) AS value, round(median, 5) AS median, round(mean, 5) AS mean, round(std, 5) AS std, round(percentile, 5) AS percentile, varies FROM (SELECT *, replace(replace(feature, 'function_', 'Function word: '), '_', ' ') AS x FROM pc JOIN md USING (feature))""",
+    "structure_measures": rf"""WITH {C._PROSE}, n AS (SELECT document_id, raw_markdown AS s, greatest(len(regexp_extract_all(lower(clean_text), '{Q.W}')), 1)::DOUBLE AS n FROM prose WHERE raw_markdown IS NOT NULL)
+SELECT document_id, round(1000.0*len(regexp_extract_all(s, '(?m)^\s{{0,3}}#{{1,6}}\s+'))/n, 5) AS heading_rate, round(1000.0*len(regexp_extract_all(s, '(?m)^\s*(?:[-*+]|\d+[.)])\s+'))/n, 5) AS list_rate, round(1000.0*len(regexp_extract_all(s, '(?m)^\s*>'))/n, 5) AS quote_paragraph_rate FROM n""".replace("\\\\", "\\"),
     "negative_contrast": f"""{_V}, {_USER}, pn AS MATERIALIZED (SELECT a.document_id AS c, b.author AS r, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.e, b.e) AS s FROM a, v b WHERE b.label = 0 AND b.author IS NOT NULL AND (a.author IS NULL OR a.author <> b.author)),
 sn AS (SELECT c, max(s) AS best, median(s) AS mid FROM ({_TWO_WAYS.format(s="pn")}) GROUP BY 1), u AS (SELECT c, median(s) AS u FROM su GROUP BY 1)
 SELECT c AS document_id, round(u, 5) AS user_similarity, round(coalesce(best, 0), 5) AS best_negative, round(coalesce(mid, 0), 5) AS median_negative, round(u - coalesce(best, 0), 5) AS user_minus_best, round(u - coalesce(mid, 0), 5) AS user_minus_median FROM u LEFT JOIN sn USING (c)""",
@@ -243,6 +252,6 @@ SELECT k.kind, count(score) AS documents, count(DISTINCT author) AS authors, rou
 }
 QUERIES = {
     f.__name__: f
-    for f in (deviation_details, negative_contrast, best_documents, char_symmetric_similarity, reserved_overlap, sample_checks, provenance, lineage_counts, curation_status, supervision_gate, root_margin_rows, authors_on_both_sides,
+    for f in (deviation_details, structure_measures, negative_contrast, best_documents, char_symmetric_similarity, reserved_overlap, sample_checks, provenance, lineage_counts, curation_status, supervision_gate, root_margin_rows, authors_on_both_sides,
               authors_without_train, recorded_passages_per_kind, outer_decisions, holdout_report, positive_report, fixed_source_diagnostics)
 }

@@ -62,6 +62,11 @@ def excerpts(spark: SparkSession, d: str) -> DataFrame:
     return segments.excerpts(_prose(spark, d).select("document_id", F.col("clean_text").alias("text")))
 
 
+def generation_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """The excerpt of 450 to 600 words that stands for each prose document when new texts are written after it."""
+    return segments.generation_excerpts(_prose(spark, d).select("document_id", F.col("clean_text").alias("text")))
+
+
 def documents_by_kind(spark: SparkSession, d: str) -> DataFrame:
     """Documents, e-mails and characters per split and label."""
     r = _latest(spark, d)
@@ -258,6 +263,7 @@ _GRAMS = rf"""{_SAMP}, ch AS (SELECT sample_id, regexp_replace(lower(text), '[\p
 g AS (SELECT sample_id, substring(t, i::BIGINT, n::BIGINT) AS gram FROM ch, (VALUES (3), (4), (5)) l(n), unnest(range(1, length(t) - n + 2)) u(i)),
 tf AS (SELECT sample_id, gram, count(*) AS tf FROM g GROUP BY 1, 2),
 v AS (SELECT gram, count(*) AS df, sum(tf) AS total, ln((1 + (SELECT count(DISTINCT sample_id) FROM tf))/(1 + count(*))) + 1 AS idf FROM tf GROUP BY 1 ORDER BY total DESC, gram LIMIT 50000)"""
+_WIDE_MARK = _MARK.replace(r"(\s|\z)", r"([\pZ\s]|\z)")  # white space as Python sees it
 SQL = {
     "documents_by_kind": f"WITH {_LATEST} SELECT split, {_LABEL} AS derived_label, count(*) AS documents, sum({_MAIL}::INT) AS mails, sum(length(clean_text)) AS chars FROM latest GROUP BY 1, 2",
     "distinct_last_prose": f"WITH {_PROSE} SELECT md5(clean_text) AS digest, document_id FROM prose QUALIFY row_number() OVER (PARTITION BY md5(clean_text) ORDER BY loaded_at DESC NULLS LAST, document_id DESC) = 1",
@@ -271,6 +277,11 @@ SELECT DISTINCT * FROM (SELECT document_id, passage_id, substring(clean_text, st
     "sentence_in_passage": rf"""WITH {_PROSE}, q0 AS (SELECT document_id, string_split(replace({_MARK.replace("{t}", "clean_text")}, chr(2), '.'), chr(1)) AS parts FROM prose), q1 AS (SELECT document_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM q0),
 o AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY document_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM q1), st AS (SELECT document_id, off + length(part) - length(regexp_replace(part, '^\s+', '')) AS pos FROM o WHERE regexp_matches(part, '[\p{{L}}\p{{N}}_]')),
 ps AS (SELECT DISTINCT document_id, passage_id, start_char, end_char FROM passages WHERE start_char IS NOT NULL AND end_char IS NOT NULL) SELECT document_id, passage_id, start_char, count(*) AS sentences FROM ps JOIN st USING (document_id) WHERE pos >= start_char AND pos < end_char GROUP BY document_id, passage_id, start_char, end_char""",
+    "excerpts": rf"""WITH {_PROSE}, q0 AS (SELECT document_id, string_split(replace({_WIDE_MARK.replace("{t}", "clean_text")}, chr(2), '.'), chr(1)) AS parts FROM prose), q1 AS (SELECT document_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM q0),
+o AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY document_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, regexp_replace(part, '^[\pZ\s]+|[\pZ\s]+\z', '', 'g') AS body FROM q1),
+st AS (SELECT document_id, i, off + length(part) - length(regexp_replace(part, '^[\pZ\s]+', '')) AS pos, body, len(regexp_extract_all(body, '[^\pZ\s]+')) AS n FROM o WHERE regexp_matches(part, '[\p{{L}}\p{{N}}_]')),
+k AS (SELECT *, row_number() OVER w AS k, sum(n) OVER w AS c FROM st WINDOW w AS (PARTITION BY document_id ORDER BY i))
+SELECT a.document_id, a.pos::INT AS start_char, (b.pos + length(b.body))::INT AS end_char, (b.c - a.c + a.n)::INT AS word_count FROM k a JOIN k b ON a.document_id = b.document_id AND b.k >= a.k AND b.c - a.c + a.n BETWEEN 150 AND 190 QUALIFY row_number() OVER (PARTITION BY a.document_id ORDER BY a.k, b.k) = 1""",
     "stale_neighbours": """WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM passage_vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 s AS (SELECT DISTINCT candidate_id, vec_id, n.vec_id AS near, n.similarity AS was FROM (SELECT candidate_id, vec_id, unnest(nearest_reference_passages) AS n FROM style_scores WHERE vec_id IS NOT NULL)),
 c AS (SELECT candidate_id, near, round(was, 4) AS was, round(list_cosine_similarity(a.e, b.e), 4) AS now FROM s JOIN v a ON a.vec_id = s.vec_id JOIN v b ON b.vec_id = s.near) SELECT * FROM c WHERE abs(was - now) > 0.005""",
@@ -286,4 +297,4 @@ SELECT a.sample_id AS q, b.sample_id AS r, round(sum(a.w*b.w), 6) AS cosine FROM
     "copied_sentences": f"WITH {_SAMP}, s AS (SELECT sample_id, unnest({_sents('text')}) AS s FROM samp) SELECT md5(s) AS digest, count(DISTINCT sample_id) AS samples FROM s WHERE len(regexp_extract_all(s, '{W}')) >= 8 GROUP BY s HAVING samples > 1",
     "sample_audit": f"SELECT DISTINCT * FROM (SELECT sample_id, coalesce(excerpt_words, -1) = len(regexp_extract_all(excerpt, '{W}')) AS counted, sha256(excerpt) = sample_sha256 AS hashed FROM manifest_rows WHERE excerpt IS NOT NULL) WHERE NOT counted OR NOT hashed",
 }
-QUERIES = {f.__name__: f for f in (clean_markdown, clean_email, front_matter, passages, training_views, excerpts, documents_by_kind, distinct_last_prose, duplicate_groups, label_conflicts, holdout_split, group_folds, passage_audit, sentence_in_passage, unseen_embeddings, cosine_pairs, nearest_analogues, symmetric_maxsim, maxsim_moments, char_ngram_vocabulary, char_similarity, ngram12_overlap, copied_sentences, sample_audit, stale_neighbours)}
+QUERIES = {f.__name__: f for f in (clean_markdown, clean_email, front_matter, passages, training_views, excerpts, generation_excerpts, documents_by_kind, distinct_last_prose, duplicate_groups, label_conflicts, holdout_split, group_folds, passage_audit, sentence_in_passage, unseen_embeddings, cosine_pairs, nearest_analogues, symmetric_maxsim, maxsim_moments, char_ngram_vocabulary, char_similarity, ngram12_overlap, copied_sentences, sample_audit, stale_neighbours)}

@@ -58,8 +58,22 @@ def embedding_key(text, settings: Settings):  # noqa: ANN001, ANN201
     return F.sha2(F.to_json(F.array(text, F.lit(settings.model_id), F.lit(settings.revision), F.lit(str(settings.schema_version)))), 256)
 
 
-def embed(passages: DataFrame, encoder: Encoder, settings: Settings, cache: DataFrame | None = None, batch: int = 64) -> DataFrame:
-    """`passages` with `embedding_key` and `embedding`: only distinct texts that the cache lacks are encoded, long ones together."""
+def _encoded(encoder: Encoder, texts: list[str], batch: int) -> np.ndarray:
+    """Vectors of texts, `batch` at a time; a batch that runs out of memory is halved, a single text that does is an error."""
+    try:
+        return np.concatenate([np.asarray(encoder(texts[i : i + batch]), np.float32) for i in range(0, len(texts), batch)])
+    except MemoryError:
+        if batch == 1:
+            raise
+        return _encoded(encoder, texts, batch // 2)
+
+
+def embed(passages: DataFrame, encoder: Encoder, settings: Settings, cache: DataFrame | None = None, batch: int = 64, most: int = 4_096) -> DataFrame:
+    """`passages` with `embedding_key` and `embedding`: only distinct texts that the cache lacks are encoded, long ones together.
+
+    A passage of more than `most` tokens is an error, never cut; tokens are counted by the encoder's `count_tokens`, or as words if it has none.
+    """
+    count = getattr(encoder, "count_tokens", None) or (lambda t: len(segments.WORD.findall(t)))
     keyed = passages.withColumn("embedding_key", embedding_key(F.col("text"), settings))
     new = keyed.select("embedding_key", "text").dropDuplicates(["embedding_key"])
     if cache is not None:
@@ -68,7 +82,9 @@ def embed(passages: DataFrame, encoder: Encoder, settings: Settings, cache: Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, texts = b.column("embedding_key"), b.column("text").to_pylist()
-            vectors = np.concatenate([np.asarray(encoder(texts[i : i + batch]), np.float32) for i in range(0, len(texts), batch)]) if texts else np.zeros((0, 1), np.float32)
+            if any(len(t) > most and count(t) > most for t in texts):
+                raise ValueError(f"a passage has more than {most} tokens")
+            vectors = _encoded(encoder, texts, batch) if texts else np.zeros((0, 1), np.float32)
             if not np.isfinite(vectors).all() or (len(vectors) and not np.abs(vectors).sum(1).all()):
                 raise ValueError("the encoder gave a vector that is not finite or all zero")
             yield pa.RecordBatch.from_arrays([keys, pa.array(list(vectors), pa.list_(pa.float32()))], names=["embedding_key", "embedding"])

@@ -45,14 +45,18 @@ def bank_evaluation(spark: SparkSession, d: str) -> DataFrame:
     return e.select("document_id", *(F.round(c, 5).alias(c) for c in ("authorship", "stylometry", "character", "score", "without_characters", "spread")))
 
 
-def _development(spark: SparkSession, d: str) -> DataFrame:
-    """One row per root of the development population: the one of the best finite score."""
+def development_rows(predictions: DataFrame) -> DataFrame:
+    """One row per root of the development population of a table of predictions: the one of the best score. Placeholder authors count as none."""
     author = F.lower(F.trim("author_id"))
-    rows = _rows(spark, d).where("split = 'development_oof' and root_document_id is not null and label is not null")
+    rows = predictions.distinct().where("split = 'development_oof' and root_document_id is not null and label is not null")
     cols = F.struct(F.coalesce("score", F.lit(-1.0)).alias("score"), F.when(~author.isin("", "unknown", "n/a", "-"), author).alias("author"), "label", *nested.FEATURES)
     return rows.groupBy(F.col("root_document_id").alias("root")).agg(F.max(cols).alias("x")).select("root", "x.author", "x.label", *(f"x.{f}" for f in nested.FEATURES))
 
 
+def _development(spark: SparkSession, d: str) -> DataFrame:
+    return development_rows(table(spark, d, "predictions"))
+
+
 _done: dict[tuple[str, str], nested.Evaluation] = {}
 
 
@@ -86,5 +90,19 @@ def production_verifier(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "configuration string, name string, value double, importance double")
 
 
-QUERIES = {f.__name__: f for f in (logistic_verifier, nested_selection, nested_predictions, production_verifier, bank_evaluation, sample_scores)}
+def verifier_contributions(spark: SparkSession, d: str) -> DataFrame:
+    """What moves each development root's margin most."""
+    rows = _development(spark, d)
+    finite = [M.finite(f) for f in nested.FEATURES]
+    for f in finite:
+        rows = rows.where(f)
+    return nested.contributions(rows, _evaluated(spark, d)).select("root", "feature", F.round("contribution", 5).alias("contribution"), "rank")
+
+
+def prediction_table(spark: SparkSession, d: str) -> DataFrame:
+    """All rows that the evaluation scored, with signals and decisions."""
+    return nested.prediction_rows(_evaluated(spark, d), _development(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (logistic_verifier, nested_selection, nested_predictions, production_verifier, verifier_contributions, prediction_table, bank_evaluation, sample_scores)}
 SQL: dict[str, str] = {}

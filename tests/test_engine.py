@@ -156,12 +156,49 @@ def test_nested_evaluation_never_sees_what_it_scores(spark):
     assert len(e.figures) == 15 and e.selected in {c.name for c in nested.CONFIGURATIONS} and e.calibrator[0] > 0
     best = np.mean([r.score > 50 for r in out if r.label == 1]) + np.mean([r.score < 50 for r in out if r.label == 0])
     assert best > 1.7 and {r.decision for r in out} <= {"MATCH", "MISMATCH", "INCONCLUSIVE", "INCONCLUSIVE_OR_MISMATCH"}
-    frozen = {(r.outer_fold, r.configuration, r.match, r.mismatch) for r in out}
-    assert len(frozen) == 3
+    assert len({(r.outer_fold, r.configuration, r.match, r.mismatch) for r in out}) == 3
+    good = df.where("root not in ('bad', 'null')")
+    parts = nested.contributions(good, e, 3).collect()
+    assert len(parts) == 450 and all(abs(a.contribution) >= abs(b.contribution) for a, b in zip(parts, parts[1:]) if a.root == b.root and a["rank"] < b["rank"])
+    table = nested.prediction_rows(e, good).collect()
+    assert len(table) == 300 and {r.split for r in table} == {"nested_outer", "development_oof"} and not any(r.hard_negative and r.label for r in table)
+    assert sum(r.hard_negative for r in table) >= np.ceil(0.1 * sum(r.label == 0 for r in out))
+    kept = json.loads(json.dumps(nested.frozen(e)))
+    fits, _ = nested.thawed(kept)
+    again = nested.refit(good, kept)
+    assert np.allclose(fits.weights, e.verifier.weights) and np.allclose(again.weights, e.verifier.weights, atol=1e-6)
+    with pytest.raises(ValueError, match="changed"):
+        nested.thawed(kept | {"bias": 9.0})
     with pytest.raises(ValueError, match="too few"):
         nested.evaluate(df.where("label = 1"))
 
 
+def test_half_precision_gate_holds_exactly_at_its_limits():
+    fine = {"decision_agreement": 1.0, "mean_drift": 0.5, "max_drift": 1.5, "auroc_decline": 0.005, "brier_increase": 0.005, "speedup": 0.2}
+    assert learn.accept_half_precision(fine)
+    for k, v in {"decision_agreement": 0.99, "mean_drift": 0.51, "max_drift": 1.51, "auroc_decline": 0.006, "brier_increase": 0.006, "speedup": 0.19}.items():
+        assert not learn.accept_half_precision(fine | {k: v})
+
+
+def test_encoding_halves_batches_and_rejects_long_passages(spark):
+    from scriptorium.plans.engine import _encoded
+
+    sizes = []
+
+    def small(texts):
+        sizes.append(len(texts))
+        if len(texts) > 2:
+            raise MemoryError
+        return np.ones((len(texts), 4))
+
+    assert _encoded(small, ["a"] * 5, 8).shape == (5, 4) and max(sizes[-3:]) <= 2
+    with pytest.raises(MemoryError):
+        _encoded(lambda t: (_ for _ in ()).throw(MemoryError()), ["a"], 1)
+    long = spark.createDataFrame([("d", "word " * 5000)], "document_id string, text string")
+    with pytest.raises(Exception, match="more than 4096 tokens"):
+        embed(long, projection_encoder, Settings()).collect()
+
+
 def test_configurations_are_adopted_only_for_a_gain():
     base = {"tpr_at_5": 0.5, "auroc": 0.9, "tpr": 0.8, "brier": 0.1}
     better = base | {"tpr_at_5": 0.6}
