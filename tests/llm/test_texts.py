@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from scriptorium.llm import mail, mailtext, mixing, packing, sentences, subjects, tokens
@@ -287,6 +288,26 @@ def test_subjects_on_held_out_documents(spark):
     assert subjects.document_subjects(d, l.where("doc_id < 0"), s.where("subject = 'x'")).count() == 0
 
 
+def test_leaves_are_split_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "FIT_ROWS", 100)
+    monkeypatch.setattr(subjects, "TOGETHER", 150)
+    rng = np.random.default_rng(1)
+    terms = [sorted(rng.choice(np.arange(20) + 20 * (i % 3), 6, replace=False).tolist()) for i in range(900)] + [[]]
+    rows = [(i, "en", 1, np.array(t, np.uint16).tobytes(), np.array([len(t)] if t else [], np.uint16).tobytes()) for i, t in enumerate(terms)]
+    bags = spark.createDataFrame(rows, "doc_id bigint, lang string, sentences int, terms binary, sizes binary")
+    m = subjects.Model(["a"], np.ones(60, np.float32), {"en": 0}, np.zeros((60, 1)), np.ones(60, np.float32), np.arange(60) != 59)
+    x, many = subjects.clusters(bags, m, 901)
+    assert many.sum() == 900 and len(x) <= 200
+    whole = sum(subjects.Bags.of(b).vectors(m).sum(0) for b in bags.toArrow().to_batches())
+    assert np.allclose(x.sum(0), whole, rtol=1e-4)
+    leaf = subjects.bisect(x, 3, 4, np.random.default_rng(5), many)
+    for i in range(3):
+        own = x[leaf == i].sum(0).reshape(-1)[:59]
+        assert own.max() > 0 and max(own[:20].sum(), own[20:40].sum(), own[40:].sum()) / own.sum() > 0.95
+    one, each = subjects.clusters(bags.limit(50), m, 50)
+    assert len(one) == 50 and (each == 1).all()
+
+
 @pytest.mark.parametrize("text", ["", "   ", "One. Two! Three?", "Dr. A. Bee came at 5 p.m. sharp.", "x" * 10_000])
 def test_rough_sentences_cover(text):
     spans = subjects.sentence_spans(text)
