@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,22 @@ def test_reserved_texts_must_not_overlap(spark):
     segments.reject_overlap(tests.where("document_id = 'z'"), train)
 
 
+def test_overlaps_meet_only_where_words_are_shared(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh’"), rng.integers(1, 5))) + rng.choice(["", "-", "’", ","])
+    pars = [rng.choice([" ", "  ", "\n"]).join(word() for _ in range(rng.integers(4, 12))) for _ in range(40)]
+    texts = lambda n: ["\n\n".join(str(p)[rng.integers(0, 2) :] + str(rng.choice(["", "x", "’s y"])) for p in rng.choice(pars, rng.integers(1, 4))) for _ in range(n)]
+    a, b = [(f"t{i}", t) for i, t in enumerate(texts(60))], [(f"r{i}", t) for i, t in enumerate(texts(90))]
+    square = lambda t: " ".join(t.split())
+    long = lambda t, k: [square(t[x:y]) for x, y, n in segments.paragraph_spans(t) if n >= k]
+    of = lambda rows: spark.createDataFrame(rows, "document_id string, text string")
+    for least in (2, 5):
+        want = {(i, j) for i, x in a for j, y in b if square(x) == square(y) or any(p in square(y) for p in long(x, least)) or any(p in square(x) for p in long(y, least))}
+        assert want and {tuple(r) for r in segments.overlapping(of(a), of(b), least).collect()} == want
+    plan = segments.overlapping(of(a), of(b))._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_origins_of_chains_and_circles(spark):
     rows = [(f"c{i}", f"c{max(0, i - 1)}", i != 3) for i in range(40)] + [("x", "y", True), ("y", "x", True), ("o", "gone", True), ("p", "o", True), ("t", "t", True)]
     got = {r.document_id: (r.origin, r.steps, r.visible) for r in lineage.origins(spark.createDataFrame(rows, "document_id string, parent string, visible boolean")).collect()}
