@@ -5,8 +5,8 @@ Every text becomes a sequence of word hashes. Records of equal sequence are one
 * Shards: evaluation records of the same least hash of five-word runs, near copies as a rule, are one bucket, and buckets are put into shards. Each
   shard is one word sequence, kept as a run-length compressed Burrows-Wheeler transform: repeated stretches of near copies cost next to nothing.
 * Routing: a pair whose sets of runs reach the similarity shares some of the first runs of each in any fixed order of runs (prefix filtering). So a
-  training record only visits the shards of buckets with which it shares those and which hold records about its size. The order puts runs that are frequent in the corpus last, and frequent
-  ones are salted. Routing decides what is cheap, never what is found: it names no partner.
+  training record only visits the shards of buckets with which it shares those and which hold records about its size; how many are first depends on the sizes of both. The order puts runs that are
+  frequent in the corpus last, by a table of counts of hashed runs that covers all of them, and frequent ones are salted. Routing decides what is cheap, never what is found: it names no partner.
 * Search: training records stream through the shard by backward search, all places at once. The interval of a run lists the records that hold it; records that hold one of the
   rarest runs found become candidates, and shared runs and their union are counted exactly.
 * Spans: for every pair found, backward search of variable length gives the maximal matches of the two records; these are merged into spans and counted.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +31,10 @@ from scriptorium.session import materialize, sift
 
 WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 RUN = 5
-#: Runs kept as frequent, at most; rows per counting block and the count from which a block reports a run.
-HOT, COUNT_BLOCK, REPORT = 1 << 19, 1 << 21, 4
+#: The table of counts has SLOTS_BITS bits of a run's hash at most, in chunks of CHUNK_BITS; a count is kept as its logarithm, STEPS to a doubling. Runs per counting block.
+SLOTS_BITS, CHUNK_BITS, STEPS, COUNT_BLOCK = 26, 16, 8, 1 << 22
 #: Runs that a pair must share among the first ones of each; the first ones are as many more.
-AGREE = 6
+AGREE = 16
 #: Words in an index; rows of one run in one salt.
 SHARD_WORDS, SALT_ROWS = 400_000, 20_000
 #: Words that stream through an index at once, and pairs looked up at once.
@@ -98,86 +99,116 @@ def tokenised(docs: DataFrame) -> DataFrame:
     return docs.withColumn("id", F.monotonically_increasing_id()).select("id", "document_id", "side", "text").mapInArrow(run, "id bigint, document_id string, side int, n int, least bigint, digest binary, words binary")
 
 
-def frequent_runs(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent runs, sorted, and their counts; at most HOT of them. Counts cover all records; a block reports what it holds REPORT times or more."""
+def slots_of(own: np.ndarray, bits: int) -> np.ndarray:
+    """Places of runs in a table of counts."""
+    return (own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def counted() -> pa.RecordBatch:
-            every, n = np.unique(np.concatenate(held), return_counts=True)
-            some = n >= REPORT
-            return pa.RecordBatch.from_arrays([pa.array(every[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["run", "n"])
+def run_counts(tokens: DataFrame, total: int) -> np.ndarray:
+    """How often runs occur in all records, by slot of their hash: STEPS times the binary logarithm, rounded; 0 where only one side has any. Runs of one slot are counted together.
+
+    There are about as many slots as half of the `total` runs, at most 1 << SLOTS_BITS (a byte each): more than fixed numbers of frequent runs, the table tells rare runs from less rare ones on large inputs too.
+    """
+    bits = max(CHUNK_BITS, min(SLOTS_BITS, int(total).bit_length() - 1))
+    low = (1 << CHUNK_BITS) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        size = [0, 0]
+
+        def counted(side: int) -> pa.RecordBatch:
+            every, n = np.unique(np.concatenate(held[side]), return_counts=True)
+            held[side].clear()
+            size[side] = 0
+            chunk, start = np.unique(every >> np.uint32(CHUNK_BITS), return_index=True)
+            at, n = np.split((every & np.uint32(low)).astype(np.uint16), start[1:]), np.split(n.astype(np.uint32), start[1:])
+            once = [x == 1 for x in n]  # most are: these need no number
+            cols = [[x[o].tobytes() for x, o in zip(at, once)], [x[~o].tobytes() for x, o in zip(at, once)], [x[~o].tobytes() for x, o in zip(n, once)]]
+            return pa.RecordBatch.from_arrays([pa.array(chunk.astype(np.int32)), pa.array(np.full(len(chunk), side, np.int32)), *(pa.array(c, pa.binary()) for c in cols)], names=["chunk", "side", "once", "slots", "n"])
 
         for b in batches:
-            for raw in b.column("words").to_pylist():
-                held.append(np.unique(runs(np.frombuffer(raw, np.uint64))))
-                size += len(held[-1])
-                if size > COUNT_BLOCK:
-                    yield counted()
-                    held, size = [], 0
-        if size:
-            yield counted()
-
-    total = tokens.select("words").mapInArrow(run, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
-    found = total.orderBy(F.desc("n"), "run").limit(HOT).toArrow()
-    run_, n = found.column("run").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(run_)
-    return run_[order], np.minimum(n[order], (1 << 31) - 1).astype(np.int32)
+            for side, raw in zip(b.column("side").to_pylist(), b.column("words").to_pylist()):
+                own = slots_of(np.unique(runs(np.frombuffer(raw, np.uint64))), bits).astype(np.uint32)
+                held[side].append(own)
+                size[side] += len(own)
+                if size[side] > COUNT_BLOCK:
+                    yield counted(side)
+        yield from (counted(side) for side in (0, 1) if size[side])
+
+    def add(t: pa.Table) -> pa.Table:
+        n = np.zeros((2, low + 1), np.int64)
+        for side, once, slots, many in zip(*(t.column(c).to_pylist() for c in ("side", "once", "slots", "n"))):
+            n[side, np.frombuffer(once, np.uint16)] += 1
+            n[side, np.frombuffer(slots, np.uint16)] += np.frombuffer(many, np.uint32)
+        level = np.where(n.all(0), np.rint(STEPS * np.log2(np.maximum(n.sum(0), 1))).clip(0, 255), 0)
+        return pa.table({"chunk": t.column("chunk")[:1], "level": pa.array([level.astype(np.uint8).tobytes()], pa.binary())})
+
+    found = tokens.select("side", "words").mapInArrow(run, "chunk int, side int, once binary, slots binary, n binary").groupBy("chunk").applyInArrow(add, "chunk int, level binary").toArrow()
+    levels = np.zeros(1 << bits, np.uint8)
+    for chunk, level in zip(found.column("chunk").to_pylist(), found.column("level").to_pylist()):
+        levels[chunk << CHUNK_BITS : (chunk + 1) << CHUNK_BITS] = np.frombuffer(level, np.uint8)
+    return levels
 
 
 def needed(n: int, similarity: float) -> int:
-    """How many first runs a record of n runs shares with any partner: AGREE, or fewer if a partner may be so short."""
-    return min(AGREE, max(1, int(np.ceil(similarity * np.ceil(similarity * n - 1e-9) - 1e-9))))
+    """How many first runs a record of n runs shares with any partner: AGREE, or fewer if it is so short that they may not share as many."""
+    return min(AGREE, max(1, int(np.ceil(similarity * n - 1e-9))))
 
 
-def size_class(n: int) -> int:
+def size_class(n: int | np.ndarray) -> np.ndarray:
     """Sizes by tenths; partners of a similarity are few classes apart."""
-    return min(255, int(np.log(n) / np.log(1.1)))
+    return np.minimum(255, np.log(n) / np.log(1.1)).astype(np.int64)
 
 
 def classes_apart(similarity: float) -> int:
     return int(np.ceil(np.log(1 / similarity) / np.log(1.1) + 1e-9))
 
 
-def prefixes(tokens: DataFrame, hot: tuple[np.ndarray, np.ndarray], similarity: float, side: int) -> DataFrame:
-    """(run, who, size) of the records of one side, by the first runs of each in the common order (count, then hash). `who` is the bucket, and `size` the size class; for training records (side 0) `who` holds
-    id, size class and `needed`, and `size` is 0.
+def first_runs(own: np.ndarray, levels: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a record's distinct runs those that a partner may have to share, in the common order (count, then hash); how often each occurs, about; and the largest size class of partners for which it is among the first.
+
+    With m and n runs, two records of the similarity s share at least a = ceil(s * max(m, n)) runs, and a >= t * (m + n) for t = s / (1 + s). So they share at least min(AGREE, a) among the first
+    n - a + min(AGREE, a) of the one and as many in the other. Run r (from 0) of n is among these only if t * m < AGREE - r + (1 - t) * n. Runs of level 0, which no partner holds, come first and are not returned.
+    """
+    n, least, t = len(own), int(np.ceil(similarity * len(own) - 1e-9)), similarity / (1 + similarity)
+    often = levels[slots_of(own, len(levels).bit_length() - 1)]
+    first = np.argsort(often, kind="stable")[: n - least + min(AGREE, least)]
+    most = (AGREE - np.arange(len(first)) + (1 - t) * n) / t
+    first, most = first[often[first] > 0], most[often[first] > 0]
+    return own[first], np.exp2(often[first] / STEPS).astype(np.int64), size_class(np.maximum(most, 1) * (1 + 1e-9))
+
+
+def prefixes(tokens: DataFrame, levels: Broadcast, similarity: float, side: int) -> DataFrame:
+    """(run, who, size, top) of the records of one side, by the first runs of each. `size` is the size class and `top` the largest one of partners; `who` is the bucket, for training records (side 0) id and `needed`.
 
-    With n runs and a least overlap a = ceil(similarity * n), two records of the similarity share at least k runs among the first n - a + k of each; k is
-    AGREE, or a where that is less. A run is named by 32 bits: two of one name can only add a visit. A frequent run has several names: a training record takes one of them, a bucket all.
+    A run is named by 32 bits: two of one name can only add a visit. A frequent run has several names: a training record takes one of them, a bucket all.
     """
-    shared = tokens.sparkSession.sparkContext.broadcast(hot)  # at most HOT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, count = shared.value
+        table = levels.value
         for b in batches:
-            names, owners, sizes = [], [], []
+            names, owners, sizes, tops = [], [], [], []
             for i, who, raw in zip(b.column("id").to_pylist(), b.column("who").to_pylist(), b.column("words").to_pylist()):
                 own = np.unique(runs(np.frombuffer(raw, np.uint64)))
                 n = len(own)
                 if not n:
                     continue
-                least = int(np.ceil(similarity * n - 1e-9))
-                often = np.zeros(n, np.int64)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
-                    often = np.where(hot[at] == own, count[at], 0)
-                first = np.argsort(often, kind="stable")[: n - least + min(AGREE, least)]
-                own, salts = own[first], often[first] // SALT_ROWS + 1
+                own, often, top = first_runs(own, table, similarity)
+                salts = often // SALT_ROWS + 1
                 if side:
                     turn = np.arange(salts.sum()) - np.repeat(np.cumsum(salts) - salts, salts)
-                    own = np.repeat(own, salts)
+                    own, top = np.repeat(own, salts), np.repeat(top, salts)
                 else:
-                    turn, who = np.uint64(i * 0x9E3779B1 % (1 << 31)) % salts.astype(np.uint64), (i << 11) | (size_class(n) << 3) | needed(n, similarity)
+                    turn, who = np.uint64(i * 0x9E3779B1 % (1 << 31)) % salts.astype(np.uint64), (i << 5) | needed(n, similarity)
                 own = (own + turn.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0xBF58476D1CE4E5B9)
                 names.append((own >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 owners.append(np.full(len(own), who, np.int64))
-                sizes.append(np.full(len(own), size_class(n) if side else 0, np.int32))
+                sizes.append(np.full(len(own), size_class(n), np.int16))
+                tops.append(top.astype(np.int16))
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (names, owners, sizes)], names=["run", "who", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (names, owners, sizes, tops)], names=["run", "who", "size", "top"])
 
-    return tokens.select("id", "who", "words").mapInArrow(run, "run int, who bigint, size int")
+    return tokens.select("id", "who", "words").mapInArrow(run, "run int, who bigint, size smallint, top smallint")
 
 
 class RunIndex:
@@ -402,16 +433,16 @@ def overlaps(docs: DataFrame, similarity: float = 0.6) -> tuple[DataFrame, DataF
     members = materialize(narrow.join(reps, ["digest", "side"]).select(F.col("rep").alias("id"), "document_id", "side").distinct())
     # copies that don't stand for their class leave; all but them and a few others pass without a shuffle
     copies = narrow.join(reps, ["digest", "side"]).where("id <> rep").select("id")
-    size = tokens.where("n > 0").agg(F.sum(F.when(F.col("side") == 1, F.octet_length("words"))).alias("bytes")).first()
+    size = tokens.where("n > 0").agg(F.sum(F.when(F.col("side") == 1, F.octet_length("words"))).alias("bytes"), F.sum("n").alias("runs")).first()
     shards = max(1, (size.bytes or 0) // 8 // SHARD_WORDS + 1)
     doubtful, sure = sift(tokens.where("n > 0").select("id", "side", "n", F.col("least").alias("who"), "words"), copies)
     own = sure.union(doubtful.join(copies, "id", "left_anti"))
-    hot = frequent_runs(tokens)
-    there = prefixes(own.where("side = 1"), hot, similarity, 1).distinct().select("run", F.col("who").alias("bucket"), "size")
-    asking = prefixes(own.where("side = 0"), hot, similarity, 0).drop("size")
-    alike = F.abs(F.shiftright("who", 3).bitwiseAND(255) - F.col("size")) <= classes_apart(similarity)
-    visits = asking.join(there, "run").where(alike).groupBy("who", "bucket", "size").agg(F.count(F.lit(1)).alias("agree")).where("agree >= who & 7")
-    visits = materialize(visits.select(F.shiftright("who", 11).alias("id"), "bucket").distinct())
+    levels = tokens.sparkSession.sparkContext.broadcast(run_counts(tokens, size.runs or 0))  # 64 MB at most
+    there = prefixes(own.where("side = 1"), levels, similarity, 1).groupBy("run", F.col("who").alias("bucket"), F.col("size").alias("other")).agg(F.max("top").alias("reach"))
+    asking = prefixes(own.where("side = 0"), levels, similarity, 0)
+    alike = (F.abs(F.col("size") - F.col("other")) <= classes_apart(similarity)) & (F.col("size") <= F.col("reach")) & (F.col("other") <= F.col("top"))
+    visits = asking.join(there, "run").where(alike).groupBy("who", "bucket", "other").agg(F.count(F.lit(1)).alias("agree")).where("agree >= who & 31")
+    visits = materialize(visits.select(F.shiftright("who", 5).alias("id"), "bucket").distinct())
     shard = F.pmod(F.xxhash64("bucket"), F.lit(shards)).cast("int").alias("shard")
     asked = own.where("side = 0").select("id", F.octet_length("words").alias("bytes")).join(visits.select("id", shard).distinct(), "id")
     held = own.where("side = 1").select("id", F.octet_length("words").alias("bytes"), F.col("who").alias("bucket")).join(visits.select("bucket").distinct(), "bucket", "left_semi").select("id", shard, "bytes")

@@ -48,6 +48,37 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.document_pairs(*overlap.overlaps(none)).count() == 0 and overlap.document_links(*overlap.overlaps(none)).count() == 0
 
 
+def test_records_that_only_share_frequent_runs_visit_no_shard(spark, monkeypatch):
+    rng = random.Random(3)
+    pool = [text(rng, 12) for _ in range(40)]  # every sentence stands in many records
+    docs = [(f"d{i}", i % 2, " ".join(rng.sample(pool, rng.randrange(6, 12)))) for i in range(200)]
+    for i in range(20):
+        base = docs[2 * i][2].split()
+        for _ in range(rng.randrange(0, 9)):
+            base[rng.randrange(len(base))] = "changed"
+        docs.append((f"e{i}", 1, " ".join(base[: rng.randrange(60, 140)])))
+    visits, write = [], overlap.materialize
+    monkeypatch.setattr(overlap, "materialize", lambda df: (visits.append(df.count()) if df.columns == ["id", "bucket"] else None, write(df))[1])
+    found = {tuple(r) for r in overlap.document_pairs(*overlap.overlaps(spark.createDataFrame(docs, "document_id string, side int, text string"), 0.6)).select("doc_a", "doc_b").collect()}
+    sets = {d: (s, runs_of(t)) for d, s, t in docs}
+    want = {(min(a, b), max(a, b)) for a, (s, x) in sets.items() for b, (u, y) in sets.items() if s == 0 and u == 1 and len(x & y) >= 0.6 * len(x | y)}
+    assert found == want and len(want) >= 8
+    assert len(visits) == 1 and visits[0] < 3 * len(want)
+
+
+def test_first_runs_hold_enough_of_every_partner():
+    rng = np.random.default_rng(2)
+    levels = rng.integers(1, 60, 1 << 16).astype(np.uint8)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 200))).astype(np.uint64))
+        b = np.unique(np.concatenate([rng.permutation(a)[: int(rng.integers(1, len(a) + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, 60))).astype(np.uint64)]))
+        shared = len(np.intersect1d(a, b))
+        if shared >= 0.6 * (len(a) + len(b) - shared):
+            (x, _, top), (y, _, reach) = (overlap.first_runs(z, levels, 0.6) for z in (a, b))
+            x, y = x[top >= overlap.size_class(len(b))], y[reach >= overlap.size_class(len(a))]
+            assert len(np.intersect1d(x, y)) >= max(overlap.needed(len(a), 0.6), overlap.needed(len(b), 0.6))
+
+
 def test_run_index_finds_every_run():
     rng = np.random.default_rng(0)
     seqs = [rng.integers(1, 6, n).astype(np.uint64) for n in (40, 7, 5, 60)]
